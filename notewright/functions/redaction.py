@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WORD_END, WORD_START, WS, trimmed
+from .text import SPACES, WORD_END, WORD_START, WS, trimmed
 from .values import LINK_SCHEME, PLACEHOLDERS
 
 REDACTED = "[redacted]"
 
 
-def secret_patterns(scheme: str = LINK_SCHEME) -> list[tuple[str, str]]:
-    """Pattern and replacement, applied in this order; the order is part of the result.
+Rule = tuple[list[str], str, str]
+
+
+def secret_rules(scheme: str = LINK_SCHEME) -> list[Rule]:
+    """Literals one of which a match must hold, pattern, replacement; the order is part of the result.
 
     Loops over path folders are possessive and host labels are bounded: Java's matcher recurses
     once per round of a plain group loop and overflows the stack on very long paths. An e-mail's
@@ -22,93 +25,115 @@ def secret_patterns(scheme: str = LINK_SCHEME) -> list[tuple[str, str]]:
     # --- fixed values: what is redacted, in order ------------------------------------------------
     return [
         (
+            ["@"],
             r"(?i)(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]+(?:\.[\w-]+){0,126}\.[a-z]{2,}" + WORD_END,
             "[email]",
         ),
-        (rf"(?i)file:///[^{WS}]+", "[local path]"),
+        ([":///"], rf"(?i)file:///[^{WS}]+", "[local path]"),
         (
+            [":\\", ":/"],
             WORD_START + rf"[A-Za-z]:[\\/](?:[^\\/\n\"'`)\]]*+[\\/])*+[^{WS}\"'`)\]]*+",
             "[local path]",
         ),
         (
+            ["/home/", "/Users/", "/mnt/", "/srv/"],
             rf"(?:^|[{WS}])/(?:home|Users|mnt|srv)/(?:[^/\n\"'`)\]]*+/)*+[^{WS}\"'`)\]]*+",
             " [local path]",
         ),
-        (WORD_START + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", "[jwt]"),
-        (WORD_START + r"gh[pousr]_[A-Za-z0-9]{16,}", "[github-token]"),
-        (WORD_START + r"xox[baprs]-[A-Za-z0-9-]{10,}", "[slack-token]"),
-        (WORD_START + r"AKIA[0-9A-Z]{16}" + WORD_END, "[aws-key]"),
+        (["eyJ"], WORD_START + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", "[jwt]"),
+        (
+            ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+            WORD_START + r"gh[pousr]_[A-Za-z0-9]{16,}",
+            "[github-token]",
+        ),
+        (["xox"], WORD_START + r"xox[baprs]-[A-Za-z0-9-]{10,}", "[slack-token]"),
+        (["AKIA"], WORD_START + r"AKIA[0-9A-Z]{16}" + WORD_END, "[aws-key]"),
         (
+            ["k-", "k_", "K-", "K_"],
             "(?i)" + WORD_START + r"(?:sk|pk|rk)[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{20,}",
             "[api-key]",
         ),
         (
+            ["://"],
             WORD_START + rf"[A-Za-z][A-Za-z0-9+.-]*+://[^{WS}/@:]++:[^{WS}/@]++@[^{WS}]+",
             "[url-with-credentials]",
         ),
-        (rf"(?i)\[([^\]]+)\]\([{WS}]*{scheme}://[^)]*\)", "$1"),
-        (rf"(?i)\({scheme}://[^){WS}]+\)", ""),
-        (rf"(?i){scheme}://[^{WS}]+", ""),
-        (r"\+\d[\d \xA0().-]{7,}\d", "[phone]"),
-        (rf"\(\d{{2,3}}\)[{WS}]?\d{{4,5}}[- ]?\d{{4}}", "[phone]"),
+        (["://"], rf"(?i)\[([^\]]+)\]\([{WS}]*{scheme}://[^)]*\)", "$1"),
+        (["://"], rf"(?i)\({scheme}://[^){WS}]+\)", ""),
+        (["://"], rf"(?i){scheme}://[^{WS}]+", ""),
+        (["+"], r"\+\d[\d \xA0().-]{7,}\d", "[phone]"),
+        (["("], rf"\(\d{{2,3}}\)[{WS}]?\d{{4,5}}[- ]?\d{{4}}", "[phone]"),
     ]
 
 
-def link_patterns() -> list[tuple[str, str]]:
+def link_rules() -> list[Rule]:
     """Markdown left broken by the passes before."""
     labels = "|".join(PLACEHOLDERS)
     # --- fixed values: which links are repaired, in order ----------------------------------------
     return [
-        (r"\[`?\[(?:local path|phone|email)\]`?\]\([^)]*\)?", REDACTED),
-        (rf"\[([^\]]+)\]\([{WS}]*`?\[(?:local path|phone|email)\]`?[^)]*\)?", "$1"),
-        (rf"\[([^\]]+)\]\([^){WS}]*\z", "$1"),
-        (rf"\[(?!(?:{labels})\])([^\]]+)\](?!\()", "$1"),
+        (["]"], r"\[`?\[(?:local path|phone|email)\]`?\]\([^)]*\)?", REDACTED),
+        (["]("], rf"\[([^\]]+)\]\([{WS}]*`?\[(?:local path|phone|email)\]`?[^)]*\)?", "$1"),
+        (["]("], rf"\[([^\]]+)\]\([^){WS}]*\z", "$1"),
+        (["["], rf"\[(?!(?:{labels})\])([^\]]+)\](?!\()", "$1"),
     ]
 
 
-# Every pattern above needs one of these, so a text without any of them is left alone.
+# Every rule above needs one of these, so a text without any of them is left alone.
 _SUSPICIOUS = (
     r"[@:\[(+]|/(?:home|Users|mnt|srv)/|eyJ|gh[pousr]_|xox[baprs]-|AKIA|(?i:[spr]k[-_])"
 )
 
 
-def _apply(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    for pattern, replacement in patterns:
-        text = F.regexp_replace(text, pattern, replacement)
+def _raw(pattern: str) -> str:
+    """A raw SQL string literal; a quote is written as its code, which patterns understand."""
+    return "r'" + pattern.replace("'", r"\x27") + "'"
+
+
+def _apply(text: str, rules: list[Rule]) -> str:
+    """The rules one after another. Each result is bound to a name, so it is worked out once, and a
+    rule whose literals are missing costs no more than looking for them."""
+    for needles, pattern, replacement in rules:
+        held = " OR ".join(f"contains(x, r'{needle}')" for needle in needles)
+        text = (
+            f"transform(array({text}), x -> CASE WHEN {held} THEN "
+            f"regexp_replace(x, {_raw(pattern)}, '{replacement}') ELSE x END)[0]"
+        )
     return text
 
 
-def redact_secrets(text: Column, scheme: str = LINK_SCHEME) -> Column:
-    return _apply(text, secret_patterns(scheme))
+def _masked(text: str, terms: str) -> str:
+    trimmed_term = f"btrim(t, '{SPACES}')"
+    literal = rf"regexp_replace({trimmed_term}, r'[.*+?^$(){{}}|\[\]\\]', r'\\$0')"
+    masked = f"regexp_replace(seen, concat('(?iu)', {literal}), '{REDACTED}')"
+    fold = f"aggregate({terms}, {text}, (seen, t) -> CASE WHEN {trimmed_term} = '' THEN seen ELSE {masked} END)"
+    return f"CASE WHEN size({terms}) > 0 THEN {fold} ELSE {text} END"
 
 
-def redact_denied(text: Column, terms: Column) -> Column:
-    """Each term in list order, literally and in any case; later terms see earlier replacements."""
+def redact_secrets(text: str, scheme: str = LINK_SCHEME) -> Column:
+    return F.expr(_apply(text, secret_rules(scheme)))
 
-    def mask(seen: Column, term: Column) -> Column:
-        literal = F.regexp_replace(trimmed(term), r"[.*+?^${}()|\[\]\\]", r"\\$0")
-        return F.when(trimmed(term) == "", seen).otherwise(
-            F.regexp_replace(seen, F.concat(F.lit("(?iu)"), literal), F.lit(REDACTED))
-        )
 
-    return F.when(F.coalesce(F.size(terms), F.lit(0)) > 0, F.aggregate(terms, text, mask)).otherwise(
-        text
-    )
+def redact_denied(text: str, terms: str) -> Column:
+    """Each term in list order, literally and in any case; later terms see earlier replacements."""
+    return F.expr(_masked(text, terms))
+
 
+def repair_links(text: str) -> Column:
+    return F.expr(_apply(text, link_rules()))
 
-def repair_links(text: Column) -> Column:
-    return _apply(text, link_patterns())
 
+def redact(text: str, terms: str | None = None, scheme: str = LINK_SCHEME) -> Column:
+    """The whole chain over the column named ``text``.
 
-def redact(text: Column, terms: Column | None = None, scheme: str = LINK_SCHEME) -> Column:
-    """The whole chain. ``terms`` is the project's ordered ARRAY<STRING> of denied terms, or none."""
-    if terms is None:
-        return F.when(
-            text.rlike(_SUSPICIOUS), repair_links(redact_secrets(text, scheme))
-        ).otherwise(text)
-    chain = repair_links(redact_denied(redact_secrets(text, scheme), terms))
-    has_terms = F.coalesce(F.size(terms), F.lit(0)) > 0
-    return F.when(text.rlike(_SUSPICIOUS) | has_terms, chain).otherwise(text)
+    ``terms`` names the project's ordered ARRAY<STRING> of denied terms, if there is one. The chain
+    is written as one SQL expression: built call by call it would cost more than planning it.
+    """
+    chain = _apply(text, secret_rules(scheme))
+    worth = f"{text} rlike {_raw(_SUSPICIOUS)}"
+    if terms is not None:
+        chain = f"transform(array({chain}), x -> {_masked('x', terms)})[0]"
+        worth += f" OR size({terms}) > 0"
+    return F.expr(f"CASE WHEN {worth} THEN {_apply(chain, link_rules())} ELSE {text} END")
 
 
 def mentions_denied(text: Column, terms: Column) -> Column:

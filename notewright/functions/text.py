@@ -7,17 +7,23 @@ white space is always spelled out as a class and word edges as look-arounds on A
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: what counts as white space, and what ends a line besides it -------------------
 _SPACE_POINTS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680]
 _SPACE_POINTS += [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+_WIDE = r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 SPACES = "".join(map(chr, _SPACE_POINTS))
-WS = "".join(f"\\x{{{point:X}}}" for point in _SPACE_POINTS)  # for use inside [...]
+WS = rf"\t\n\x0B\f\r {_WIDE}"  # for use inside [...]
+# Java tests a class member by member for every character. Here the first, cheap half rejects
+# ordinary letters, so a scan over a long text does not walk the whole list each time.
+SPACE = rf"[\s\x{{A0}}-\x{{FFFF}}&&[\s{_WIDE}]]"
+LINE_ENDS = ["\r", chr(0x2028), chr(0x2029)]
 NOT_EOL = r"[^\n\r\x{2028}\x{2029}]"
 WORD_START = "(?<![A-Za-z0-9_])"
 WORD_END = "(?![A-Za-z0-9_])"
@@ -25,17 +31,26 @@ LINE_BREAK = "\r?\n"
 SEPARATORS = "[^a-z0-9]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def left_trimmed(text: Column) -> Column:
+    return F.ltrim(text, F.lit(SPACES))
+
+
 def right_trimmed(text: Column) -> Column:
     return F.rtrim(text, F.lit(SPACES))
 
 
 def squash_spaces(text: Column) -> Column:
     """Runs of two or more white-space characters become one space; the ends are trimmed."""
-    return trimmed(F.regexp_replace(text, f"[{WS}]{{2,}}", " "))
+    return trimmed(F.regexp_replace(text, f"{SPACE}{SPACE}+", " "))
 
 
 def strip_bom(text: Column) -> Column:
@@ -76,7 +91,7 @@ def fold_text(text: Column) -> Column:
 
 
 def split_words(folded: Column) -> Column:
-    return F.filter(F.split(folded, SEPARATORS), lambda word: word != "")
+    return F.array_remove(F.split(folded, SEPARATORS), "")
 
 
 def tokens(text: Column) -> Column:
@@ -103,3 +118,13 @@ def occurrences(text: Column, needle: str) -> Column:
     return (
         (F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)
     ).cast("bigint")
+
+
+def evaluated(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once per row.
+
+    Catalyst moves filters below projections by copying the projected expression into each of them,
+    which repeats a redaction chain for every test of its result. It does not move them below a
+    generator, and a one-element outer ``explode`` is the cheapest one.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))

@@ -134,7 +134,7 @@ def refilter_kept(kept: DataFrame, deny: DataFrame, scheme: str = LINK_SCHEME) -
     return (
         listed.withColumn("bullets", clean)
         .where(F.size("bullets") > 0)
-        .withColumn("heading", redact(F.col("heading"), F.col("denied"), scheme))
+        .withColumn("heading", redact("heading", "denied", scheme))
         .select(*RENDERED)
     )
 

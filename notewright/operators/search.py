@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.values import MAX_SEARCH_LIMIT, SIMILARITY_THRESHOLD
+from ..session import durable
 
 QUERIES_PER_SET = 512
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -76,9 +77,10 @@ def semantic_topk(
             *[q[k].alias(k) for k in keys], q["_limit"].alias("_limit"), _dot(F.col("own"), q["unit"]).alias("score")
         ),
     )
+    # The outer form: from the inner one Catalyst infers a filter that would score everything twice.
     hits = joined.select(
-        "summary_id", F.inline(F.filter(scored, lambda s: s["score"] >= threshold))
-    )
+        "summary_id", F.inline_outer(F.filter(scored, lambda s: s["score"] >= threshold))
+    ).where("score is not null")
     return _best(hits, keys, [F.col("score").desc(), F.col(tie)], ["summary_id", "score"], ceiling)
 
 
@@ -88,28 +90,35 @@ def keyword_topk(
     """``(keys, summary_id, score, hit_pos)``: documents holding every word, newest first.
 
     ``documents`` is ``(summary_id, text, created_at)``; ``queries`` is keys plus ``query_text``.
-    Each query is looked up by one word only, its longest, so a keyword shared by all projects does
-    not pair every document with every project; the other words are checked on the candidates.
+    Texts are read once, for the words some query asks for; those short rows are checkpointed. Each
+    query then starts from its rarest word, so a keyword that every project asks for does not pair
+    every document with every query, and its other words are looked up on those candidates only.
     """
     ceiling = limit if isinstance(limit, int) else MAX_SEARCH_LIMIT
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    asked = (
-        queries.select(*keys, limit.alias("_limit"), F.array_distinct(tokens(F.col("query_text"))).alias("words"))
-        .where(F.size("words") > 0)
-        .withColumn(
-            "word",
-            F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"],
-        )
+    asked = queries.select(
+        *keys,
+        limit.alias("_limit"),
+        F.array_distinct(tokens(F.col("query_text"))).alias("words"),
+    ).where(F.size("words") > 0)
+    wanted = asked.select(*keys, "_limit", "words", F.explode("words").alias("word"))
+    spoken = durable(
+        documents.select(
+            "summary_id", "created_at", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")
+        ).join(wanted.select("word").distinct(), "word", "left_semi")
     )
-    spoken = documents.select(
-        "summary_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")
+    counted = wanted.join(spoken.groupBy("word").agg(F.count("*").alias("n")), "word", "left")
+    rarest = counted.groupBy(*keys, "_limit", "words").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word")
     )
-    candidates = spoken.join(asked, "word").drop("word")
-    checked = documents.select(
-        "summary_id", "created_at", F.array_distinct(tokens(F.col("text"))).alias("held")
+    candidates = spoken.join(rarest, "word").select(
+        *keys, "_limit", "summary_id", "created_at", F.size("words").alias("needed"), F.explode("words").alias("word")
     )
-    hits = candidates.join(checked, "summary_id").where(
-        F.size(F.array_except("words", "held")) == 0
+    hits = (
+        candidates.join(spoken.select("summary_id", "word"), ["summary_id", "word"])
+        .groupBy(*keys, "_limit", "summary_id", "created_at", "needed")
+        .agg(F.count("*").alias("held"))
+        .where("held = needed")
     )
     return _best(
         hits.withColumn("score", F.lit(0.0)),

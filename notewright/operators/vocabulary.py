@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import SEPARATORS, fold_text, phrase, split_words, token_runs, tokens, trimmed
 from ..functions.values import GENERIC_TERMS, LINK_SCHEME, MINIMUM_TERM_LENGTH
 
+BROADCAST_BYTES = 64 * 1024 * 1024
+
 
 def _telling(term: Column) -> Column:
     return (F.length(term) >= MINIMUM_TERM_LENGTH) & ~term.isin(GENERIC_TERMS)
@@ -46,16 +48,16 @@ def project_vocabulary(
 
 
 def anchor_keys(vocabulary: DataFrame) -> DataFrame:
-    """``(project_id, gram, words)``: what must stand in a text for a term to be there.
+    """``(project_id, run, first, words)``: what must stand in a text for a term to be there.
 
-    A plain word is its own key; a term of several words is their sequence. A single word with
+    A plain word is its own run; a term of several words is their sequence. A single word with
     separators around it can only match through its bare form, which is a term of its own.
     """
     words = split_words(F.col("term"))
     plain = F.col("term").rlike(r"^[a-z0-9]+\z")
     return (
         vocabulary.where(plain | (F.size(words) > 1))
-        .select("project_id", phrase(words).alias("gram"), F.size(words).alias("words"))
+        .select("project_id", phrase(words).alias("run"), words[0].alias("first"), F.size(words).alias("words"))
         .distinct()
     )
 
@@ -66,45 +68,76 @@ def mentions_person(text: Column, scheme: str = LINK_SCHEME) -> Column:
 
 
 def anchored(
-    df: DataFrame, vocabulary: DataFrame, ids: list[str], text: str, scheme: str = LINK_SCHEME
+    df: DataFrame, keys: DataFrame, ids: list[str], text: str, scheme: str = LINK_SCHEME
 ) -> DataFrame:
-    """Adds ``anchored``: the text holds a term of its project's vocabulary and names no person.
+    """Rows whose text holds a term of its project's vocabulary and names no person.
 
-    Texts become runs of words, joined on ``(project_id, run)``: an equi join that needs no list of
-    a whole vocabulary anywhere. Only run lengths some term has are made. A row's other columns ride
-    on its first run alone, so the join carries short rows and the input is read once.
-    ``ids`` must name a row within its project.
+    ``keys`` are the vocabulary's anchor keys, best checkpointed: they are measured first. ``ids``
+    name a row within its project. While the keys are small enough to broadcast, each word of a text
+    is looked up as the first word of a term, inside the task that read it. Beyond that size the
+    words and word runs are shuffled to the keys.
     """
-    keys = anchor_keys(vocabulary)
-    lengths = keys.agg(F.sort_array(F.collect_set("words"))).scalar()
-    runs = F.array_distinct(
-        F.flatten(F.transform("_lengths", lambda n: token_runs(F.col("_words"), n)))
+    size = keys.agg(
+        F.coalesce(F.sum(F.octet_length("run") * 2 + F.octet_length("project_id")), F.lit(0)).alias("bytes"),
+        F.sort_array(F.collect_set("words")).alias("lengths"),
+    ).first()
+    open_to_all = df.where(~mentions_person(F.col(text), scheme))
+    if size["bytes"] <= BROADCAST_BYTES:
+        return _anchored_in_place(open_to_all, keys, ids, text)
+    return _anchored_by_shuffle(open_to_all, keys, ids, text, size["lengths"])
+
+
+def _anchored_in_place(df: DataFrame, keys: DataFrame, ids: list[str], text: str) -> DataFrame:
+    spoken = df.select("*", tokens(F.col(text)).alias("_words")).select(
+        *df.columns,
+        F.concat(F.lit(" "), phrase(F.col("_words")), F.lit(" ")).alias("_padded"),
+        F.explode_outer(F.array_distinct("_words")).alias("_word"),
     )
-    person = mentions_person(F.col(text), scheme)
-    rest = [c for c in df.columns if c not in ("project_id", *ids)]
-    made = (
-        df.select(
-            "project_id",
-            *ids,
-            F.struct(*rest).alias("_row"),
-            person.alias("_person"),
-            tokens(F.col(text)).alias("_words"),
-            lengths.alias("_lengths"),
+    known = F.broadcast(
+        keys.select(
+            F.col("project_id").alias("_project"),
+            "first",
+            F.concat(F.lit(" "), "run", F.lit(" ")).alias("_run"),
         )
-        .select("project_id", *ids, "_row", F.when(~F.col("_person"), runs).alias("_runs"))
-        .select("project_id", *ids, "_row", F.posexplode_outer("_runs").alias("_pos", "gram"))
-        .select(
-            "project_id",
-            *ids,
-            "gram",
-            F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_row")).alias("_row"),
+    )
+    holds = (
+        (F.col("project_id") == F.col("_project"))
+        & (F.col("_word") == F.col("first"))
+        & F.contains("_padded", "_run")
+    )
+    return (
+        spoken.join(known, holds, "left_semi")
+        .select(*df.columns)
+        .dropDuplicates(["project_id", *ids])
+    )
+
+
+def _anchored_by_shuffle(
+    df: DataFrame, keys: DataFrame, ids: list[str], text: str, lengths: list[int]
+) -> DataFrame:
+    """An equi join of word runs on ``(project_id, run)``, made for the lengths some term has.
+
+    A row's other columns ride on its first run alone, so the shuffle carries short rows and the
+    input is read once.
+    """
+    words = F.col("_words")
+    runs = F.array_distinct(
+        F.concat(
+            *[words if n == 1 else token_runs(words, F.lit(n)) for n in lengths],
+            F.array().cast("array<string>"),
         )
     )
-    found = made.join(
-        keys.select("project_id", "gram", F.lit(True).alias("_hit")), ["project_id", "gram"], "left"
+    rest = [c for c in df.columns if c not in ("project_id", *ids)]
+    made = (
+        df.select("project_id", *ids, F.struct(*rest).alias("_row"), tokens(F.col(text)).alias("_words"))
+        .select("project_id", *ids, "_row", F.posexplode(runs).alias("_pos", "run"))
+        .select("project_id", *ids, "run", F.when(F.col("_pos") == 0, F.col("_row")).alias("_row"))
     )
+    known = keys.select("project_id", "run", F.lit(True).alias("_hit"))
     return (
-        found.groupBy("project_id", *ids)
-        .agg(F.max("_row").alias("_row"), F.coalesce(F.max("_hit"), F.lit(False)).alias("anchored"))
-        .select("project_id", *ids, "_row.*", "anchored")
+        made.join(known, ["project_id", "run"], "left")
+        .groupBy("project_id", *ids)
+        .agg(F.max("_row").alias("_row"), F.max("_hit").alias("_hit"))
+        .where("_hit")
+        .select("project_id", *ids, "_row.*")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..functions.values import LINK_SCHEME
 from ..operators import blocks as B
 from ..operators.bullets import accepted_bullets, first_bullets, trim_titles
+from ..operators.vocabulary import anchor_keys
 from ..session import durable
 
 
@@ -15,16 +16,17 @@ def render_fresh(
 ) -> DataFrame:
     """Entries with at least one accepted bullet, in the pool's shape.
 
-    Titles are trimmed last, for rendered entries only.
+    Titles are trimmed last, for rendered entries only. Checkpointed are the vocabulary's keys and
+    the rendered entries, at most six bullets each: both are read several times, and the text
+    pipeline behind the entries should run once.
     """
+    keys = durable(anchor_keys(vocabulary))
     listed = entries.join(deny, "project_id", "left")
     bullets = accepted_bullets(
-        listed, vocabulary, ["summary_id"], ["category", "title", "created_at", "entry_pos"], scheme
-    )
-    rendered = B.render_entries(first_bullets(bullets, ["summary_id"]), ["summary_id"])
-    titled = trim_titles(
-        rendered.join(deny, "project_id", "left"), vocabulary, ["summary_id"], scheme
+        listed, keys, ["summary_id"], ["category", "title", "created_at", "entry_pos"], scheme
     )
+    rendered = durable(B.render_entries(first_bullets(bullets, ["summary_id"]), ["summary_id"]))
+    titled = trim_titles(rendered.join(deny, "project_id", "left"), keys, ["summary_id"], scheme)
     return B.fresh_entries(titled)
 
 
@@ -35,12 +37,8 @@ def merged_top(
     deny: DataFrame,
     scheme: str = LINK_SCHEME,
 ) -> DataFrame:
-    """The entries each block will hold: fresh ones and earlier ones, four per topic.
-
-    Fresh entries are used twice, to supersede earlier ones and in the pool. They are checkpointed
-    so that the text pipeline behind them runs once.
-    """
-    fresh = durable(render_fresh(entries, vocabulary, deny, scheme))
+    """The entries each block will hold: fresh ones and earlier ones, four per topic."""
+    fresh = render_fresh(entries, vocabulary, deny, scheme)
     kept = B.drop_superseded(B.refilter_kept(B.parse_block(notes), deny, scheme), fresh)
     return B.top_entries(B.union_pool(fresh, kept))
 

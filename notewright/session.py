@@ -17,6 +17,9 @@ def local_session(name: str, cpus: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.files.openCostInBytes", "64k")
+        # Text work costs far more per byte than the default sizing of shuffle reads assumes.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notewright.functions.redaction import redact
-from notewright.functions.text import squash_spaces
+from notewright.functions import text as T
 from notewright.functions.values import CATEGORIES, UNTITLED
 from notewright.operators import bullets as B
 from notewright.operators import requests as R
@@ -22,8 +22,10 @@ BULLETS = f"(SELECT doc_id, CAST(line_pos AS BIGINT) AS line_pos, {Q.content('li
 
 def contents(t: Tables):
     """Every dressed line's bullet content, none left out but lines that are no bullets."""
-    lines = t.bullets().select("doc_id", F.col("line_pos").cast("bigint").alias("line_pos"), B.bullet_content(F.col("line")).alias("content"))
-    return lines.where("content <> ''")
+    lines = T.evaluated(t.bullets(), "content", B.bullet_content(F.col("line")))
+    return lines.where("content <> ''").select(
+        "doc_id", F.col("line_pos").cast("bigint").alias("line_pos"), "content"
+    )
 
 
 def _lines_query(name: str, where: str, keep):
@@ -87,8 +89,10 @@ _lines_query("keep_past_tense", Q.past("content"), B.is_past_tense)
     ),
 )
 def _(t: Tables):
-    scrubbed = contents(t).select(*KEYS, squash_spaces(redact(F.col("content"))).alias("scrubbed"))
-    return scrubbed.where(~B.is_placeholder(F.col("scrubbed")))
+    scrubbed = T.squash_spaces(redact("content"))
+    return T.evaluated(contents(t), "scrubbed", scrubbed).where(~B.is_placeholder(F.col("scrubbed"))).select(
+        *KEYS, "scrubbed"
+    )
 
 
 @query(

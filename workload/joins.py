@@ -8,7 +8,8 @@ from notewright.operators import blocks as B
 from notewright.operators import sessions as S
 from notewright.operators.bullets import deny_filter
 from notewright.operators.trace import chain_trace
-from notewright.operators.vocabulary import anchored
+from notewright.operators.vocabulary import anchor_keys, anchored
+from notewright.session import durable
 
 from . import sql as Q
 from .filters import contents
@@ -73,7 +74,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     lines = contents(t).join(t.documents().select("doc_id", F.col("source").alias("project_id")), "doc_id")
-    return anchored(lines, t.vocabulary(), ["doc_id", "line_pos"], "content").where("anchored").drop("anchored")
+    keys = durable(anchor_keys(t.vocabulary()))
+    return anchored(lines, keys, ["doc_id", "line_pos"], "content")
 
 
 @query(

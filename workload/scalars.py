@@ -10,7 +10,8 @@ from notewright.functions.values import MARKER_END, MARKER_START
 from notewright.operators import blocks as B
 from notewright.operators.bullets import first_bullets, trim_titles, truncate_bullet
 from notewright.operators.requests import project_terms
-from notewright.operators.vocabulary import term_parts
+from notewright.operators.vocabulary import anchor_keys, term_parts
+from notewright.session import durable
 
 from . import sql as Q
 from .filters import BULLETS, contents
@@ -85,7 +86,7 @@ def _secret_lines(t: Tables):
     Q.using(["secrets"], f"SELECT doc_id, CAST(line_pos AS BIGINT) AS line_pos, {Q.redact_secrets('line')} AS line FROM secrets"),
 )
 def _(t: Tables):
-    return _secret_lines(t).select("doc_id", "line_pos", X.redact_secrets(F.col("line")).alias("line"))
+    return _secret_lines(t).select("doc_id", "line_pos", X.redact_secrets("line").alias("line"))
 
 
 @query(
@@ -94,7 +95,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return t.bullets().join(t.deny(), "project_id", "left").select(
-        "doc_id", F.col("line_pos").cast("bigint").alias("line_pos"), X.redact_denied(F.col("line"), F.col("denied")).alias("line")
+        "doc_id", F.col("line_pos").cast("bigint").alias("line_pos"), X.redact_denied("line", "denied").alias("line")
     )
 
 
@@ -103,7 +104,7 @@ def _(t: Tables):
     Q.using(["secrets"], f"SELECT doc_id, CAST(line_pos AS BIGINT) AS line_pos, {Q.repair_links('line')} AS line FROM secrets"),
 )
 def _(t: Tables):
-    return _secret_lines(t).select("doc_id", "line_pos", X.repair_links(F.col("line")).alias("line"))
+    return _secret_lines(t).select("doc_id", "line_pos", X.repair_links("line").alias("line"))
 
 
 @query(
@@ -118,10 +119,10 @@ def _(t: Tables):
     """Lines with the project's denied terms, and whole pages without any."""
     lines = t.secrets().join(t.deny(), "project_id", "left").select(
         F.concat(F.lit("d"), doc().cast("string"), F.lit("-"), F.col("line_pos").cast("string")).alias("id"),
-        X.redact(F.col("line"), F.col("denied")).alias("text"),
+        X.redact("line", "denied").alias("text"),
     )
     pages = t.given("pages").select(
-        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), X.redact(F.col("html")).alias("text")
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), X.redact("html").alias("text")
     )
     return lines.unionByName(pages)
 
@@ -160,7 +161,8 @@ _SEPARATOR = Q.text(f"(?i)[{Q.WS}]+and[{Q.WS}]+")
 )
 def _(t: Tables):
     titles = t.titles().where("name is not null").select("project_id", "doc_id", F.col("name").alias("title"))
-    return trim_titles(titles.join(t.deny(), "project_id", "left"), t.vocabulary(), ["doc_id"]).drop("denied")
+    keys = durable(anchor_keys(t.vocabulary()))
+    return trim_titles(titles.join(t.deny(), "project_id", "left"), keys, ["doc_id"]).drop("denied")
 
 
 @query(

@@ -6,6 +6,9 @@ document sources; hits are events. ``workload.sql`` states the same mapping in S
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,14 +51,29 @@ def mapped(key: Column, values: dict[str, str]) -> Column:
     return picked
 
 
+def shared(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """One DataFrame per table and session folder, so that equal scans and exchanges are reused."""
+
+    @wraps(build)
+    def once(self: Tables) -> DataFrame:
+        if build.__name__ not in self.built:
+            self.built[build.__name__] = build(self)
+        return self.built[build.__name__]
+
+    return once
+
+
 class Tables:
     """Lazy tables over one folder of the given parquet files."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.built: dict[str, DataFrame] = {}
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self.built:
+            self.built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.built[name]
 
     def documents(self) -> DataFrame:
         return self.given("documents")
@@ -73,6 +91,7 @@ class Tables:
             "doc_id", *(keep or []), F.replace("joined", F.lit("\n"), F.col("glue")).alias("text")
         )
 
+    @shared
     def bodies(self) -> DataFrame:
         return self.dressed(BULLETS, ["source"])
 
@@ -89,9 +108,11 @@ class Tables:
             line_column(templates, F.col("doc_id"), F.col("raw"), F.col("line_pos")).alias("line"),
         )
 
+    @shared
     def secrets(self) -> DataFrame:
         return self.bullets(SECRETS)
 
+    @shared
     def words(self) -> DataFrame:
         """``(doc_id, source, w1, w2, w3)``: each document's first words of five letters or more."""
         long = F.filter(tokens(F.col("text")), lambda w: F.length(w) >= 5)
@@ -107,6 +128,7 @@ class Tables:
 
     # --- projects and what their repositories hold ------------------------------------------------
 
+    @shared
     def projects(self) -> DataFrame:
         """One per document source, named after the part of its first document."""
         first = self.documents().groupBy(F.col("source").alias("project_id")).agg(
@@ -128,11 +150,13 @@ class Tables:
             choose(n, ["14", " 30 ", F.lit(None).cast("string"), "21", "0", "25", "28"]).alias("window_days"),
         )
 
+    @shared
     def terms(self) -> DataFrame:
         return self.projects().select(
             "project_id", project_terms(F.col("project"), F.col("aliases")).alias("terms")
         )
 
+    @shared
     def listing(self) -> DataFrame:
         """``(project_id, path)``: one listed file per document."""
         path = choose(
@@ -148,6 +172,7 @@ class Tables:
         )
         return self.words().select(F.col("source").alias("project_id"), path.alias("path"))
 
+    @shared
     def manifests(self) -> DataFrame:
         """``(project_id, raw)``: one manifest per document; some are broken."""
         raw = choose(
@@ -161,11 +186,13 @@ class Tables:
         )
         return self.words().select(F.col("source").alias("project_id"), raw.alias("raw"))
 
+    @shared
     def vocabulary(self) -> DataFrame:
         return project_vocabulary(
             self.terms(), repo_names(self.listing()), manifest_names(self.manifests())
         )
 
+    @shared
     def deny_rows(self) -> DataFrame:
         """``(project_id, term, pos)``: a licence word and two of the first document's words."""
         first = self.words().join(
@@ -178,11 +205,13 @@ class Tables:
             ).alias("pos", "term"),
         )
 
+    @shared
     def deny(self) -> DataFrame:
         return deny_lists(self.deny_rows())
 
     # --- sessions, hits and annotations -----------------------------------------------------------
 
+    @shared
     def titles(self) -> DataFrame:
         """``(doc_id, project_id, name, w1)``: every document's session title."""
         part = self.given("part").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_type")
@@ -201,6 +230,7 @@ class Tables:
             "doc_id", F.col("source").alias("project_id"), name.alias("name"), "w1"
         )
 
+    @shared
     def summaries(self) -> DataFrame:
         """One session per document; some dates are missing or unreadable."""
         d = F.col("doc_id")
@@ -216,6 +246,7 @@ class Tables:
             d.alias("snapshot_pos"),
         )
 
+    @shared
     def annotations(self) -> DataFrame:
         """Three per document: a description, mostly a summary, and a profile that is never read."""
         d = F.col("doc_id")
@@ -244,6 +275,7 @@ class Tables:
             (d * 4 + F.col("k")).alias("ann_pos"),
         )
 
+    @shared
     def hits(self) -> DataFrame:
         """Events as hits; scores tie and reach zero."""
         e = F.col("event_id")
@@ -257,6 +289,7 @@ class Tables:
             e.alias("hit_pos"),
         )
 
+    @shared
     def turns(self) -> DataFrame:
         """Conversation turns as annotations of their conversation."""
         return self.given("conversations").select(
@@ -269,6 +302,7 @@ class Tables:
 
     # --- notes ------------------------------------------------------------------------------------
 
+    @shared
     def notes(self) -> DataFrame:
         """``(project_id, content)``, one per document: text around a block, or broken markers."""
         d = F.col("doc_id")
@@ -290,6 +324,7 @@ class Tables:
             F.concat(F.lit("n"), d.cast("string")).alias("project_id"), content.alias("content")
         )
 
+    @shared
     def project_notes(self) -> DataFrame:
         """Each project's document is its first document's note."""
         first = self.projects().select(
