@@ -1,0 +1,111 @@
+import json
+
+from pyspark.sql import functions as F
+
+from notewright.functions import variants as V
+from notewright.sources import messages as M
+from notewright.sources import notes as N
+from notewright.sources import payloads as P
+from notewright.sources import repositories as R
+
+
+def test_strict_json_refuses_trailing_text(column):
+    texts = ["12 apples", "12", '{"a":1}', '{"a":1} x', "1] x", "1,2", "", "  ", "null", '"t"', "[1,2]"]
+    out = column(texts, lambda n: F.to_json(V.strict_json(F.col(n))))
+    assert out == [None, "12", '{"a":1}', None, None, None, None, None, "null", '"t"', "[1,2]"]
+
+
+def test_payload_readers_skip_malformed_parts(spark):
+    payload = {
+        "results": [{"identifier": "a", "score": 2}, {"identifier": ""}, {"identifier": 3}, None, {"identifier": "b", "score": "x"}]
+    }
+    df = spark.createDataFrame([("p", json.dumps(payload)), ("q", "{}"), ("r", "[1]"), ("s", "x")], "k string, payload string")
+    assert [tuple(r) for r in P.semantic_hits(df, ["k"]).collect()] == [("p", "a", 2.0, 0), ("p", "b", 0.0, 4)]
+
+    keyword = {"results": [{"summary": {"id": "z"}}, {"summary": 3}, {"id": "y"}]}
+    df = spark.createDataFrame([("p", json.dumps(keyword))], "k string, payload string")
+    assert [tuple(r) for r in P.keyword_hits(df, ["k"]).collect()] == [("p", "z", 0.0, 0)]
+
+
+def test_snapshots(spark):
+    items = [
+        {"id": "s", "created": {"value": "2024"}, "annotations": {"indices": {"b": 1, "a": None}}},
+        5,
+        {"id": "t", "name": 7, "created": {"value": 3}, "annotations": {"indices": [1]}},
+    ]
+    df = spark.createDataFrame([("p", json.dumps({"items": items}))], "k string, payload string")
+    rows = P.summary_fields(P.snapshot_items(df, ["k"]), ["k"]).collect()
+    assert [(r.summary_id, r.name, r.created_at, sorted(r.annotation_ids), r.snapshot_pos) for r in rows] == [
+        ("s", None, "2024", ["a", "b"], 0),
+        ("t", None, None, [], 2),
+    ]
+    notes = json.dumps({"items": [{"id": "a", "type": "SUMMARY", "text": "x"}, {"id": 1}]})
+    df = spark.createDataFrame([("p", notes)], "k string, payload string")
+    rows = P.annotation_fields(P.snapshot_items(df, ["k"]), ["k"]).collect()
+    assert [(r.annotation_id, r.type, r.text) for r in rows] == [("a", "SUMMARY", "x"), (None, None, None)]
+
+
+def test_event_streams(spark):
+    answer = '{"id":"42","result":{}}'
+    bodies = [
+        (f"event: message\ndata: {answer}\n\n", None, "42"),
+        (f"event: ping\n\ndata: not json\n\ndata:{answer}\n\n", None, "42"),
+        ("event: ping\n\n", None, None),
+        ("no stream", None, None),
+        (f'data: {{"method":"note"}}\r\n\r\ndata: {answer}\r\n\r\n', None, "42"),
+        (f'data: {{"id":"other","result":{{}}}}\n\ndata: {answer}\n\n', "42", "42"),
+        (f'data: {{"id":"other","result":{{}}}}\n\ndata: {answer}\n\n', "43", "other"),
+        ('data: {"id":42,"result":{}}\n\n', "42", None),
+        ('data: {"id":"a",\ndata: "result":null}\n\n', None, "a"),
+    ]
+    df = spark.createDataFrame([(i, r, w) for i, (r, w, _) in enumerate(bodies)], "i int, raw string, wanted string")
+    out = M.decode_messages(df, ["i"], request_id="wanted").orderBy("i")
+    assert [r[0] for r in out.select(V.text_at(F.col("message"), "$.id")).collect()] == [b[2] for b in bodies]
+
+
+def test_tool_results(spark):
+    def body(text):
+        return json.dumps({"result": {"content": [{"text": text}]}})
+
+    bodies = [body('{"items":[]}'), body("12 found"), "data: " + body("7") + "\n\n", '{"error":{}}', "[]", body(5), "junk"]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
+    out = M.decode_tool_results(df, ["i"]).orderBy("i").select("status", F.to_json("value")).collect()
+    assert [tuple(r) for r in out] == [
+        ("ok", '{"items":[]}'), ("ok", '"12 found"'), ("ok", "7"),
+        ("call-failed", None), ("call-failed", None), ("call-failed", None), ("call-failed", None),
+    ]
+
+
+def test_repository_files(spark, tmp_path):
+    shop = tmp_path / "my shop"
+    (shop / "src" / "models").mkdir(parents=True)
+    (shop / "dist").mkdir()
+    (shop / "deny.txt").write_text("# people\n Jane Doe \r\n\nAcme\n", encoding="utf8")
+    (shop / "src" / "models" / "x.ts").write_text("x")
+    (shop / "src" / ".hidden").write_text("x")
+    (shop / "dist" / "bundle.js").write_text("x")
+    terms = R.deny_terms(R.read_whole_files(spark, str(tmp_path / "*" / "deny.txt")))
+    assert [tuple(r) for r in terms.orderBy("pos").collect()] == [("my shop", "Jane Doe", 1), ("my shop", "Acme", 3)]
+    assert R.deny_lists(terms).first()["denied"] == ["Jane Doe", "Acme"]
+    listing = R.read_listing(spark, str(tmp_path))
+    assert {r["name"] for r in R.repo_names(listing).collect()} == {"deny", "src", "models"}
+
+
+def test_manifests(spark):
+    rows = [
+        ("a", '\ufeff{"name":"w-f","dependencies":{"knex":"1"},"devDependencies":{"ava":"2"}}'),
+        ("b", '{"name":5,"dependencies":["x"]}'),
+        ("c", "not json"),
+        ("d", "[]"),
+    ]
+    out = R.manifest_names(spark.createDataFrame(rows, "project_id string, raw string")).collect()
+    assert sorted(map(tuple, out)) == [("a", "ava"), ("a", "knex"), ("a", "w-f")]
+
+
+def test_notes_round_trip(spark, tmp_path):
+    projects = spark.createDataFrame([("a",), ("b",)], "project_id string")
+    notes = spark.createDataFrame([("a", "x")], "project_id string, content string")
+    assert {tuple(r) for r in N.read_notes(projects, notes).collect()} == {("a", "x"), ("b", "")}
+    applied = spark.createDataFrame([("a", "written", "1\n2"), ("b", "conflict", "x")], "project_id string, status string, content string")
+    N.write_notes(applied, str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", "1\n2")]
