@@ -12,6 +12,7 @@ import statistics
 import sys
 import tempfile
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,20 +32,20 @@ from workload.tables import NOW, Tables
 
 ENGINE_TABLES = [
     "projects", "terms", "hits", "summaries", "annotations", "turns", "vocabulary", "deny",
-    "project_notes", "bullets", "secrets", "titles",
+    "project_notes", "bullets", "secrets", "titles", "documents", "embeddings", "benchmark",
 ]
 
 
 def prepare(spark: SparkSession, folder: str, out: str) -> dict[str, DataFrame]:
     tables = Tables(spark, folder)
     for name in ENGINE_TABLES:
-        getattr(tables, name)().repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{out}/{name}")
+        source = getattr(tables, name)() if hasattr(tables, name) else tables.given(name)
+        source.repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{out}/{name}")
     return {name: spark.read.parquet(f"{out}/{name}") for name in ENGINE_TABLES}
 
 
-def headline(spark: SparkSession, folder: str, t: dict[str, DataFrame]):
+def headline(t: dict[str, DataFrame]) -> dict[str, Callable[[], DataFrame]]:
     now = F.lit(NOW).cast("timestamp")
-    given = Tables(spark, folder).given
     valid = normalise_requests(t["projects"]).where("days is not null and target_name is not null")
 
     def bullets() -> DataFrame:
@@ -55,16 +56,16 @@ def headline(spark: SparkSession, folder: str, t: dict[str, DataFrame]):
         )
 
     def vectors() -> DataFrame:
-        rows = given("embeddings").select(F.col("vec_id").alias("summary_id"), "embedding", "label")
+        rows = t["embeddings"].select(F.col("vec_id").alias("summary_id"), "embedding", "label")
         asked = rows.groupBy("label").agg(F.min_by("embedding", "summary_id").alias("query_vector"))
         return semantic_topk(rows, asked, ["label"], 8, threshold=0.1)
 
     def words() -> DataFrame:
-        docs = given("documents").select(
+        docs = t["documents"].select(
             F.col("doc_id").alias("summary_id"), "text", F.col("n_chars").alias("created_at")
         )
         first_words = F.array_join(F.slice(tokens(F.col("text")), 1, 2), " ")
-        asked = given("benchmark").select("item_id", first_words.alias("query_text"))
+        asked = t["benchmark"].select("item_id", first_words.alias("query_text"))
         return keyword_topk(docs, asked, ["item_id"], 8)
 
     def collected() -> DataFrame:
@@ -107,7 +108,7 @@ def main() -> None:
     tables = prepare(spark, folder, tempfile.mkdtemp(prefix="notewright-bench-"))
     prepared = time.time() - start
     seconds = {}
-    for name, build in headline(spark, folder, tables).items():
+    for name, build in headline(tables).items():
         runs = []
         for _ in range(3):
             start = time.time()

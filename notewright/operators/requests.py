@@ -11,6 +11,7 @@ from ..functions.values import (
     DEFAULT_SEARCH_LIMIT,
     DEFAULT_WINDOW_DAYS,
     MAX_SEARCH_LIMIT,
+    MAX_WINDOW_DAYS,
     TARGETS,
 )
 
@@ -48,8 +49,11 @@ def search_limit(days: Column) -> Column:
 
 
 def window_since(now: Column, days: Column) -> Column:
-    """``now`` less whole days of 24 hours; a day-time interval ignores daylight saving."""
-    return now - F.make_dt_interval(days.cast("int"))
+    """``now`` less whole days of 24 hours; a day-time interval ignores daylight saving.
+
+    Further back than a date can lie the result is null, and no session is inside the window.
+    """
+    return now - F.when(days <= MAX_WINDOW_DAYS, F.make_dt_interval(days.cast("int")))
 
 
 def project_terms(project: Column, aliases: Column) -> Column:

@@ -26,10 +26,11 @@ def _dot(left: Column, right: Column) -> Column:
     )
 
 
-def _unit(vector: Column) -> Column:
+def _measured(df: DataFrame, vector: str, keep: list[Column | str], name: str) -> DataFrame:
+    """``keep`` plus the vector in double precision and its length; null for a zero vector."""
     wide = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda total, x: total + x * x))
-    return F.when(norm > 0, F.transform(wide, lambda x: x / norm))
+    norm = F.sqrt(F.aggregate(F.col(name), F.lit(0.0), lambda total, x: total + x * x))
+    return df.select(*keep, wide.alias(name)).withColumn(f"{name}_norm", F.nullif(norm, F.lit(0.0)))
 
 
 def semantic_topk(
@@ -55,12 +56,12 @@ def semantic_topk(
     ).first()
     set_count = max(1, ceil(size["n"] / QUERIES_PER_SET))
     packed = (
-        queries.select(*keys, limit.alias("_limit"), _unit(F.col("query_vector")).alias("unit"))
+        _measured(queries, "query_vector", [*keys, limit.alias("_limit")], "asked")
         .withColumn("_set", F.pmod(F.xxhash64(*keys), F.lit(set_count)))
         .groupBy("_set")
-        .agg(F.collect_list(F.struct(*keys, "_limit", "unit")).alias("asked"))
+        .agg(F.collect_list(F.struct(*keys, "_limit", "asked", "asked_norm")).alias("queries"))
     )
-    candidates = vectors.select("summary_id", _unit(F.col("embedding")).alias("own"))
+    candidates = _measured(vectors, "embedding", ["summary_id"], "own")
     every_set = F.sequence(F.lit(0).cast("bigint"), F.lit(set_count - 1).cast("bigint"))
     if size["n"] * size["dims"] * 8 <= BROADCAST_BYTES:
         joined = candidates.withColumn("_set", F.explode(every_set)).join(F.broadcast(packed), "_set")
@@ -71,10 +72,14 @@ def semantic_topk(
             .withColumn("_set", F.explode(every_set))
             .join(packed.withColumn("_salt", F.explode(salts)), ["_set", "_salt"])
         )
+
+    def cosine(q: Column) -> Column:
+        return _dot(F.col("own"), q["asked"]) / (F.col("own_norm") * q["asked_norm"])
+
     scored = F.transform(
-        "asked",
+        "queries",
         lambda q: F.struct(
-            *[q[k].alias(k) for k in keys], q["_limit"].alias("_limit"), _dot(F.col("own"), q["unit"]).alias("score")
+            *[q[k].alias(k) for k in keys], q["_limit"].alias("_limit"), cosine(q).alias("score")
         ),
     )
     # The outer form: from the inner one Catalyst infers a filter that would score everything twice.
