@@ -106,6 +106,9 @@ def test_notes_round_trip(spark, tmp_path):
     projects = spark.createDataFrame([("a",), ("b",)], "project_id string")
     notes = spark.createDataFrame([("a", "x")], "project_id string, content string")
     assert {tuple(r) for r in N.read_notes(projects, notes).collect()} == {("a", "x"), ("b", "")}
+    asked = spark.createDataFrame([("a", "CLAUDE.md"), ("b", "AGENTS.md")], "project_id string, target_name string")
+    both = spark.createDataFrame([("a", "AGENTS.md", "x"), ("a", "CLAUDE.md", "y")], "project_id string, target string, content string")
+    assert [tuple(r) for r in N.notes_of_target(asked, both).collect()] == [("a", "y")]
     applied = spark.createDataFrame([("a", "written", "1\n2"), ("b", "conflict", "x")], "project_id string, status string, content string")
     N.write_notes(applied, str(tmp_path / "out"))
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", "1\n2")]
