@@ -97,7 +97,7 @@ def parse_block(notes: DataFrame) -> DataFrame:
         .select("project_id", inside.alias("inside"))
         .select(
             "project_id",
-            F.posexplode(F.split("inside", rf"(?dm)^(?={SECTION_LINE}$)")).alias("section_pos", "section"),
+            F.posexplode_outer(F.split("inside", rf"(?dm)^(?={SECTION_LINE}$)")).alias("section_pos", "section"),
         )
         .withColumn("heading", F.regexp_extract("section", f"^{SECTION_LINE}", 1))
     )
@@ -105,7 +105,7 @@ def parse_block(notes: DataFrame) -> DataFrame:
         "project_id",
         "category",
         "section_pos",
-        F.posexplode(F.split("section", rf"(?dm)^(?={ENTRY_LINE}$)")).alias("entry_pos", "entry"),
+        F.posexplode_outer(F.split("section", rf"(?dm)^(?={ENTRY_LINE}$)")).alias("entry_pos", "entry"),
     )
     lines = F.split("entry", "\n")
     return (

@@ -161,7 +161,7 @@ def trim_titles(
     title = squash_spaces(redact("_title", "denied", scheme))
     clean = evaluated(entries.withColumnRenamed("title", "_title"), "title", title).drop("_title")
     parts = clean.select(
-        "project_id", *ids, F.posexplode(F.split("title", TITLE_SEPARATOR)).alias("part_pos", "part")
+        "project_id", *ids, F.posexplode_outer(F.split("title", TITLE_SEPARATOR)).alias("part_pos", "part")
     )
     chosen = F.array_sort(F.collect_list(F.struct("part_pos", "part")))
     kept = (

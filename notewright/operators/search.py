@@ -109,7 +109,7 @@ def keyword_topk(
     wanted = asked.select(*keys, "_limit", "words", F.explode("words").alias("word"))
     spoken = durable(
         documents.select(
-            "summary_id", "created_at", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")
+            "summary_id", "created_at", F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("word")
         ).join(wanted.select("word").distinct(), "word", "left_semi")
     )
     counted = wanted.join(spoken.groupBy("word").agg(F.count("*").alias("n")), "word", "left")

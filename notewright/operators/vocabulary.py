@@ -32,12 +32,12 @@ def union_terms(project_terms: DataFrame, names: DataFrame, manifests: DataFrame
     ``project_terms`` is ``(project_id, terms)``; the others are ``(project_id, name)``.
     """
     own = project_terms.select("project_id", F.explode("terms").alias("name")).select(
-        "project_id", F.explode(term_parts(F.col("name"), forced=True)).alias("term")
+        "project_id", F.explode_outer(term_parts(F.col("name"), forced=True)).alias("term")
     )
     listed = names.unionByName(manifests).select(
-        "project_id", F.explode(term_parts(F.col("name"))).alias("term")
+        "project_id", F.explode_outer(term_parts(F.col("name"))).alias("term")
     )
-    return own.unionByName(listed)
+    return own.unionByName(listed).where("term is not null")
 
 
 def project_vocabulary(
@@ -130,7 +130,7 @@ def _anchored_by_shuffle(
     rest = [c for c in df.columns if c not in ("project_id", *ids)]
     made = (
         df.select("project_id", *ids, F.struct(*rest).alias("_row"), tokens(F.col(text)).alias("_words"))
-        .select("project_id", *ids, "_row", F.posexplode(runs).alias("_pos", "run"))
+        .select("project_id", *ids, "_row", F.posexplode_outer(runs).alias("_pos", "run"))
         .select("project_id", *ids, "run", F.when(F.col("_pos") == 0, F.col("_row")).alias("_row"))
     )
     known = keys.select("project_id", "run", F.lit(True).alias("_hit"))

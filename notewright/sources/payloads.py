@@ -13,9 +13,11 @@ from ..functions import variants as V
 
 
 def _elements(df: DataFrame, keys: list[str], payload: str, path: str, pos: str) -> DataFrame:
+    """One row per array element. The outer form, here and elsewhere: from the inner one Catalyst
+    infers a filter on the array's size, which would parse every payload twice."""
     return df.select(
-        *keys, F.posexplode(V.elements_at(V.variant_of(df, payload), path)).alias(pos, "item")
-    )
+        *keys, F.posexplode_outer(V.elements_at(V.variant_of(df, payload), path)).alias(pos, "item")
+    ).where(F.col(pos).isNotNull())
 
 
 def semantic_hits(df: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:

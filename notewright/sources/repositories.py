@@ -34,7 +34,7 @@ def read_listing(spark: SparkSession, root: str) -> DataFrame:
 def deny_terms(files: DataFrame) -> DataFrame:
     """``(project_id, raw)`` to ``(project_id, term, pos)``: trimmed lines, no blanks or # comments."""
     return (
-        files.select("project_id", F.posexplode(F.split("raw", LINE_BREAK)).alias("pos", "line"))
+        files.select("project_id", F.posexplode_outer(F.split("raw", LINE_BREAK)).alias("pos", "line"))
         .select("project_id", trimmed(F.col("line")).alias("term"), "pos")
         .where((F.col("term") != "") & ~F.col("term").startswith("#"))
     )
@@ -64,13 +64,14 @@ def repo_names(listing: DataFrame) -> DataFrame:
     return (
         listing.select(
             "project_id",
-            F.explode(
+            F.explode_outer(
                 F.when(
                     listed(root),
                     F.when(listed(child), F.array(root, child)).otherwise(F.array(root)),
                 )
             ).alias("entry"),
         )
+        .where("entry is not null")
         .select("project_id", strip_extension(F.col("entry")).alias("name"))
         .distinct()
     )
@@ -86,7 +87,7 @@ def manifest_names(manifests: DataFrame) -> DataFrame:
     manifest = F.col("m")
     return parsed.select(
         "project_id",
-        F.explode(
+        F.explode_outer(
             F.array_compact(
                 F.concat(
                     F.array(V.text_at(manifest, "$.name")),
@@ -95,4 +96,4 @@ def manifest_names(manifests: DataFrame) -> DataFrame:
                 )
             )
         ).alias("name"),
-    ).distinct()
+    ).where("name is not null").distinct()

@@ -100,7 +100,7 @@ class Tables:
         return self.documents().select(
             F.col("source").alias("project_id"),
             "doc_id",
-            F.posexplode(F.split("text", "\n")).alias("line_pos", "raw"),
+            F.posexplode_outer(F.split("text", "\n")).alias("line_pos", "raw"),
         ).select(
             "project_id",
             "doc_id",
