@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
 from .decontaminate import benchmark_hits
+from .fm_dedup import repeated_passages
 from .line_rules import quality_rules
 from .sharding import interleaved_shards
+from .suffix_dedup import repeated_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +29,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def _spanned() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["past"] - s["first"])
+
+
 @query
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return interleaved_shards(table(spark, folder, "documents"), SHARDS).select(
@@ -55,8 +61,21 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["past"] - s["first"])
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "n_words", _spanned().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
     ).withColumn("contaminated", F.col("n_hit") > 0)
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_bytes(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", _spanned().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", _spanned().alias("n_removed"), "kept_sha256"
+    )
