@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import kept, shared_folder
-from .texts import Spans, Texts, mixed, pieces, words
+from .texts import LOWER, Spans, Texts, mixed, pieces, words
 
 PACK_BYTES = 2 << 20
 #: Text for one shard, on average.
@@ -54,9 +54,12 @@ class Scheme:
     window: int
     seed: int
     by_word: bool
+    lower: bool = False
 
     def canonical(self, texts: Texts) -> Texts:
-        """The same units; words get one space after each."""
+        """The same units, A-Z lowered where that is asked for; words get one space after each."""
+        if self.lower:
+            texts = Texts(LOWER[texts.data], texts.offsets)
         if not self.by_word:
             return texts
         found = words(texts)
@@ -105,6 +108,16 @@ def sliding_least(keys: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (size - width)], keys[size - width :]) if size > width else keys
 
 
+Tags = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def tagged(hashes: np.ndarray, buckets: int) -> Tags:
+    """Distinct hashes as (bucket, 40-bit tag) in order; whether each occurs twice; each hash's place in it."""
+    keys = ((hashes >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40)) | (hashes & np.uint64((1 << 40) - 1))
+    distinct, place, times = np.unique(keys, return_inverse=True, return_counts=True)
+    return (distinct >> np.uint64(40)).astype(np.int64), distinct & np.uint64((1 << 40) - 1), times > 1, place
+
+
 class Runs:
     """The runs of windows of one pack: first window, number of windows, seed; and hashes of windows."""
 
@@ -137,11 +150,8 @@ class Runs:
         self.seed = mixed(seeds[anchor[head].astype(np.int64)])
         self.hashes = rolled(values, scheme.window)
 
-    def tags(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct seeds as (bucket, 40-bit tag) in order; whether each occurs twice; each run's place in it."""
-        keys = ((self.seed >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40)) | (self.seed & np.uint64((1 << 40) - 1))
-        distinct, place, times = np.unique(keys, return_inverse=True, return_counts=True)
-        return (distinct >> np.uint64(40)).astype(np.int64), distinct & np.uint64((1 << 40) - 1), times > 1, place
+    def tags(self, buckets: int) -> Tags:
+        return tagged(self.seed, buckets)
 
     def strings(self, state: np.ndarray, shards: int) -> "Strings":
         """The distinct strings to ask about, given each run's state: 0 none, 1 shared, 2 hot."""
@@ -212,37 +222,34 @@ def pack_texts(row: dict) -> Texts:
     return Texts(opened(row["data"], row["size"]), np.frombuffer(row["ends"], np.int64))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     names = [f.split(" ") for f in schema.split(", ")]
     columns = list(zip(*rows)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names)], [n for n, _ in names])
 
 
-def _send_seeds(scheme: Scheme, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            bucket, tag, twice, _ = Runs(scheme, pack_texts(row)).tags(buckets)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                own = slice(edges[b], edges[b + 1])
-                raw = np.ascontiguousarray(tag[own]).view(np.uint8).reshape(-1, 8)[:, :6].copy()
-                raw[:, 5] = twice[own]
-                out.append((b, row["pack"], raw.tobytes()))
-            yield _batch(out, SEEDS)
-
-    return run
+def tag_rows(pack: str, tags: Tags, buckets: int) -> pa.RecordBatch:
+    """A row a bucket: of each distinct hash the tag in five bytes, then whether it occurs twice."""
+    bucket, tag, twice, _ = tags
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    out = []
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        own = slice(edges[b], edges[b + 1])
+        raw = np.ascontiguousarray(tag[own]).view(np.uint8).reshape(-1, 8)[:, :6].copy()
+        raw[:, 5] = twice[own]
+        out.append((b, pack, raw.tobytes()))
+    return batch_of(out, SEEDS)
 
 
 def _judge_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = list(_rows(batches))
+    rows = list(rows_of(batches))
     if not rows:
         return
     raw = np.frombuffer(b"".join(r["tags"] for r in rows), np.uint8).reshape(-1, 6)
@@ -257,11 +264,12 @@ def _judge_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = np.r_[0, np.cumsum(sizes)]
     for k in range(0, len(rows), 500):
         part = range(k, min(k + 500, len(rows)))
-        yield _batch([(rows[i]["pack"], rows[i]["bucket"], squeezed(state[ends[i] : ends[i + 1]])) for i in part], STATES)
+        yield batch_of([(rows[i]["pack"], rows[i]["bucket"], squeezed(state[ends[i] : ends[i + 1]])) for i in part], STATES)
 
 
-def _states(runs: Runs, states: list[dict], buckets: int) -> np.ndarray:
-    bucket, _, _, place = runs.tags(buckets)
+def states_of(tags: Tags, states: list[dict], buckets: int) -> np.ndarray:
+    """The state of every hash: 0 once anywhere, 1 twice or more, 2 in very many packs."""
+    bucket, _, _, place = tags
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     state = np.zeros(len(bucket), np.uint8)
     for s in states or []:
@@ -270,12 +278,33 @@ def _states(runs: Runs, states: list[dict], buckets: int) -> np.ndarray:
     return state[place]
 
 
+def judged(tags: DataFrame, buckets: int) -> DataFrame:
+    """Per pack the states of its hashes, from the rows of ``tag_rows`` of all packs."""
+    return kept(
+        tags.repartition(buckets, "bucket").mapInArrow(_judge_seeds, STATES)
+        .groupBy("pack").agg(F.collect_list(F.struct("bucket", "states")).alias("states"))
+    )
+
+
+def bucket_count(packs: DataFrame) -> int:
+    total = packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return max(int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+
+
+def _send_seeds(scheme: Scheme, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            yield tag_rows(row["pack"], Runs(scheme, pack_texts(row)).tags(buckets), buckets)
+
+    return run
+
+
 def _send_strings(scheme: Scheme, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows_of(batches):
             texts = pack_texts(row)
             runs = Runs(scheme, texts)
-            strings = runs.strings(_states(runs, row["states"], buckets), buckets)
+            strings = runs.strings(states_of(runs.tags(buckets), row["states"], buckets), buckets)
             ids = np.frombuffer(row["doc_ids"], np.int64).copy()
             ids[np.frombuffer(row["known"], np.uint8) == 0] = np.iinfo(np.int64).max
             doc = np.searchsorted(runs.units.firsts, strings.first, "right") - 1
@@ -289,7 +318,7 @@ def _send_strings(scheme: Scheme, buckets: int):
                     shard, row["pack"], len(of), squeezed(owner[of]), squeezed(times[of]),
                     squeezed(lengths.astype(np.int64)), len(data), squeezed(data),
                 ))
-            yield _batch(out, STRINGS)
+            yield batch_of(out, STRINGS)
 
     return run
 
@@ -301,7 +330,7 @@ Answer = Callable[[Spans, np.ndarray, np.ndarray], np.ndarray]
 
 def _answer(scheme: Scheme, answer: Answer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(_rows(batches))
+        rows = list(rows_of(batches))
         if not rows:
             return
 
@@ -332,9 +361,9 @@ def _answer(scheme: Scheme, answer: Answer):
             at = np.arange(sizes.sum()) + np.repeat(windows[codes] - np.cumsum(sizes) + sizes, sizes)
             out.append((r["pack"], r["shard"], len(at) * 8, squeezed(found[at].astype(np.int64))))
             if len(out) == 200:
-                yield _batch(out, ANSWERS)
+                yield batch_of(out, ANSWERS)
                 out = []
-        yield _batch(out, ANSWERS)
+        yield batch_of(out, ANSWERS)
 
     return run
 
@@ -346,10 +375,10 @@ Finish = Callable[[Texts, Spans, list, np.ndarray, np.ndarray, np.ndarray], pa.R
 
 def _finish(scheme: Scheme, buckets: int, finish: Finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows_of(batches):
             texts = pack_texts(row)
             runs = Runs(scheme, texts)
-            strings = runs.strings(_states(runs, row["states"], buckets), buckets)
+            strings = runs.strings(states_of(runs.tags(buckets), row["states"], buckets), buckets)
             answers = {a["shard"]: a for a in row["answers"] or []}
             sizes = strings.count[strings.kinds]
             begins = np.r_[0, np.cumsum(sizes)]
@@ -369,16 +398,9 @@ def _finish(scheme: Scheme, buckets: int, finish: Finish):
 
 
 def shared_windows(docs: DataFrame, scheme: Scheme, answer: Answer, finish: Finish, schema: str) -> DataFrame:
-    spark = docs.sparkSession
     packs = packed(docs, scheme)
-    total = packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
-    seeds = packs.mapInArrow(_send_seeds(scheme, buckets), SEEDS)
-    states = kept(
-        seeds.repartition(buckets, "bucket").mapInArrow(_judge_seeds, STATES)
-        .groupBy("pack").agg(F.collect_list(F.struct("bucket", "states")).alias("states"))
-    )
-    asked = packs.join(states, "pack", "left")
+    buckets = bucket_count(packs)
+    asked = packs.join(judged(packs.mapInArrow(_send_seeds(scheme, buckets), SEEDS), buckets), "pack", "left")
     strings = asked.mapInArrow(_send_strings(scheme, buckets), STRINGS)
     answers = (
         strings.repartition(buckets, "shard").mapInArrow(_answer(scheme, answer), ANSWERS)

@@ -13,6 +13,7 @@ from .decontaminate import benchmark_hits
 from .fm_dedup import repeated_passages
 from .line_rules import quality_rules
 from .sharding import interleaved_shards
+from .shingle_join import shingle_components
 from .suffix_dedup import repeated_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,8 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(table(spark, folder, "documents")).select(
         "doc_id", "n_words", _spanned().alias("n_removed"), "kept_sha256"
     )
+
+
+@query
+def op10_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_components(table(spark, folder, "documents"))
