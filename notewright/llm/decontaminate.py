@@ -33,7 +33,8 @@ PIECE = 2 << 20
 #: Pairs of a position and a pattern compared at once.
 COMPARED = 1 << 18
 
-FOUND = "doc_id long, text string, n_words long, spans array<struct<first: int, past: int>>, items array<string>"
+#: Columns added, with their kinds.
+FOUND = {"n_words": "long", "spans": "array<struct<first: int, past: int>>", "items": "array<string>"}
 
 
 def lowered_words(texts: Texts) -> Spans:
@@ -179,19 +180,20 @@ def _search(sent):
                     [pa.array((x - found.firsts[owner]).astype(np.int32)) for x in (first, past)], ["first", "past"]
                 )
                 ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+                kept = [c for c in part.schema.names if c not in FOUND]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("text"), pa.array(found.counts.astype(np.int64)),
+                        *(part.column(c) for c in kept), pa.array(found.counts.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends), entries), pa.array(items, pa.list_(pa.string())),
                     ],
-                    ["doc_id", "text", "n_words", "spans", "items"],
+                    [*kept, *FOUND],
                 )
 
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row doc_id, n_words, the word ``spans`` that windows cover, and the ``items`` they come from.
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row the ``carried`` columns, n_words, the word ``spans`` that windows cover, and their ``items``.
 
     Spans are maximal, ``first`` to before ``past``, counted in words from 0; items are sorted strings.
     """
@@ -199,12 +201,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text").where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").selectExpr(
-        "doc_id", "text", "0L as n_words", "cast(null as array<struct<first: int, past: int>>) as spans",
-        "cast(null as array<string>) as items",
+    rows = docs.select(
+        *carried, *(["text"] if "text" not in carried else []), *(F.lit(None).cast(kind).alias(c) for c, kind in FOUND.items())
     )
+    schema = rows.schema
     block = F.pmod(F.xxhash64("name", "text"), F.lit(blocks))
     for k in range(blocks):
         part = [(r.name, r.text) for r in items.where(block == k).select("name", "text").distinct().toLocalIterator()]
-        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(part)), FOUND)
-    return rows.drop("text")
+        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(part)), schema)
+    return rows.select(*carried, *FOUND)

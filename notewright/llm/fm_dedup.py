@@ -121,7 +121,7 @@ def repeated_windows(units: Spans, _: np.ndarray, count: np.ndarray) -> np.ndarr
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _removed(texts: Texts, units: Spans, ids: list, start: np.ndarray, doc: np.ndarray, answer: np.ndarray) -> pa.RecordBatch:
+def _removed(texts: Texts, units: Spans, ids: list, start: np.ndarray, doc: np.ndarray, answer: np.ndarray, _: dict) -> pa.RecordBatch:
     gone = covered(start[answer > 0], WINDOW, len(units))
     spans, digests = [], []
     for i in range(len(texts)):

@@ -32,7 +32,7 @@ PACK_BYTES = 2 << 20
 SHARD_BYTES = 8 << 20
 HOT_PACKS = 64
 
-PACK = "pack string, size long, doc_ids binary, known binary, ends binary, data binary"
+PACK = "pack string, size long, doc_ids binary, known binary, ends binary, data binary, rest binary"
 SEEDS = "bucket int, pack string, tags binary"
 STATES = "pack string, bucket int, states binary"
 STRINGS = "shard int, pack string, kinds long, owners binary, counts binary, lengths binary, size long, data binary"
@@ -195,8 +195,11 @@ class Strings:
         return lengths, self.runs.texts.data[np.arange(lengths.sum()) + np.repeat(start - begins, lengths)]
 
 
-def packed(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The packs of all rows, written once to the shared folder so that they stay what they are."""
+def packed(docs: DataFrame, scheme: Scheme, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The packs of all rows, written once to the shared folder so that they stay what they are.
+
+    Columns ``carried`` travel along in ``rest``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,18 +209,34 @@ def packed(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 row = (
                     os.urandom(12).hex(), len(texts.data), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(),
                     ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(),
-                    texts.offsets.astype(np.int64).tobytes(), squeezed(texts.data),
+                    texts.offsets.astype(np.int64).tobytes(), squeezed(texts.data), _as_stream(part.select(list(carried))),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v]) for v in row], ["pack", "size", "doc_ids", "known", "ends", "data"]
+                    [pa.array([v]) for v in row], ["pack", "size", "doc_ids", "known", "ends", "data", "rest"]
                 )
 
     folder = f"{shared_folder(docs.sparkSession)}/packs-{uuid.uuid4().hex}"
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *carried)
     rows.mapInArrow(run, PACK).write.option("compression", "none").parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
+def _as_stream(batch: pa.RecordBatch) -> bytes:
+    if not batch.num_columns:
+        return b""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def carried_columns(rest: bytes) -> dict[str, pa.Array]:
+    if not rest:
+        return {}
+    found = pa.ipc.open_stream(rest).read_all().combine_chunks()
+    return {name: found.column(name).combine_chunks() for name in found.column_names}
+
+
 def pack_texts(row: dict) -> Texts:
     return Texts(opened(row["data"], row["size"]), np.frombuffer(row["ends"], np.int64))
 
@@ -368,9 +387,9 @@ def _answer(scheme: Scheme, answer: Answer):
     return run
 
 
-#: Gives the result of a pack from its texts, units, ids (None: unknown) and, for each asked window, its
-#: first unit, the index of its text and the answer.
-Finish = Callable[[Texts, Spans, list, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
+#: Gives the result of a pack from its texts, units, ids (None: unknown), for each asked window its first
+#: unit, the index of its text and the answer; and from the carried columns.
+Finish = Callable[[Texts, Spans, list, np.ndarray, np.ndarray, np.ndarray, dict[str, pa.Array]], pa.RecordBatch]
 
 
 def _finish(scheme: Scheme, buckets: int, finish: Finish):
@@ -392,13 +411,16 @@ def _finish(scheme: Scheme, buckets: int, finish: Finish):
             got = answer[np.repeat(begins[strings.place], own) + step]
             doc = np.searchsorted(runs.units.firsts, start, "right") - 1
             ids, known = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["known"], np.uint8)
-            yield finish(texts, runs.units, [i if k else None for i, k in zip(ids.tolist(), known)], start, doc, got)
+            yield finish(texts, runs.units, [i if k else None for i, k in zip(ids.tolist(), known)], start, doc, got, carried_columns(row["rest"]))
 
     return run
 
 
-def shared_windows(docs: DataFrame, scheme: Scheme, answer: Answer, finish: Finish, schema: str) -> DataFrame:
-    packs = packed(docs, scheme)
+def shared_windows(
+    docs: DataFrame, scheme: Scheme, answer: Answer, finish: Finish, schema: str, carried: tuple[str, ...] = ()
+) -> DataFrame:
+    """What ``finish`` makes of every pack once ``answer`` has been asked about its possibly shared windows."""
+    packs = packed(docs, scheme, carried)
     buckets = bucket_count(packs)
     asked = packs.join(judged(packs.mapInArrow(_send_seeds(scheme, buckets), SEEDS), buckets), "pack", "left")
     strings = asked.mapInArrow(_send_strings(scheme, buckets), STRINGS)

@@ -122,9 +122,13 @@ def earliest_owners(units: Spans, owner: np.ndarray, _: np.ndarray) -> np.ndarra
     return out
 
 
-def _removed(texts: Texts, units: Spans, ids: list, start: np.ndarray, doc: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+def _gone(texts: Texts, ids: list, start: np.ndarray, doc: np.ndarray, owner: np.ndarray) -> np.ndarray:
     own = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
-    gone = covered(start[owner < own[doc]], WINDOW, len(texts.data))
+    return covered(start[owner < own[doc]], WINDOW, len(texts.data))
+
+
+def _removed(texts: Texts, units: Spans, ids: list, start: np.ndarray, doc: np.ndarray, owner: np.ndarray, _: dict) -> pa.RecordBatch:
+    gone = _gone(texts, ids, start, doc, owner)
     spans, digests = [], []
     for i in range(len(texts)):
         a, b = texts.offsets[i], texts.offsets[i + 1]
@@ -141,3 +145,24 @@ def _removed(texts: Texts, units: Spans, ids: list, start: np.ndarray, doc: np.n
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """Per row doc_id, n_bytes, the byte ``spans`` to remove (maximal, in order) and kept_sha256."""
     return shared_windows(docs, SCHEME, earliest_owners, _removed, RESULT)
+
+
+def _left(texts: Texts, units: Spans, ids: list, start: np.ndarray, doc: np.ndarray, owner: np.ndarray, rest: dict) -> pa.RecordBatch:
+    gone = _gone(texts, ids, start, doc, owner)
+    left = [
+        texts.data[a:b][~gone[a:b]].tobytes().decode(errors="ignore")
+        for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist())
+    ]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), *rest.values(), pa.array(left, pa.string())], ["doc_id", *rest, "text"]
+    )
+
+
+def without_repeats(docs: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+    """doc_id, the ``carried`` columns and the text that is left of every row.
+
+    A character of which only some bytes are removed is removed whole, so that the text is valid.
+    """
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    schema = f"doc_id long, {kinds + ', ' if kinds else ''}text string"
+    return shared_windows(docs, SCHEME, earliest_owners, _left, schema, carried)
