@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import decode, encode
+from .chat import ROTATED_SQL, rotated_dialogues
 from .decontaminate import benchmark_hits
 from .fm_dedup import repeated_passages
+from .licenses import scan_licenses
 from .line_rules import quality_rules
+from .rule_ensemble import quality_scores
 from .sharding import interleaved_shards
 from .shingle_join import shingle_components
 from .suffix_dedup import repeated_bytes
@@ -85,3 +88,29 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_components(table(spark, folder, "documents"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files under source and language; every tenth and hundredth is its directory's license file."""
+    files = table(spark, folder, "documents").selectExpr(
+        "doc_id as file_id", "text",
+        """concat_ws('/', source, lang, case when doc_id % 100 = 0 then concat('LICENSE-', doc_id)
+          when doc_id % 10 = 0 then concat_ws('/', doc_id div 1000, concat('LICENSE-', doc_id))
+          else concat_ws('/', doc_id div 1000, doc_id div 100, concat(doc_id, '.txt')) end) as path""",
+    )
+    return scan_licenses(files).withColumnRenamed("file_id", "doc_id")
+
+
+@query
+def op6_rule_ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    scores = quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scores.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
+@query
+def op9_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    return rotated_dialogues(table(spark, folder, "conversations"))
+
+
+ORACLES["op9_chat_perspectives"] = ROTATED_SQL
