@@ -28,14 +28,17 @@ from .shared import kept, shared_folder
 from .texts import LOWER, Spans, Texts, mixed, pieces, words
 
 PACK_BYTES = 2 << 20
-#: Text for one shard, on average.
+#: Text for the seeds of one bucket, and for the strings of one shard, on average.
+BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
+#: Windows of bytes are many times more than those of words, so packs and shards of bytes are smaller.
+FEWER = 4
 HOT_PACKS = 64
 
 PACK = "pack string, size long, doc_ids binary, known binary, ends binary, data binary, rest binary"
 SEEDS = "bucket int, pack string, tags binary"
 STATES = "pack string, bucket int, states binary"
-STRINGS = "shard int, pack string, kinds long, owners binary, counts binary, lengths binary, size long, data binary"
+STRINGS = "shard int, pack string, kinds long, numbers binary, size long, data binary"
 ANSWERS = "pack string, shard int, size long, answers binary"
 
 
@@ -82,22 +85,27 @@ class Scheme:
         return found.hashes() if self.by_word else mixed(np.arange(1, 257))[found.texts.data]
 
 
-def rolled(values: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each ``size`` consecutive values, from hashes of powers of two of them."""
-    out, done, power, width = None, 0, values, 1
-    while True:
-        if size & width:
-            if out is None:
-                out = power
-            else:
-                n = min(len(out), max(0, len(power) - done))
-                out = mixed(out[:n] * np.uint64(0x9E3779B97F4A7C15) + power[done : done + n])
-            done += width
+def rolled(values: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size a hash of that many consecutive values, from sums over powers of two of them.
+
+    Values must be random; the hashes are sums of them with odd factors and so as random.
+    """
+    out: list = [None] * len(sizes)
+    done = [0] * len(sizes)
+    power, width = values, 1
+    while width <= max(sizes):
+        for k, size in enumerate(sizes):
+            if size & width:
+                if out[k] is None:
+                    out[k] = power
+                else:
+                    n = max(0, min(len(out[k]), len(power) - done[k]))
+                    out[k] = out[k][:n] * np.uint64(0x9E3779B97F4A7C15 ^ (width << 1)) + power[done[k] : done[k] + n]
+                done[k] += width
+        factor = np.uint64(0xD1B54A32D192ED03 ^ (width << 7))
+        power = power[:-width] * factor + power[width:] if len(power) > width else power[:0]
         width *= 2
-        if width > size:
-            return out[: max(0, len(values) - size + 1)]
-        half = width // 2
-        power = mixed(power[:-half] * np.uint64(0xD1B54A32D192ED03) + power[half:]) if len(power) > half else power[:0]
+    return [o[: max(0, len(values) - size + 1)] for o, size in zip(out, sizes)]
 
 
 def sliding_least(keys: np.ndarray, size: int) -> np.ndarray:
@@ -130,7 +138,8 @@ class Runs:
         if n < scheme.window:
             return
         values = scheme.values(self.units)
-        seeds = rolled(values, scheme.seed)
+        seeds, hashes = rolled(values, scheme.seed, scheme.window)
+        seeds = mixed(seeds)
         keys = (seeds & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(seeds), dtype=np.uint64)
         least = sliding_least(keys, scheme.window - scheme.seed + 1) & np.uint64(0xFFFFFFFF)
         whole = np.ones(len(least), bool)
@@ -148,7 +157,7 @@ class Runs:
         self.first = starts[head]
         self.count = np.diff(np.r_[head, len(starts)])
         self.seed = mixed(seeds[anchor[head].astype(np.int64)])
-        self.hashes = rolled(values, scheme.window)
+        self.hashes = hashes
 
     def tags(self, buckets: int) -> Tags:
         return tagged(self.seed, buckets)
@@ -203,7 +212,7 @@ def packed(docs: DataFrame, scheme: Scheme, carried: tuple[str, ...] = ()) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch, limit=PACK_BYTES):
+            for part, texts in pieces(batch, limit=PACK_BYTES // (1 if scheme.by_word else FEWER)):
                 texts = scheme.canonical(texts)
                 ids = part.column("doc_id")
                 row = (
@@ -305,9 +314,11 @@ def judged(tags: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def bucket_count(packs: DataFrame) -> int:
+def bucket_counts(packs: DataFrame, scheme: Scheme) -> tuple[int, int]:
+    """How many buckets of seeds and how many shards of strings."""
     total = packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return max(int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    least = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tuple(max(least, -(-total // size)) for size in (BUCKET_BYTES, SHARD_BYTES // (1 if scheme.by_word else FEWER)))
 
 
 def _send_seeds(scheme: Scheme, buckets: int):
@@ -318,12 +329,12 @@ def _send_seeds(scheme: Scheme, buckets: int):
     return run
 
 
-def _send_strings(scheme: Scheme, buckets: int):
+def _send_strings(scheme: Scheme, buckets: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             texts = pack_texts(row)
             runs = Runs(scheme, texts)
-            strings = runs.strings(states_of(runs.tags(buckets), row["states"], buckets), buckets)
+            strings = runs.strings(states_of(runs.tags(buckets), row["states"], buckets), shards)
             ids = np.frombuffer(row["doc_ids"], np.int64).copy()
             ids[np.frombuffer(row["known"], np.uint8) == 0] = np.iinfo(np.int64).max
             doc = np.searchsorted(runs.units.firsts, strings.first, "right") - 1
@@ -333,10 +344,8 @@ def _send_strings(scheme: Scheme, buckets: int):
             out = []
             for shard, of in strings.by_shard():
                 lengths, data = strings.contents(of)
-                out.append((
-                    shard, row["pack"], len(of), squeezed(owner[of]), squeezed(times[of]),
-                    squeezed(lengths.astype(np.int64)), len(data), squeezed(data),
-                ))
+                numbers = np.concatenate([owner[of], times[of], lengths]).astype(np.int64)
+                out.append((shard, row["pack"], len(of), squeezed(numbers), len(data), squeezed(data)))
             yield batch_of(out, STRINGS)
 
     return run
@@ -353,11 +362,9 @@ def _answer(scheme: Scheme, answer: Answer):
         if not rows:
             return
 
-        def numbers(name: str) -> list[np.ndarray]:
-            return [opened(r[name], 8 * r["kinds"]).view(np.int64) for r in rows]
-
-        lengths = numbers("lengths")
-        owners, times = np.concatenate(numbers("owners")), np.concatenate(numbers("counts"))
+        numbers = [opened(r.pop("numbers"), 24 * r["kinds"]).view(np.int64).reshape(3, -1) for r in rows]
+        owners, times = (np.concatenate([n[k] for n in numbers]) for k in (0, 1))
+        lengths = [n[2] for n in numbers]
         # What several packs hold is one string of the index.
         data = np.concatenate([opened(r.pop("data"), r["size"]) for r in rows])
         ends = np.r_[0, np.cumsum(np.concatenate(lengths))]
@@ -392,12 +399,12 @@ def _answer(scheme: Scheme, answer: Answer):
 Finish = Callable[[Texts, Spans, list, np.ndarray, np.ndarray, np.ndarray, dict[str, pa.Array]], pa.RecordBatch]
 
 
-def _finish(scheme: Scheme, buckets: int, finish: Finish):
+def _finish(scheme: Scheme, buckets: int, shards: int, finish: Finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             texts = pack_texts(row)
             runs = Runs(scheme, texts)
-            strings = runs.strings(states_of(runs.tags(buckets), row["states"], buckets), buckets)
+            strings = runs.strings(states_of(runs.tags(buckets), row["states"], buckets), shards)
             answers = {a["shard"]: a for a in row["answers"] or []}
             sizes = strings.count[strings.kinds]
             begins = np.r_[0, np.cumsum(sizes)]
@@ -421,11 +428,11 @@ def shared_windows(
 ) -> DataFrame:
     """What ``finish`` makes of every pack once ``answer`` has been asked about its possibly shared windows."""
     packs = packed(docs, scheme, carried)
-    buckets = bucket_count(packs)
+    buckets, shards = bucket_counts(packs, scheme)
     asked = packs.join(judged(packs.mapInArrow(_send_seeds(scheme, buckets), SEEDS), buckets), "pack", "left")
-    strings = asked.mapInArrow(_send_strings(scheme, buckets), STRINGS)
+    strings = asked.mapInArrow(_send_strings(scheme, buckets, shards), STRINGS)
     answers = (
-        strings.repartition(buckets, "shard").mapInArrow(_answer(scheme, answer), ANSWERS)
+        strings.repartition(shards, "shard").mapInArrow(_answer(scheme, answer), ANSWERS)
         .groupBy("pack").agg(F.collect_list(F.struct("shard", "size", "answers")).alias("answers"))
     )
-    return asked.join(answers, "pack", "left").mapInArrow(_finish(scheme, buckets, finish), schema)
+    return asked.join(answers, "pack", "left").mapInArrow(_finish(scheme, buckets, shards, finish), schema)

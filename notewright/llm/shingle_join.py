@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .passages import (
-    SEEDS, Scheme, bucket_count, judged, opened, pack_texts, packed, rolled, rows_of, squeezed, states_of, tag_rows, tagged,
+    SEEDS, Scheme, bucket_counts, judged, opened, pack_texts, packed, rolled, rows_of, squeezed, states_of, tag_rows, tagged,
 )
 from .shared import kept
 from .texts import Texts, mixed, words
@@ -60,13 +60,14 @@ def shingle_sets(texts: Texts) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, sorted."""
     found = words(texts)
     hashes = found.hashes()
-    runs = rolled(hashes, SHINGLE)
+    (runs,) = rolled(hashes, SHINGLE)
+    runs = mixed(runs)
     out = []
     for a, b in zip(found.firsts[:-1].tolist(), found.firsts[1:].tolist()):
         if b - a >= SHINGLE:
             out.append(np.unique(runs[a : b - SHINGLE + 1]))
         elif b > a:
-            out.append(mixed(rolled(hashes[a:b], b - a) + np.uint64(b - a)))
+            out.append(mixed(rolled(hashes[a:b], b - a)[0] + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -289,7 +290,7 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     """Per row doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     context = docs.sparkSession.sparkContext
     packs = packed(docs, SCHEME)
-    buckets = bucket_count(packs)
+    buckets, _ = bucket_counts(packs, SCHEME)
     sums = packs.mapInArrow(_count, COUNTS).repartition(SLOT_PARTS, "part").mapInArrow(_add_counts, COUNTS)
     table = np.zeros((SLOT_PARTS, SLOTS // SLOT_PARTS), np.int64)
     for row in sums.toLocalIterator():  # SLOT_PARTS rows
