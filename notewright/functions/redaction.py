@@ -10,6 +10,9 @@ from .values import LINK_SCHEME, PLACEHOLDERS
 
 REDACTED = "[redacted]"
 
+#: Stands for a dot before another dot while hosts are looked for; the second where a text holds the first.
+HIDDEN, HIDDEN_TOO = "\uffff", "\ufffe"
+
 
 Rule = tuple[list[str], str, str]
 
@@ -17,16 +20,17 @@ Rule = tuple[list[str], str, str]
 def secret_rules(scheme: str = LINK_SCHEME) -> list[Rule]:
     """Literals one of which a match must hold, pattern, replacement; the order is part of the result.
 
-    Loops over path folders are possessive and host labels are bounded: Java's matcher recurses
-    once per round of a plain group loop and overflows the stack on very long paths. An e-mail's
-    local part starts only where its run of characters starts (or where the last match ended),
-    which keeps a long run without ``@`` linear.
+    Loops over path folders are possessive and a host is one run of characters: Java's matcher
+    recurses once per round of a plain group loop and overflows the stack on very long paths. A dot
+    before another dot ends a host; ``_replaced`` hides it, so that the run can't cross it. An
+    e-mail's local part starts only where its run of characters starts (or where the last match
+    ended), which keeps a long run without ``@`` linear.
     """
     # --- fixed values: what is redacted, in order ------------------------------------------------
     return [
         (
             ["@"],
-            r"(?i)(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]+(?:\.[\w-]+){0,126}\.[a-z]{2,}" + WORD_END,
+            rf"(?i)(?:\G|(?<![\w.+{HIDDEN}-]))[\w.+{HIDDEN}-]++@[\w-][\w.-]*\.[a-z]{{2,}}" + WORD_END,
             "[email]",
         ),
         ([":///"], rf"(?i)file:///[^{WS}]+", "[local path]"),
@@ -89,6 +93,20 @@ def _raw(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
+def _replaced(pattern: str, replacement: str) -> str:
+    """``regexp_replace`` on ``x``; patterns that know of hidden dots get them hidden and back."""
+    if HIDDEN not in pattern:
+        return f"regexp_replace(x, {_raw(pattern)}, '{replacement}')"
+
+    def hiding(mark: str) -> str:
+        hidden = f"regexp_replace(x, r'\\.(?=\\.)', '{mark}')"
+        return f"replace(regexp_replace({hidden}, {_raw(pattern.replace(HIDDEN, mark))}, '{replacement}'), '{mark}', '.')"
+
+    plain = f"regexp_replace(x, {_raw(pattern)}, '{replacement}')"
+    two = f"CASE WHEN contains(x, '{HIDDEN}') THEN {hiding(HIDDEN_TOO)} ELSE {hiding(HIDDEN)} END"
+    return f"CASE WHEN contains(x, '..') THEN {two} ELSE {plain} END"
+
+
 def _apply(text: str, rules: list[Rule]) -> str:
     """The rules one after another. Each result is bound to a name, so it is worked out once, and a
     rule whose literals are missing costs no more than looking for them."""
@@ -96,7 +114,7 @@ def _apply(text: str, rules: list[Rule]) -> str:
         held = " OR ".join(f"contains(x, r'{needle}')" for needle in needles)
         text = (
             f"transform(array({text}), x -> CASE WHEN {held} THEN "
-            f"regexp_replace(x, {_raw(pattern)}, '{replacement}') ELSE x END)[0]"
+            f"{_replaced(pattern, replacement)} ELSE x END)[0]"
         )
     return text
 

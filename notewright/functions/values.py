@@ -39,7 +39,7 @@ PROFILE = "HIERARCHICAL_PROFILE_SUMMARY"
 
 # --- fixed values: search and window limits ------------------------------------------------------
 DEFAULT_WINDOW_DAYS = 14
-MAX_WINDOW_DAYS = 100_000_000
+EARLIEST_MILLIS = -8_640_000_000_000_000
 DEFAULT_SEARCH_LIMIT = 8
 MAX_SEARCH_LIMIT = 100
 SIMILARITY_THRESHOLD = 0.35

@@ -2,13 +2,14 @@
 
 ``try_parse_json`` reads the first value and ignores what follows it, so ``12 sessions`` would parse
 as ``12``. The text is therefore parsed as the first element of an array whose second element is a
-known guard; trailing text breaks the array or hides the guard. Objects that repeat a key are parsed
-only when ``spark.sql.variant.allowDuplicateKeys`` is on.
+known guard; trailing text breaks the array or hides the guard. Of a key that an object repeats the
+last value counts: Spark has a setting for that, which is turned on here, as results must not depend on
+what a session was started with.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantType
 
@@ -17,6 +18,7 @@ _GUARD = "␞end-of-value␞"
 
 def strict_json(text: Column) -> Column:
     """The VARIANT of a text that is one JSON value, else null."""
+    SparkSession.active().conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_GUARD}"]')))
     whole = F.try_variant_get(pair, "$[1]", "string") == _GUARD
     return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))

@@ -10,8 +10,8 @@ from ..functions.values import (
     CATEGORIES,
     DEFAULT_SEARCH_LIMIT,
     DEFAULT_WINDOW_DAYS,
+    EARLIEST_MILLIS,
     MAX_SEARCH_LIMIT,
-    MAX_WINDOW_DAYS,
     TARGETS,
 )
 
@@ -26,10 +26,13 @@ def target_name(requested: Column) -> Column:
 
 
 def window_days(requested: Column) -> Column:
-    """A positive whole number of days; absent means the default, anything else null."""
+    """A positive whole number of days; absent means the default, anything else null.
+
+    A count beyond a BIGINT becomes the largest one: either reaches back further than any date.
+    """
     plain = trimmed(requested)
     return F.when(requested.isNull(), F.lit(DEFAULT_WINDOW_DAYS).cast("bigint")).when(
-        plain.rlike(r"^[1-9][0-9]*\z"), plain.try_cast("bigint")
+        plain.rlike(r"^[1-9][0-9]*\z"), F.coalesce(plain.try_cast("bigint"), F.lit(2**63 - 1))
     )
 
 
@@ -53,7 +56,8 @@ def window_since(now: Column, days: Column) -> Column:
 
     Further back than a date can lie the result is null, and no session is inside the window.
     """
-    return now - F.when(days <= MAX_WINDOW_DAYS, F.make_dt_interval(days.cast("int")))
+    reach = F.floor((F.unix_millis(now) - EARLIEST_MILLIS) / 86_400_000)
+    return now - F.when(days <= reach, F.make_dt_interval(days.cast("int")))
 
 
 def project_terms(project: Column, aliases: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..functions.values import MAX_SEARCH_LIMIT, SIMILARITY_THRESHOLD
+from ..functions.values import SIMILARITY_THRESHOLD
 from ..session import durable
 
 QUERIES_PER_SET = 512
@@ -44,16 +44,18 @@ def semantic_topk(
     """``(keys, summary_id, score, hit_pos)``: per query the best ``limit`` vectors by cosine.
 
     ``vectors`` is ``(summary_id, embedding)``; ``queries`` is keys plus ``query_vector``. A limit
-    that is a column belongs to ``queries`` and is at most the search ceiling. Query vectors are packed into sets of at
-    most 512; each vector scores a whole set in its own row and only scores at or above the
+    that is a column belongs to ``queries``. Query vectors are packed into sets of 512
+    on average; each vector scores a whole set in its own row and only scores at or above the
     threshold leave it, so pairs are never materialised. The sets are broadcast while their counted
     size allows it; beyond that they are replicated over salts and joined by shuffle.
     """
-    ceiling = limit if isinstance(limit, int) else MAX_SEARCH_LIMIT
     limit = F.lit(limit) if isinstance(limit, int) else limit
     size = queries.agg(
-        F.count("*").alias("n"), F.coalesce(F.max(F.size("query_vector")), F.lit(0)).alias("dims")
+        F.count("*").alias("n"),
+        F.coalesce(F.max(F.size("query_vector")), F.lit(0)).alias("dims"),
+        F.coalesce(F.max(limit), F.lit(0)).alias("limit"),
     ).first()
+    ceiling = size["limit"]
     set_count = max(1, ceil(size["n"] / QUERIES_PER_SET))
     packed = (
         _measured(queries, "query_vector", [*keys, limit.alias("_limit")], "asked")
@@ -99,8 +101,8 @@ def keyword_topk(
     query then starts from its rarest word, so a keyword that every project asks for does not pair
     every document with every query, and its other words are looked up on those candidates only.
     """
-    ceiling = limit if isinstance(limit, int) else MAX_SEARCH_LIMIT
     limit = F.lit(limit) if isinstance(limit, int) else limit
+    ceiling = queries.agg(F.coalesce(F.max(limit), F.lit(0))).first()[0]
     asked = queries.select(
         *keys,
         limit.alias("_limit"),
@@ -139,7 +141,7 @@ def _best(
 ) -> DataFrame:
     """Rows ranked within their keys and cut at each row's own limit.
 
-    The constant ceiling beside the own limit lets Spark keep only that many rows per key in every
+    The ceiling, the largest limit of all queries, beside the own limit lets Spark keep only that many rows per key in every
     map task, before anything is shuffled.
     """
     ranked = hits.withColumn("hit_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -58,8 +58,12 @@ def fetch_summaries(best: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def window_filter(summaries: DataFrame, since: Column) -> DataFrame:
-    """Sessions created at or after ``since``; a missing or unreadable date drops the session."""
-    return summaries.where(F.try_to_timestamp("created_at") >= since)
+    """Sessions created at or after ``since``; a missing or unreadable date drops the session.
+
+    A date starts with its year; a bare time of day, which Spark reads as today's, is unreadable.
+    """
+    dated = F.col("created_at").cast("string").rlike(r"^\s*[+-]?[0-9]{4,6}(?![0-9:])")
+    return summaries.where(F.when(dated, F.try_to_timestamp("created_at")) >= since)
 
 
 def annotation_owners(summaries: DataFrame, keep: list[str] | None = None) -> DataFrame:

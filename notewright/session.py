@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,17 +26,16 @@ def local_session(name: str, cpus: int = 8) -> SparkSession:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder; it survives the loss of executors.
+    """The rows of ``df``, made once and kept for the uses that follow.
 
-    The folder is ``spark.checkpoint.dir``. Only a local session without one gets its own.
+    They go to the cluster's shared folder, ``spark.checkpoint.dir``, where that is set, so that the
+    loss of executors costs nothing; otherwise they stay with the executors and lost parts are made
+    again.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="notewright-checkpoint-")
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)

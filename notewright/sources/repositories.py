@@ -19,15 +19,23 @@ def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    """``(project_id, path)`` of every file below ``root/<project>/``. File contents are not read."""
+    """``(project_id, path)`` of every file below ``root/<project>/``. File contents are not read.
+
+    ``root`` is a plain path or a URI; it is compared, as its file system writes it, with the start of
+    every listed path.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    named = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    base = named.rstrip("/") + "/"
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     )
-    base = "/" + root.strip("/") + "/"
-    inside = F.substring_index(F.col("path"), base, -1)
-    return listed.select(
-        F.substring_index(inside, "/", 1).alias("project_id"),
-        F.regexp_replace(inside, "^[^/]*/", "").alias("path"),
+    path = F.col("path")
+    outside = F.raise_error(F.concat(F.lit(f"not below {base}: "), path))
+    inside = F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(outside)
+    return listed.select(inside.alias("inside")).select(
+        F.substring_index("inside", "/", 1).alias("project_id"),
+        F.regexp_replace("inside", "^[^/]*/", "").alias("path"),
     )
 
 

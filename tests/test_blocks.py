@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 from notewright.functions.values import MARKER_END as END
 from notewright.functions.values import MARKER_START as START
 from notewright.operators import blocks as B
-from notewright.operators.changes import apply_approved, change_report, outcome_report
+from notewright.operators.changes import apply_approved, approval_outcomes, change_report, outcome_report
 from notewright.plans.compose import compose
 
-TERMS = ["demo", "postgresql", "mongodb", "parser"]
-TEXT = "### Decisions\n- Chose PostgreSQL over MongoDB\n- Reviewed the AcmeCorp contract for the parser"
+TERMS = ["harbour", "basalt", "slate", "turbine"]
+TEXT = "### Materials\n- Picked basalt before slate\n- Signed an OrlandCo order for one turbine"
 ENTRY = "project_id string, summary_id string, category string, title string, created_at string, text string, entry_pos bigint"
 
 
@@ -21,7 +21,7 @@ def block(spark):
         out = compose(
             spark.createDataFrame(rows, ENTRY),
             spark.createDataFrame([("p", previous)], "project_id string, content string"),
-            spark.createDataFrame([("p", "demo", 14, "2026-08-02")], "project_id string, project string, days bigint, generated_at string"),
+            spark.createDataFrame([("p", "harbour", 14, "2026-08-02")], "project_id string, project string, days bigint, generated_at string"),
             spark.createDataFrame([("p", t) for t in TERMS], "project_id string, term string"),
             spark.createDataFrame([("p", list(denied))], "project_id string, denied array<string>"),
         )
@@ -31,22 +31,22 @@ def block(spark):
 
 
 def test_composes_and_merges(block):
-    old = block([(f"Session {n}", f"2026-06-0{n}T10:00:00Z") for n in (1, 2, 3, 4)]).block
+    old = block([(f"Day {n}", f"2026-06-0{n}T10:00:00Z") for n in (1, 2, 3, 4)]).block
     assert old.startswith(f"{START}\n\n## Project memory\n\n") and old.endswith(f"\n\n{END}")
-    assert '"demo", last 14 days, on 2026-08-02.' in old and "AcmeCorp" in old
+    assert '"harbour", last 14 days, on 2026-08-02.' in old and "OrlandCo" in old
 
-    fresh = [("Newest", "2026-08-01T10:00:00Z"), ("Session 4", "2026-06-04T23:00:00Z"), ("Prose", "2026-08-09", "No bullets")]
-    new = block(fresh, old, ["acmecorp"])
+    fresh = [("Latest", "2026-08-01T10:00:00Z"), ("Day 4", "2026-06-04T23:00:00Z"), ("Essay", "2026-08-09", "Only prose")]
+    new = block(fresh, old, ["orlandco"])
     headings = [line for line in new.block.split("\n") if line.startswith("**")]
     assert headings == [f"**{t}** — {d}" for t, d in (
-        ("Newest", "2026-08-01"), ("Session 4", "2026-06-04"), ("Session 3", "2026-06-03"), ("Session 2", "2026-06-02"))]
-    assert new.rendered == 4 and "AcmeCorp" not in new.block
+        ("Latest", "2026-08-01"), ("Day 4", "2026-06-04"), ("Day 3", "2026-06-03"), ("Day 2", "2026-06-02"))]
+    assert new.rendered == 4 and "OrlandCo" not in new.block
 
 
 def test_kept_entries_lose_denied_text(block):
-    old = block([("Demo and AcmeCorp parser", "2026-07-01"), ("Gone", "2026-07-02", "- Reviewed AcmeCorp demo")]).block
-    new = block([("Fresh", "2026-08-01")], old, ["acmecorp"]).block
-    assert "**Demo and [redacted] parser** — 2026-07-01" in new and "Gone" not in new and "acmecorp" not in new.lower()
+    old = block([("Harbour and OrlandCo turbine", "2026-07-01"), ("Gone", "2026-07-02", "- Signed OrlandCo harbour")]).block
+    new = block([("Fresh", "2026-08-01")], old, ["orlandco"]).block
+    assert "**Harbour and [redacted] turbine** — 2026-07-01" in new and "Gone" not in new and "orlandco" not in new.lower()
 
 
 def test_same_block_again_changes_nothing(block, spark):
@@ -126,3 +126,23 @@ def test_top_entries_order(spark):
     assert [r.heading for r in B.top_entries(pool).orderBy("place").collect()] == ["fresh late", "fresh a", "fresh b", "kept"]
     assert [r.heading for r in B.merge_pool(pool.where("is_kept = 0"), pool.where("is_kept = 1")).collect()][-1] == "old"
     assert B.rendered_count(B.top_entries(pool)).first()["rendered"] == 4
+
+
+def test_outcomes_after_approval(spark):
+    outcomes = [("a", "changed"), ("b", "changed"), ("c", "changed"), ("d", "up-to-date")]
+    applied = [("a", "written", "x"), ("c", "conflict", "y")]
+    out = approval_outcomes(
+        spark.createDataFrame(outcomes, "project_id string, status string"),
+        spark.createDataFrame(applied, "project_id string, status string, content string"),
+    )
+    assert {r.project_id: r.status for r in out.collect()} == {
+        "a": "written", "b": "cancelled", "c": "managed-block-conflict", "d": "up-to-date",
+    }
+
+
+def test_approval_of_one_target(spark):
+    schema = "project_id string, target string, base string, block string, proposed string"
+    proposals = spark.createDataFrame([("a", t, "", "B", f"new {t}") for t in ("X", "Y")], schema)
+    approvals = spark.createDataFrame([("a", "Y")], "project_id string, target string")
+    current = spark.createDataFrame([], "project_id string, target string, content string")
+    assert [tuple(r) for r in apply_approved(proposals, approvals, current).collect()] == [("a", "Y", "written", "new Y")]

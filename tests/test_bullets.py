@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from notewright.operators import bullets as B
 from notewright.operators import vocabulary as V
 
-VOCABULARY = ["demo", "postgresql", "to-do", "parser", "foo!", "three part name"]
+VOCABULARY = ["harbour", "basalt", "by-law", "turbine", "yew!", "long tidal gate"]
 
 
 @pytest.fixture(scope="module")
@@ -14,10 +14,10 @@ def keys(spark):
 
 
 BULLETS = [
-    ("Rewrote the parser", True), ("Chose PostgreSQL, not it", True), ("Rewrote the to-do list", True),
-    ("Rewrote the list to", False), ("Played foo", False), ("A Three-Part, NAME here", True), ("three part", False),
-    ("Saw [J](session://persons/1) on the parser", False), ("SESSION://PERSONS/1 parser", False), ("parsers", False),
-    ("other", False), ("", False), ("D\u00e9mo", True),
+    ("Oiled each turbine", True), ("Picked Basalt over brick", True), ("Read that by-law twice", True),
+    ("Stood by a law", False), ("Cut a yew", False), ("One Long-Tidal, GATE shut", True), ("long tidal", False),
+    ("Met [Q](session://persons/8) near a turbine", False), ("SESSION://PERSONS/8 turbine", False), ("turbines", False),
+    ("other", False), ("", False), ("H\u00e1rbour", True),
 ]
 
 
@@ -66,23 +66,23 @@ def test_truncates_after_280(column):
 
 
 def test_filters_come_before_the_cap(spark, keys):
-    lines = ["- Resolve demo", "- Played nothing"] * 3
-    lines += [f"- Fixed demo {i}" for i in range(4)] + ["- Fixed demo with Jane", "- Fixed demo in E:\\x\\y.ts"]
-    lines += [f"- Fixed demo {i}" for i in range(4, 9)]
-    entries = spark.createDataFrame([("p", "s", "\r\n".join(lines), ["jane"])], "project_id string, summary_id string, text string, denied array<string>")
+    lines = ["- Paint harbour", "- Hummed nothing"] * 3
+    lines += [f"- Swept harbour {i}" for i in range(4)] + ["- Swept harbour with Odile", "- Swept harbour in K:\\q\\r.py"]
+    lines += [f"- Swept harbour {i}" for i in range(4, 9)]
+    entries = spark.createDataFrame([("p", "s", "\r\n".join(lines), ["odile"])], "project_id string, summary_id string, text string, denied array<string>")
     kept = B.first_bullets(B.accepted_bullets(entries, keys, ["summary_id"], []), ["summary_id"])
-    assert [r.bullet for r in kept.orderBy("line_pos").collect()] == [f"Fixed demo {i}" for i in range(6)]
+    assert [r.bullet for r in kept.orderBy("line_pos").collect()] == [f"Swept harbour {i}" for i in range(6)]
 
 
 @pytest.mark.parametrize(
     "title, wanted",
     [
-        ("Demo Refactor and Job Search", "Demo Refactor"), ("Demo and Parser AND x", "Demo and Parser"),
-        ("Planning and Review", "Planning and Review"), ("Demo  at AcmeCorp and x", "Demo at [redacted]"), ("Sandy demo", "Sandy demo"),
-        ("Mail a@b.co", "Mail [email]"),
+        ("Harbour Dredging and Lunch Plans", "Harbour Dredging"), ("Harbour and Turbine AND rest", "Harbour and Turbine"),
+        ("Walks and Talks", "Walks and Talks"), ("Harbour  by OrlandCo and rest", "Harbour by [redacted]"), ("Windy harbour", "Windy harbour"),
+        ("Wrote k@l.io", "Wrote [email]"),
     ],
 )
 def test_trims_titles(spark, keys, title, wanted):
-    entries = spark.createDataFrame([("p", "s", title, ["acmecorp"], 7)], "project_id string, summary_id string, title string, denied array<string>, n int")
+    entries = spark.createDataFrame([("p", "s", title, ["orlandco"], 7)], "project_id string, summary_id string, title string, denied array<string>, n int")
     row = B.trim_titles(entries, keys, ["summary_id"]).first()
     assert (row.title, row.n) == (wanted, 7)

@@ -10,7 +10,7 @@ from notewright.sources import repositories as R
 
 
 def test_strict_json_refuses_trailing_text(column):
-    texts = ["12 apples", "12", '{"a":1}', '{"a":1} x', "1] x", "1,2", "", "  ", "null", '"t"', "[1,2]"]
+    texts = ["44 boats", "12", '{"a":1}', '{"a":1} x', "1] x", "1,2", "", "  ", "null", '"t"', "[1,2]"]
     out = column(texts, lambda n: F.to_json(V.strict_json(F.col(n))))
     assert out == [None, "12", '{"a":1}', None, None, None, None, None, "null", '"t"', "[1,2]"]
 
@@ -46,17 +46,17 @@ def test_snapshots(spark):
 
 
 def test_event_streams(spark):
-    answer = '{"id":"42","result":{}}'
+    answer = '{"id":"k7","result":{"rows":2}}'
     bodies = [
-        (f"event: message\ndata: {answer}\n\n", None, "42"),
-        (f"event: ping\n\ndata: not json\n\ndata:{answer}\n\n", None, "42"),
-        ("event: ping\n\n", None, None),
-        ("no stream", None, None),
-        (f'data: {{"method":"note"}}\r\n\r\ndata: {answer}\r\n\r\n', None, "42"),
-        (f'data: {{"id":"other","result":{{}}}}\n\ndata: {answer}\n\n', "42", "42"),
-        (f'data: {{"id":"other","result":{{}}}}\n\ndata: {answer}\n\n', "43", "other"),
-        ('data: {"id":42,"result":{}}\n\n', "42", None),
-        ('data: {"id":"a",\ndata: "result":null}\n\n', None, "a"),
+        (f"retry: 5\ndata: {answer}\n\n", None, "k7"),
+        (f"id: 1\n\ndata: <wait>\n\ndata:{answer}\n\n", None, "k7"),
+        (": keep open\n\n", None, None),
+        ("<html/>", None, None),
+        (f'data: {{"step":3}}\r\n\r\ndata: {answer}\r\n\r\n', None, "k7"),
+        (f'data: {{"id":"early","result":[]}}\n\ndata: {answer}\n\n', "k7", "k7"),
+        (f'data: {{"id":"early","result":[]}}\n\ndata: {answer}\n\n', "k8", "early"),
+        ('data: {"id":7,"result":{}}\n\n', "7", None),
+        ('data: {"id":"split",\ndata: "error":null}\n\n', None, "split"),
     ]
     df = spark.createDataFrame([(i, r, w) for i, (r, w, _) in enumerate(bodies)], "i int, raw string, wanted string")
     out = M.decode_messages(df, ["i"], request_id="wanted").orderBy("i")
@@ -67,11 +67,11 @@ def test_tool_results(spark):
     def body(text):
         return json.dumps({"result": {"content": [{"text": text}]}})
 
-    bodies = [body('{"items":[]}'), body("12 found"), "data: " + body("7") + "\n\n", '{"error":{}}', "[]", body(5), "junk"]
+    bodies = [body('{"items":[]}'), body("31 rows"), "data: " + body("7") + "\n\n", '{"error":{}}', "[]", body(5), "junk"]
     df = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
     out = M.decode_tool_results(df, ["i"]).orderBy("i").select("status", F.to_json("value")).collect()
     assert [tuple(r) for r in out] == [
-        ("ok", '{"items":[]}'), ("ok", '"12 found"'), ("ok", "7"),
+        ("ok", '{"items":[]}'), ("ok", '"31 rows"'), ("ok", "7"),
         ("call-failed", None), ("call-failed", None), ("call-failed", None), ("call-failed", None),
     ]
 
@@ -80,13 +80,13 @@ def test_repository_files(spark, tmp_path):
     shop = tmp_path / "my shop"
     (shop / "src" / "models").mkdir(parents=True)
     (shop / "dist").mkdir()
-    (shop / "deny.txt").write_text("# people\n Jane Doe \r\n\nAcme\n", encoding="utf8")
+    (shop / "deny.txt").write_text("# people\n Wim Kok \r\n\nOrland\n", encoding="utf8")
     (shop / "src" / "models" / "x.ts").write_text("x")
     (shop / "src" / ".hidden").write_text("x")
     (shop / "dist" / "bundle.js").write_text("x")
     terms = R.deny_terms(R.read_whole_files(spark, str(tmp_path / "*" / "deny.txt")))
-    assert [tuple(r) for r in terms.orderBy("pos").collect()] == [("my shop", "Jane Doe", 1), ("my shop", "Acme", 3)]
-    assert R.deny_lists(terms).first()["denied"] == ["Jane Doe", "Acme"]
+    assert [tuple(r) for r in terms.orderBy("pos").collect()] == [("my shop", "Wim Kok", 1), ("my shop", "Orland", 3)]
+    assert R.deny_lists(terms).first()["denied"] == ["Wim Kok", "Orland"]
     listing = R.read_listing(spark, str(tmp_path))
     assert {r["name"] for r in R.repo_names(listing).collect()} == {"deny", "src", "models"}
 
@@ -109,6 +109,34 @@ def test_notes_round_trip(spark, tmp_path):
     asked = spark.createDataFrame([("a", "CLAUDE.md"), ("b", "AGENTS.md")], "project_id string, target_name string")
     both = spark.createDataFrame([("a", "AGENTS.md", "x"), ("a", "CLAUDE.md", "y")], "project_id string, target string, content string")
     assert [tuple(r) for r in N.notes_of_target(asked, both).collect()] == [("a", "y")]
-    applied = spark.createDataFrame([("a", "written", "1\n2"), ("b", "conflict", "x")], "project_id string, status string, content string")
-    N.write_notes(applied, str(tmp_path / "out"))
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", "1\n2")]
+
+
+def test_only_written_documents_change(spark, tmp_path):
+    schema, out = "project_id string, target string, status string, content string", str(tmp_path / "out")
+    first = [("a", "AGENTS.md", "written", "1"), ("a", "CLAUDE.md", "written", "2"), ("b/c d", "AGENTS.md", "written", "3\n")]
+    N.write_notes(spark.createDataFrame(first, schema), out)
+    second = [("a", "CLAUDE.md", "written", "new"), ("b/c d", "AGENTS.md", "conflict", "lost")]
+    N.write_notes(spark.createDataFrame(second, schema), out)
+    stored = {(r.project_id, r.target): r.content for r in N.stored_notes(spark, out).collect()}
+    assert stored == {("a", "AGENTS.md"): "1", ("a", "CLAUDE.md"): "new", ("b/c d", "AGENTS.md"): "3\n"}
+
+
+def test_listing_of_plain_paths_and_uris(spark, tmp_path):
+    root = tmp_path / "repos"
+    for name in ("shop/src/a.py", "shop/repos/shop/b.py", "mill/c.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x")
+    wanted = {("shop", "src/a.py"), ("shop", "repos/shop/b.py"), ("mill", "c.py")}
+    for start in (str(root), f"{root}/", f"file://{root}", f"file:{root}/"):
+        assert {tuple(r) for r in R.read_listing(spark, start).collect()} == wanted
+
+
+def test_last_of_repeated_keys_counts(spark):
+    for setting in ("true", "false"):
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", setting)
+        hits = '{"results":[],"results":[{"identifier":"x","score":1,"score":2,"identifier":"y"}]}'
+        df = spark.createDataFrame([("p", hits)], "k string, payload string")
+        assert [tuple(r) for r in P.semantic_hits(df, ["k"]).collect()] == [("p", "y", 2.0, 0)]
+        rows = [("a", '{"name":"first","name":"last","dependencies":{"x":1,"x":2}}')]
+        out = R.manifest_names(spark.createDataFrame(rows, "project_id string, raw string")).collect()
+        assert sorted(map(tuple, out)) == [("a", "last"), ("a", "x")]

@@ -113,7 +113,7 @@ _DAYS = [None, " 30 ", "0", "-5", "30abc", "007", "12", "99999999999999999999"]
     f"""SELECT o_orderkey,
       CASE o_orderkey % 8 WHEN 0 THEN 'AGENTS.md' WHEN 1 THEN 'CLAUDE.md' WHEN 2 THEN 'CLAUDE.md' END AS target_name,
       CAST(coalesce(CASE (o_orderkey // 8) % 9 WHEN 0 THEN 14 WHEN 1 THEN 30 WHEN 6 THEN 12
-        WHEN 8 THEN nullif(o_orderkey, 0) END, -1) AS BIGINT) AS days FROM orders""",
+        WHEN 7 THEN 9223372036854775807 WHEN 8 THEN nullif(o_orderkey, 0) END, -1) AS BIGINT) AS days FROM orders""",
 )
 def _(t: Tables):
     k = F.col("o_orderkey")

@@ -264,7 +264,7 @@ _ISO = [
     "strftime(to_timestamp(1704067200 + (doc_id * 7919) % 2592000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')"
 ] * 9 + ["'soon'", None]
 _START, _END = text(f"\n{MARKER_START}\n"), text(f"\n{MARKER_END}\n")
-_INTRO = text("# Notes\n\nKeep me.\n")
+_INTRO = text("# Notes\n\nWritten by hand.\n")
 
 TABLES: dict[str, tuple[str, list[str]]] = {
     "bodies": (f"SELECT doc_id, source, replace(joined, chr(10), glue) AS text FROM ({_dressed(BULLETS)})", []),
@@ -394,7 +394,7 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         + trim("target")
         + "), '\\.md$', '') WHEN 'agents' THEN 'AGENTS.md' WHEN 'claude' THEN 'CLAUDE.md' END AS target_name, "
         f"CASE WHEN window_days IS NULL THEN 14 WHEN regexp_full_match({trim('window_days')}, '[1-9][0-9]*') "
-        f"THEN TRY_CAST({trim('window_days')} AS BIGINT) END AS days FROM projects",
+        f"THEN coalesce(TRY_CAST({trim('window_days')} AS BIGINT), 9223372036854775807) END AS days FROM projects",
         ["projects"],
     ),
     "valid": ("SELECT * FROM asked WHERE days IS NOT NULL AND target_name IS NOT NULL", ["asked"]),

@@ -307,7 +307,7 @@ class Tables:
         """``(project_id, content)``, one per document: text around a block, or broken markers."""
         d = F.col("doc_id")
         start, end = F.lit(f"\n{MARKER_START}\n"), F.lit(f"\n{MARKER_END}\n")
-        body, intro = F.col("text"), F.lit("# Notes\n\nKeep me.\n")
+        body, intro = F.col("text"), F.lit("# Handbook\n\nWritten by hand.\n")
         content = choose(
             d,
             [
