@@ -115,7 +115,7 @@ class Benchmark:
     def __init__(self, items: list[tuple[str, str]]):
         self.names = sorted({name for name, _ in items})
         number = {name: k for k, name in enumerate(self.names)}
-        found = lowered_words(_texts([text for _, text in items]))
+        found = lowered_words(Texts.of([text.encode() for _, text in items]))
         codes, contents = found.encoded()
         self.vocabulary = {word: k + 1 for k, word in enumerate(contents)}
         rows: dict[int, list] = {}
@@ -151,11 +151,6 @@ class Benchmark:
         return found, hit, items
 
 
-def _texts(values: list[str]) -> Texts:
-    data = [v.encode() for v in values]
-    return Texts(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(d) for d in data])].astype(np.int64))
-
-
 def _search(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark = None

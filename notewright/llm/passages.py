@@ -7,9 +7,9 @@ hold a window that does. Those runs, with all their units, are dealt to shards b
 answers for each window; the answers go back and are laid over the texts.
 
 Documents travel as packs of about ``PACK_BYTES``, compressed. What a pack sends is unique within the
-pack, so a seed, run or copy that a third of all documents hold costs one entry a pack. A seed that more
-than ``HOT_PACKS`` packs hold may have any number of different surroundings; its windows are sent one by
-one and dealt by their own content instead, so that one seed never fills one shard.
+pack, so a seed, run or copy that a third of all documents hold costs one entry a pack. A seed of a level
+above ``HOT_LEVEL`` may have any number of different surroundings; its windows are sent one by one and
+dealt by their own content instead, so that one seed never fills one shard.
 """
 
 from __future__ import annotations
@@ -33,10 +33,11 @@ BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
 #: Windows of bytes are many times more than those of words, so packs and shards of bytes are smaller.
 FEWER = 4
-HOT_PACKS = 64
+#: A hash that occurs once is of level 0, one that n packs hold of as many as n has binary digits.
+HOT_LEVEL = 7
 
 PACK = "pack string, size long, doc_ids binary, known binary, ends binary, data binary, rest binary"
-SEEDS = "bucket int, pack string, tags binary"
+SEEDS = "bucket int, pack string, kinds long, tags binary, twice binary"
 STATES = "pack string, bucket int, states binary"
 STRINGS = "shard int, pack string, kinds long, numbers binary, size long, data binary"
 ANSWERS = "pack string, shard int, size long, answers binary"
@@ -120,10 +121,24 @@ Tags = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def tagged(hashes: np.ndarray, buckets: int) -> Tags:
-    """Distinct hashes as (bucket, 40-bit tag) in order; whether each occurs twice; each hash's place in it."""
-    keys = ((hashes >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40)) | (hashes & np.uint64((1 << 40) - 1))
+    """Distinct hashes as (bucket, 32-bit tag) in order; whether each occurs twice; each hash's place in it.
+
+    Bucket and tag together stand for the hash; two hashes that agree in both only cost needless work.
+    """
+    keys = ((hashes >> np.uint64(40)) % np.uint64(buckets) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
     distinct, place, times = np.unique(keys, return_inverse=True, return_counts=True)
-    return (distinct >> np.uint64(40)).astype(np.int64), distinct & np.uint64((1 << 40) - 1), times > 1, place
+    return (distinct >> np.uint64(32)).astype(np.int64), distinct.astype(np.uint32), times > 1, place
+
+
+def squeezed_order(tags: np.ndarray) -> bytes:
+    """Rising 32-bit numbers: their steps, all lowest bytes first, which compresses the rest."""
+    steps = np.diff(tags, prepend=np.uint32(0)).astype("<u4")
+    return squeezed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T))
+
+
+def opened_order(data: bytes, count: int) -> np.ndarray:
+    steps = np.ascontiguousarray(opened(data, 4 * count).reshape(4, -1).T).view("<u4").reshape(-1)
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 class Runs:
@@ -163,8 +178,8 @@ class Runs:
         return tagged(self.seed, buckets)
 
     def strings(self, state: np.ndarray, shards: int) -> "Strings":
-        """The distinct strings to ask about, given each run's state: 0 none, 1 shared, 2 hot."""
-        runs, hot = np.flatnonzero(state == 1), np.flatnonzero(state == 2)
+        """The distinct strings to ask about, given the level of each run's seed."""
+        runs, hot = np.flatnonzero((state > 0) & (state <= HOT_LEVEL)), np.flatnonzero(state > HOT_LEVEL)
         sizes = self.count[hot]
         single = np.repeat(self.first[hot] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         first = np.concatenate([self.first[runs], single])
@@ -264,39 +279,36 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def tag_rows(pack: str, tags: Tags, buckets: int) -> pa.RecordBatch:
-    """A row a bucket: of each distinct hash the tag in five bytes, then whether it occurs twice."""
+    """A row a bucket: the tags of the distinct hashes, and for each whether it occurs twice."""
     bucket, tag, twice, _ = tags
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     out = []
     for b in np.flatnonzero(np.diff(edges)).tolist():
         own = slice(edges[b], edges[b + 1])
-        raw = np.ascontiguousarray(tag[own]).view(np.uint8).reshape(-1, 8)[:, :6].copy()
-        raw[:, 5] = twice[own]
-        out.append((b, pack, raw.tobytes()))
+        out.append((b, pack, own.stop - own.start, squeezed_order(tag[own]), np.packbits(twice[own]).tobytes()))
     return batch_of(out, SEEDS)
 
 
-def _judge_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = list(rows_of(batches))
     if not rows:
         return
-    raw = np.frombuffer(b"".join(r["tags"] for r in rows), np.uint8).reshape(-1, 6)
-    sizes = np.array([len(r["tags"]) // 6 for r in rows])
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :5] = raw[:, :5]
-    keys = mixed(wide.view(np.uint64).reshape(-1) + (np.repeat([r["bucket"] for r in rows], sizes).astype(np.uint64) << np.uint64(40)))
+    sizes = np.array([r["kinds"] for r in rows])
+    keys = np.concatenate([opened_order(r.pop("tags"), r["kinds"]) | np.uint64(r["bucket"] << 32) for r in rows])
     distinct, place, packs = np.unique(keys, return_inverse=True, return_counts=True)
-    twice = np.zeros(len(distinct), bool)
-    twice[place[raw[:, 5] == 1]] = True
-    state = np.where(packs > HOT_PACKS, 2, np.where((packs > 1) | twice, 1, 0)).astype(np.uint8)[place]
+    level = np.where(packs > 1, np.frexp(packs.astype(float))[1], 0).astype(np.uint8)
+    twice = np.concatenate([np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=r["kinds"]) for r in rows])
+    own = place[twice == 1]
+    level[own] = np.maximum(level[own], 1)
+    level = level[place]
     ends = np.r_[0, np.cumsum(sizes)]
     for k in range(0, len(rows), 500):
         part = range(k, min(k + 500, len(rows)))
-        yield batch_of([(rows[i]["pack"], rows[i]["bucket"], squeezed(state[ends[i] : ends[i + 1]])) for i in part], STATES)
+        yield batch_of([(rows[i]["pack"], rows[i]["bucket"], squeezed(level[ends[i] : ends[i + 1]])) for i in part], STATES)
 
 
 def states_of(tags: Tags, states: list[dict], buckets: int) -> np.ndarray:
-    """The state of every hash: 0 once anywhere, 1 twice or more, 2 in very many packs."""
+    """The level of every hash, 0 where it occurs once anywhere."""
     bucket, _, _, place = tags
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     state = np.zeros(len(bucket), np.uint8)
@@ -309,7 +321,7 @@ def states_of(tags: Tags, states: list[dict], buckets: int) -> np.ndarray:
 def judged(tags: DataFrame, buckets: int) -> DataFrame:
     """Per pack the states of its hashes, from the rows of ``tag_rows`` of all packs."""
     return kept(
-        tags.repartition(buckets, "bucket").mapInArrow(_judge_seeds, STATES)
+        tags.repartition(buckets, "bucket").mapInArrow(_judge, STATES)
         .groupBy("pack").agg(F.collect_list(F.struct("bucket", "states")).alias("states"))
     )
 

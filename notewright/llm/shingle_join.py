@@ -5,10 +5,9 @@ of the first ``n - ceil(0.85 n) + 1`` shingles of each. Documents with one shing
 with equal prefix and size are one group. Groups that share a prefix shingle and whose sizes allow a link
 are candidates; the members of candidate pairs are expanded and verified on their whole sets.
 
-How it is spread: documents travel in packs. Frequencies come from a table of ``SLOTS`` counters, whose
-size is fixed; any order gives the same links, a good one fewer candidates. Prefix shingles that occur
-once anywhere are dropped before groups meet (``passages`` finds them). Groups chained by candidates
-form a cluster; every kind's set goes once to its cluster, where pairs are verified in memory and a
+How it is spread: documents travel in packs. How many packs hold a shingle is counted for all of them, to
+the power of two, as ``passages`` does; shingles of a level are ordered by hash, and those that occur once
+anywhere, level 0, meet nobody and are dropped from prefixes. Groups chained by candidates form a cluster; every kind's set goes once to its cluster, where pairs are verified in memory and a
 spanning forest of the links is given back. A cluster of more than ``BLOCK`` kinds is split into blocks
 and every pair of blocks is its own task unit, so no task holds a cluster of any size. Roots come from
 contraction (``components``).
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .passages import (
-    SEEDS, Scheme, bucket_counts, judged, opened, pack_texts, packed, rolled, rows_of, squeezed, states_of, tag_rows, tagged,
+    SEEDS, Scheme, Tags, bucket_counts, judged, pack_texts, packed, rolled, rows_of, states_of, tag_rows, tagged,
 )
 from .shared import kept
 from .texts import Texts, mixed, words
@@ -39,8 +38,6 @@ from .texts import Texts, mixed, words
 SHINGLE = 4
 SCHEME = Scheme(window=SHINGLE, seed=SHINGLE, by_word=True, lower=True)
 PERCENT = 85
-SLOTS = 1 << 20
-SLOT_PARTS = 16
 BLOCK = 512
 #: Blocks of a cluster at most; larger clusters have larger blocks, up to LARGE_BLOCK, and then more blocks.
 BLOCKS = 16
@@ -50,7 +47,6 @@ COLUMNS = 4096
 #: Sizes that can link lie in one class or in two neighbouring ones.
 CLASS_WIDTH = math.log(100 / PERCENT) * 1.000001
 
-COUNTS = "part int, counts binary"
 PROFILE = "pack string, place int, doc_id long, n_shingles long, kind long, prefix long, shared array<long>"
 SETS = "pack string, place int, cluster long, unit long, kind long, prefix long, side int, n int, shingles binary"
 LINKS = "a long, b long"
@@ -77,80 +73,58 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def _slot(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(44)).astype(np.int64)
-
-
-def _ordered(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Rare first, by the counters; equal counts by hash."""
-    return shingles[np.argsort(counts[_slot(shingles)], kind="stable")]
-
-
 def _digest(values: np.ndarray, salt: int) -> int:
     return int(mixed(np.array([np.sum(mixed(values + np.uint64(salt)), dtype=np.uint64) + np.uint64(len(values))]))[0].view(np.int64))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SLOTS, np.int64)
-    for row in rows_of(batches):
-        for shingles in shingle_sets(pack_texts(row)):
-            np.add.at(counts, _slot(shingles), 1)
-    for part, own in enumerate(counts.reshape(SLOT_PARTS, -1)):
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([squeezed(own)])], ["part", "counts"])
-
-
-def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, np.ndarray] = {}
-    for row in rows_of(batches):
-        own = opened(row["counts"], 8 * SLOTS // SLOT_PARTS).view(np.int64)
-        totals[row["part"]] = totals[row["part"]] + own if row["part"] in totals else own
-    for part, own in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([squeezed(own)])], ["part", "counts"])
-
-
 class Profile:
-    """Of one pack: per text its set in global order, kind and prefix; and the prefix shingles of new kinds."""
+    """Of one pack: per text its set and kind; and the first text of each kind."""
 
-    def __init__(self, row: dict, counts: np.ndarray):
-        self.sets = [_ordered(s, counts) for s in shingle_sets(pack_texts(row))]
+    def __init__(self, row: dict):
+        self.sets = shingle_sets(pack_texts(row))
         self.kinds = [_digest(s, 1) if len(s) else None for s in self.sets]
-        self.heads = [s[: prefix_length(len(s))] for s in self.sets]
-        self.prefixes = [_digest(h, 2 + len(s)) if len(s) else None for h, s in zip(self.heads, self.sets)]
-        seen: set[int] = set()
-        self.new = []  # the first text of each kind
+        first: dict[int, int] = {}
         for i, kind in enumerate(self.kinds):
-            if kind is not None and kind not in seen:
-                seen.add(kind)
-                self.new.append(i)
-        self.sizes = [len(self.heads[i]) for i in self.new]
-        self.hashes = mixed(np.concatenate([self.heads[i] for i in self.new])) if self.new else np.zeros(0, np.uint64)
+            if kind is not None:
+                first.setdefault(kind, i)
+        self.new = list(first.values())
+        self.ends = np.r_[0, np.cumsum([len(self.sets[i]) for i in self.new])].astype(np.int64)
+        self.all = np.concatenate([self.sets[i] for i in self.new]) if self.new else np.zeros(0, np.uint64)
+
+    def tags(self, buckets: int) -> Tags:
+        return tagged(self.all, buckets)
 
 
-def _send_prefixes(counts, buckets: int):
+def _send_shingles(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            yield tag_rows(row["pack"], tagged(Profile(row, counts.value).hashes, buckets), buckets)
+            yield tag_rows(row["pack"], Profile(row).tags(buckets), buckets)
 
     return run
 
 
-def _profiles(counts, buckets: int):
+def _profiles(buckets: int):
+    """Per text its kind; for the first of each kind in a pack also the prefix and the shared shingles in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            profile = Profile(row, counts.value)
-            state = states_of(tagged(profile.hashes, buckets), row["states"], buckets)
-            shared: list = [None] * len(profile.sets)
-            ends = np.r_[0, np.cumsum(profile.sizes)].astype(np.int64)
-            for i, a, b in zip(profile.new, ends[:-1], ends[1:]):
-                shared[i] = profile.hashes[a:b][state[a:b] > 0].view(np.int64)
-            ids, known = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["known"], np.uint8)
+            profile = Profile(row)
+            level = states_of(profile.tags(buckets), row["states"], buckets)
             n = len(profile.sets)
+            prefix: list = [None] * n
+            shared: list = [None] * n
+            for i, a, b in zip(profile.new, profile.ends[:-1], profile.ends[1:]):
+                order = np.argsort(level[a:b], kind="stable")[: prefix_length(int(b - a))]
+                head = profile.sets[i][order]
+                prefix[i] = _digest(head, 2 + int(b - a))
+                shared[i] = head[level[a:b][order] > 0].view(np.int64)
+            ids, known = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["known"], np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([row["pack"]] * n, pa.string()), pa.array(range(n), pa.int32()),
                     pa.array([i if k else None for i, k in zip(ids.tolist(), known)], pa.int64()),
                     pa.array([len(s) for s in profile.sets], pa.int64()), pa.array(profile.kinds, pa.int64()),
-                    pa.array(profile.prefixes, pa.int64()), pa.array(shared, pa.list_(pa.int64())),
+                    pa.array(prefix, pa.int64()), pa.array(shared, pa.list_(pa.int64())),
                 ],
                 ["pack", "place", "doc_id", "n_shingles", "kind", "prefix", "shared"],
             )
@@ -158,28 +132,24 @@ def _profiles(counts, buckets: int):
     return run
 
 
-def _sets(counts):
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets that clusters ask of a pack, one row for each unit of the cluster that needs it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            sets = shingle_sets(pack_texts(row))
-            out = []
-            for want in row["wanted"]:
-                shingles = _ordered(sets[want["place"]], counts.value)
-                data, block, blocks = shingles.tobytes(), want["block"], want["blocks"]
-                for other in range(blocks):
-                    low, high = min(block, other), max(block, other)
-                    out.append((
-                        row["pack"], want["place"], want["cluster"], low * blocks + high, want["kind"], want["prefix"],
-                        int(block == high), len(shingles), data,
-                    ))
-                if len(out) > 2000:
-                    yield _set_batch(out)
-                    out = []
-            yield _set_batch(out)
-
-    return run
+    for row in rows_of(batches):
+        texts, out = pack_texts(row), []
+        wanted = row["wanted"]
+        part = Texts.of([texts.text(w["place"]) for w in wanted])
+        for want, shingles in zip(wanted, shingle_sets(part)):
+            data, block, blocks = shingles.tobytes(), want["block"], want["blocks"]
+            for other in range(blocks):
+                low, high = min(block, other), max(block, other)
+                out.append((
+                    row["pack"], want["place"], want["cluster"], low * blocks + high, want["kind"], want["prefix"],
+                    int(block == high), len(shingles), data,
+                ))
+            if len(out) > 500:
+                yield _set_batch(out)
+                out = []
+        yield _set_batch(out)
 
 
 def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -208,16 +178,25 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _heads(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The prefixes of the sets, as codes, in the order of how many of the sets hold a shingle."""
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    ends = np.r_[0, np.cumsum([len(s) for s in sets])]
+    return [np.sort(rank[code[a:b]])[: prefix_length(int(b - a))] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def linked_pairs(prefixes: np.ndarray, sides: np.ndarray, crossing: bool, sets: list[np.ndarray]) -> np.ndarray:
     """Index pairs of the kinds that link; only pairs of both sides where the unit is of two blocks."""
     groups, group = np.unique(prefixes, return_inverse=True)
     first = np.zeros(len(groups), np.int64)
     first[group[::-1]] = np.arange(len(group))[::-1]
     sizes = np.array([len(s) for s in sets], np.int64)
-    # Group pairs that share a prefix shingle.
-    heads = [sets[i][: prefix_length(len(sets[i]))] for i in first]
+    # Group pairs that share a prefix shingle, by an order of the unit's own: rare here before common here.
+    heads = _heads([sets[i] for i in first])
     owner = np.repeat(np.arange(len(groups)), [len(h) for h in heads])
-    _, code = np.unique(np.concatenate(heads), return_inverse=True)
+    code = np.concatenate(heads)
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
     cuts = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
@@ -288,20 +267,13 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def shingle_components(docs: DataFrame) -> DataFrame:
     """Per row doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
-    context = docs.sparkSession.sparkContext
     packs = packed(docs, SCHEME)
     buckets, _ = bucket_counts(packs, SCHEME)
-    sums = packs.mapInArrow(_count, COUNTS).repartition(SLOT_PARTS, "part").mapInArrow(_add_counts, COUNTS)
-    table = np.zeros((SLOT_PARTS, SLOTS // SLOT_PARTS), np.int64)
-    for row in sums.toLocalIterator():  # SLOT_PARTS rows
-        table[row.part] = opened(row.counts, 8 * SLOTS // SLOT_PARTS).view(np.int64)
-    counts = context.broadcast(table.reshape(-1))
-
-    states = judged(packs.mapInArrow(_send_prefixes(counts, buckets), SEEDS), buckets)
-    profile = kept(packs.join(states, "pack", "left").mapInArrow(_profiles(counts, buckets), PROFILE))
+    states = judged(packs.mapInArrow(_send_shingles(buckets), SEEDS), buckets)
+    profile = kept(packs.join(states, "pack", "left").mapInArrow(_profiles(buckets), PROFILE))
     kinds = kept(
         profile.where("kind is not null").groupBy("kind")
-        .agg(F.min("doc_id").alias("least"), F.min(F.struct("pack", "place")).alias("home"), F.first("prefix").alias("prefix"))
+        .agg(F.min("doc_id").alias("least"), F.min(F.struct("pack", "place")).alias("home"), F.min("prefix").alias("prefix"))
     )
 
     # Groups that share a prefix shingle and a class of size.
@@ -327,7 +299,7 @@ def shingle_components(docs: DataFrame) -> DataFrame:
                      F.expr("cast(pmod(xxhash64(kind), blocks) as int)").alias("block")).alias("want"),
         ).groupBy("pack").agg(F.collect_list("want").alias("wanted"))
     )
-    sets = packs.join(wanted, "pack").mapInArrow(_sets(counts), SETS)
+    sets = packs.join(wanted, "pack").mapInArrow(_sets, SETS)
     links = sets.repartition(buckets, "cluster", "unit").sortWithinPartitions("cluster", "unit", "kind").mapInArrow(_verify, LINKS)
     roots = components(links).toDF("kind", "root")
 

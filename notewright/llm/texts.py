@@ -47,6 +47,11 @@ class Texts:
     data: np.ndarray
     offsets: np.ndarray
 
+    @classmethod
+    def of(cls, contents: list[bytes]) -> Texts:
+        ends = np.r_[0, np.cumsum([len(c) for c in contents])].astype(np.int64)
+        return cls(np.frombuffer(b"".join(contents), np.uint8), ends)
+
     def __len__(self) -> int:
         return len(self.offsets) - 1
 

@@ -25,10 +25,10 @@ def plain(rows, size=35):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed,pack,hot", [(1, 2 << 20, 64), (2, 2000, 64), (3, 2000, 2), (4, 500, 1)])
+@pytest.mark.parametrize("seed,pack,hot", [(1, 2 << 20, 7), (2, 2000, 7), (3, 2000, 2), (4, 500, 1)])
 def test_matches_all_windows(spark, monkeypatch, seed, pack, hot):
     monkeypatch.setattr(passages, "PACK_BYTES", pack)
-    monkeypatch.setattr(passages, "HOT_PACKS", hot)
+    monkeypatch.setattr(passages, "HOT_LEVEL", hot)
     rng = random.Random(seed)
     vocabulary = ["é", "b", "Cc", "dd,", "the"] if seed % 2 else [f"w{i}" for i in range(60)]
     blanks = [" ", "  ", "\t", "\n", " \x0b"]

@@ -53,10 +53,10 @@ def corpus(seed, n=150):
     return rows + [rows[7]] * 2
 
 
-@pytest.mark.parametrize("seed,pack,hot", [(1, 2 << 20, 64), (2, 900, 64), (3, 900, 2), (4, 300, 1)])
+@pytest.mark.parametrize("seed,pack,hot", [(1, 2 << 20, 7), (2, 900, 7), (3, 900, 2), (4, 300, 1)])
 def test_matches_all_windows(spark, monkeypatch, seed, pack, hot):
     monkeypatch.setattr(passages, "PACK_BYTES", pack)
-    monkeypatch.setattr(passages, "HOT_PACKS", hot)
+    monkeypatch.setattr(passages, "HOT_LEVEL", hot)
     rows = corpus(seed)
     df = repeated_bytes(spark.createDataFrame(rows, SCHEMA).repartition(3))
     expected = plain(rows)
