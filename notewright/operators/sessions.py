@@ -141,33 +141,41 @@ def entry_category(title: Column, text: Column, hit_category: Column, score: Col
 
 
 def term_keys(terms: Column) -> Column:
-    """Per project term the word sequence to look for, and the pattern of its run-on spelling.
-
-    The pattern allows one space between any two letters, so it finds ``owl sql`` in ``owlsql`` and
-    the other way round, while the spaces around it keep it to whole words.
-    """
+    """Per project term the word sequence to look for, and its words run on as one."""
 
     def key(term: Column) -> Column:
         words = tokens(term)
         joined = F.array_join(words, "")
         return F.struct(
             F.concat(F.lit(" "), phrase(words), F.lit(" ")).alias("words"),
-            F.when(
-                F.length(joined) >= MINIMUM_RUN_ON_LENGTH,
-                F.concat(F.lit(" "), F.regexp_replace(joined, "(?<=.)(?=.)", " ?"), F.lit(" ")),
-            ).alias("run_on"),
+            F.when(F.length(joined) >= MINIMUM_RUN_ON_LENGTH, joined).alias("run_on"),
         )
 
     return F.filter(F.transform(terms, key), lambda k: F.length(k["words"]) > 2)
 
 
 def names_project(title: Column, keys: Column) -> Column:
-    """True when the title names any term: its words in sequence, or spelled as one run of words."""
-    padded = F.concat(F.lit(" "), phrase(tokens(title)), F.lit(" "))
+    """True when the title names any term: its words in sequence, or words that run on as the term's.
+
+    So ``fern grid`` is found in ``ferngrid`` and the other way round, in whole words only. Which words
+    those are is asked only where the title without spaces holds the term without spaces.
+    """
+    words = tokens(title)
+    padded = F.concat(F.lit(" "), phrase(words), F.lit(" "))
+    whole = F.array_join(words, "")
+    places = F.sequence(F.lit(1), F.size(words))
+
+    def runs_on(term: Column) -> Column:
+        def from_word(first: Column) -> Column:
+            return F.exists(
+                places, lambda last: F.array_join(F.slice(words, first, F.greatest(last - first + 1, F.lit(0))), "") == term
+            )
+
+        return F.contains(whole, term) & F.exists(places, from_word)
+
     return F.exists(
         keys,
-        lambda k: F.contains(padded, k["words"])
-        | F.coalesce(F.regexp_like(padded, k["run_on"]), F.lit(False)),
+        lambda k: F.contains(padded, k["words"]) | F.coalesce(runs_on(k["run_on"]), F.lit(False)),
     )
 
 

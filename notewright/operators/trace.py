@@ -18,9 +18,10 @@ def annotation_type_audit(annotations: DataFrame) -> DataFrame:
 def chain_trace(hits: DataFrame, summaries: DataFrame, annotations: DataFrame) -> DataFrame:
     """Per query: hits, sessions behind them, annotations those list and that exist.
 
-    Each stage is counted on ids alone and joined to the hits' queries at the end.
+    Each stage is counted on ids alone and joined to the hits' queries at the end. Repeated hits go
+    before their sessions' annotations are listed.
     """
-    reached = hits.select("query_id", "summary_id").join(
+    reached = hits.select("query_id", "summary_id").distinct().join(
         summaries.select("summary_id", "annotation_ids"), "summary_id", "left"
     )
     listed = reached.select(
