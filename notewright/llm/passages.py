@@ -34,7 +34,7 @@ SHARD_BYTES = 8 << 20
 #: Windows of bytes are many times more than those of words, so packs and shards of bytes are smaller.
 FEWER = 4
 #: A hash that occurs once is of level 0, one that n packs hold of as many as n has binary digits.
-HOT_LEVEL = 7
+HOT_LEVEL = 14
 
 PACK = "pack string, size long, doc_ids binary, known binary, ends binary, data binary, rest binary"
 SEEDS = "bucket int, pack string, kinds long, tags binary, twice binary"

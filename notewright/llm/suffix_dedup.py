@@ -52,20 +52,21 @@ def difference_cover_order(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
-    t = np.r_[text, 0, 0, 0].astype(np.int64)
+    t = np.r_[text, 0, 0, 0].astype(np.int32)  # a shard is far below 2^31 letters
     # Sampled places, those of remainder 1 before those of remainder 2; one more place at the end keeps
     # the triples of the first part apart from the second's.
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.r_[one, two]
     triples = _keys([t[sample], t[sample + 1], t[sample + 2]])
     distinct, names = np.unique(triples, return_inverse=True)
+    del triples
     if len(distinct) < len(sample):
         order = difference_cover_order(names + 1)
-        rank_of = np.empty(len(sample), np.int64)
+        rank_of = np.empty(len(sample), np.int32)
         rank_of[order] = np.arange(1, len(sample) + 1)
     else:
         rank_of = names + 1
-    rank = np.zeros(n + 3, np.int64)
+    rank = np.zeros(n + 3, np.int32)
     rank[sample] = rank_of
     sampled = np.empty(len(sample), np.int64)
     sampled[rank_of - 1] = sample
@@ -94,7 +95,7 @@ def earliest_owners(units: Spans, owner: np.ndarray, _: np.ndarray) -> np.ndarra
     # A separator after each string, so that no window reaches into the next.
     lengths = np.diff(texts.offsets)
     begins = np.r_[0, np.cumsum(lengths + 1)][:-1]
-    data = np.zeros(len(texts.data) + len(ends), np.int64)
+    data = np.zeros(len(texts.data) + len(ends), np.int16)
     of = np.repeat(np.arange(len(ends)), lengths)
     places = np.arange(len(texts.data)) + of
     data[places] = texts.data
@@ -109,7 +110,7 @@ def earliest_owners(units: Spans, owner: np.ndarray, _: np.ndarray) -> np.ndarra
     order = difference_cover_order(data)
     order = order[index[order] >= 0]
     same = np.zeros(len(order), bool)
-    letters = np.lib.stride_tricks.sliding_window_view(data.astype(np.uint8) if data.max(initial=0) < 256 else data.astype(np.uint16), WINDOW)
+    letters = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
     for k in range(1, len(order), COMPARED):
         part = order[k - 1 : k + COMPARED]
         prefixes = letters[part]
