@@ -134,9 +134,9 @@ def _streams(t: Tables):
 @query(
     "decode_sse_messages",
     """SELECT doc_id,
-      CASE WHEN doc_id % 6 < 3 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 6 = 4 THEN 'other' END AS id,
+      CASE WHEN doc_id % 6 < 3 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 6 = 4 THEN 'previous' END AS id,
       CASE WHEN doc_id % 6 < 3 THEN text END AS text,
-      CASE WHEN doc_id % 6 = 3 THEN 'note' END AS method,
+      CASE WHEN doc_id % 6 = 3 THEN 'progress' END AS method,
       CASE WHEN doc_id % 6 = 4 THEN 'm' END AS error
     FROM documents""",
 )

@@ -117,19 +117,18 @@ _VECTORS = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddi
 
 @query(
     "semantic_topk",
-    f"""SELECT label, vec_id AS summary_id, round(score, 6) AS score, CAST(hit_pos AS BIGINT) AS hit_pos FROM (
-      SELECT q.label, x.vec_id, list_cosine_similarity(x.v, q.v) AS score,
-        row_number() OVER (PARTITION BY q.label ORDER BY list_cosine_similarity(x.v, q.v) DESC, x.vec_id) AS hit_pos
-      FROM {_VECTORS} x, (SELECT label, arg_min(v, vec_id) AS v FROM {_VECTORS} GROUP BY label) q
-      WHERE list_cosine_similarity(x.v, q.v) >= 0.1) WHERE hit_pos <= 8""",
+    f"""SELECT asked_id, vec_id AS summary_id, round(score, 6) AS score, CAST(hit_pos AS BIGINT) AS hit_pos FROM (
+      SELECT q.vec_id AS asked_id, x.vec_id, list_cosine_similarity(x.v, q.v) AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(x.v, q.v) DESC, x.vec_id) AS hit_pos
+      FROM {_VECTORS} x, {_VECTORS} q WHERE list_cosine_similarity(x.v, q.v) >= 0.1) WHERE hit_pos <= 8""",
 )
 def _(t: Tables):
-    """Each label's first vector asks; the threshold is low enough for the limit to matter."""
-    vectors = t.given("embeddings").select(F.col("vec_id").alias("summary_id"), "embedding", "label")
-    queries = vectors.groupBy("label").agg(F.min_by("embedding", "summary_id").alias("query_vector"))
-    hits = semantic_topk(vectors, queries, ["label"], 8, threshold=0.1)
+    """Every vector asks; the threshold is low enough for the limit to matter."""
+    vectors = t.given("embeddings").select(F.col("vec_id").alias("summary_id"), "embedding")
+    queries = vectors.select(F.col("summary_id").alias("asked_id"), F.col("embedding").alias("query_vector"))
+    hits = semantic_topk(vectors, queries, ["asked_id"], 8, threshold=0.1)
     return hits.select(
-        "label", "summary_id", F.round("score", 6).alias("score"), F.col("hit_pos").cast("bigint").alias("hit_pos")
+        "asked_id", "summary_id", F.round("score", 6).alias("score"), F.col("hit_pos").cast("bigint").alias("hit_pos")
     )
 
 
@@ -140,16 +139,14 @@ def _(t: Tables):
         f"""SELECT item_id, doc_id AS summary_id, CAST(hit_pos AS BIGINT) AS hit_pos FROM (
           SELECT q.item_id, d.doc_id, row_number() OVER (PARTITION BY q.item_id ORDER BY d.n_chars DESC, d.doc_id) AS hit_pos
           FROM (SELECT doc_id, n_chars, {Q.tokens("text")} AS held FROM documents) d,
-               (SELECT item_id, {Q.tokens("text")}[1:2] AS words FROM benchmark) q
+               (SELECT item_id, {Q.tokens("text")} AS words FROM benchmark) q
           WHERE list_has_all(d.held, q.words)) WHERE hit_pos <= 8""",
     ),
 )
 def _(t: Tables):
-    """Two words of every benchmark passage, searched in all documents; length stands for the date."""
+    """All words of every benchmark passage, searched in all documents; length stands for the date."""
     documents = t.documents().select(doc().alias("summary_id"), "text", F.col("n_chars").alias("created_at"))
-    queries = t.given("benchmark").select(
-        "item_id", F.array_join(F.slice(tokens(F.col("text")), 1, 2), " ").alias("query_text")
-    )
+    queries = t.given("benchmark").select("item_id", F.col("text").alias("query_text"))
     return keyword_topk(documents, queries, ["item_id"], 8).select(
         "item_id", "summary_id", F.col("hit_pos").cast("bigint").alias("hit_pos")
     )
