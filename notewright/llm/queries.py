@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .bpe import decode, encode
 from .chat import ROTATED_SQL, rotated_dialogues
 from .decontaminate import benchmark_hits
@@ -113,4 +114,11 @@ def op9_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
     return rotated_dialogues(table(spark, folder, "conversations"))
 
 
-ORACLES["op9_chat_perspectives"] = ROTATED_SQL
+ORACLES |= {
+    "op2_quality_rules": oracle.QUALITY_RULES,
+    "op5_suffix_dedup": oracle.SUFFIX_DEDUP,
+    "op7_decontamination": oracle.DECONTAMINATION,
+    "op8_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op9_chat_perspectives": ROTATED_SQL,
+    "op10_shingle_join": oracle.SHINGLE_JOIN,
+}
