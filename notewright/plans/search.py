@@ -1,13 +1,17 @@
-"""Requests to hits: both searches of every project and topic."""
+"""Requests to hits: both searches of every project and topic; and what one search reaches."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import TRACE_LIMIT
 from ..operators.requests import query_texts, search_limit
 from ..operators.search import keyword_topk, semantic_topk
 from ..operators.sessions import union_hits
+from ..operators.trace import annotation_type_audit, chain_trace, session_listing
 
 KEYS = ["project_id", "category"]
 
@@ -28,3 +32,21 @@ def search_hits(
         semantic_topk(vectors, meant, KEYS, F.col("allowed")),
         keyword_topk(documents, said, KEYS, F.col("allowed")),
     )
+
+
+class Trace(NamedTuple):
+    counts: DataFrame
+    types: DataFrame
+    sessions: DataFrame
+
+
+def trace_search(queries: DataFrame, vectors: DataFrame, summaries: DataFrame, annotations: DataFrame) -> Trace:
+    """The diagnostic chain of ``(query_id, query_vector)``: the few best hits and what stands behind them.
+
+    ``types`` and ``sessions`` cover what the searches reached, not the whole tables.
+    """
+    hits = semantic_topk(vectors, queries, ["query_id"], TRACE_LIMIT)
+    reached = summaries.join(hits.select("summary_id").distinct(), "summary_id", "left_semi")
+    listed = reached.select(F.explode("annotation_ids").alias("annotation_id")).distinct()
+    found = annotations.join(listed, "annotation_id", "left_semi")
+    return Trace(chain_trace(hits, summaries, annotations), annotation_type_audit(found), session_listing(reached))
