@@ -1 +1 @@
-"""Whole runs composed from the operators, each one lazy plan."""
+"""Whole runs built from the operators; what several of their results read is kept while they are built."""

@@ -1,4 +1,4 @@
-"""Hits to entries: one lazy plan whose shuffles are on summary, annotation and project ids."""
+"""Hits to entries; its shuffles are on summary, annotation and project ids."""
 
 from __future__ import annotations
 
