@@ -78,7 +78,7 @@ class FmIndex:
 
     def __init__(self, text: np.ndarray, weights: np.ndarray):
         n = len(text)
-        order = np.r_[n, difference_cover_order(text)]
+        order = np.r_[np.int64(n), difference_cover_order(text)]
         last = np.r_[text, 0][order - 1]
         top = int(text.max(initial=0))
         self.tree = WaveletTree(last, max(1, top.bit_length()))

@@ -79,8 +79,8 @@ class Scheme:
     def units(self, texts: Texts) -> Spans:
         if self.by_word:
             return words(texts)
-        at = np.arange(len(texts.data))
-        return Spans(texts, at, at + 1, texts.offsets)
+        at = np.arange(len(texts.data) + 1, dtype=np.int32)
+        return Spans(texts, at[:-1], at[1:], texts.offsets)
 
     def values(self, found: Spans) -> np.ndarray:
         return found.hashes() if self.by_word else mixed(np.arange(1, 257))[found.texts.data]

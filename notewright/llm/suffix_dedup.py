@@ -27,7 +27,7 @@ from .texts import Spans, Texts, covered
 WINDOW = 50
 SCHEME = Scheme(window=WINDOW, seed=24, by_word=False)
 #: Positions of which adjacent prefixes are compared at once.
-COMPARED = 1 << 17
+COMPARED = 1 << 16
 
 RESULT = "doc_id long, n_bytes long, spans array<struct<first: int, past: int>>, kept_sha256 string"
 
@@ -49,30 +49,41 @@ def _keys(columns: list[np.ndarray]) -> np.ndarray:
 
 def difference_cover_order(text: np.ndarray) -> np.ndarray:
     """The suffix array of numbers of 1 and more; a suffix that ends sorts before what it is a prefix of."""
+    return _order([text])
+
+
+def _order(held: list[np.ndarray]) -> np.ndarray:
+    """``held`` has the text alone and gives it up, so that no level of the recursion keeps another's."""
+    text = held.pop()
     n = len(text)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
-    t = np.r_[text, 0, 0, 0].astype(np.int32)  # a shard is far below 2^31 letters
+        return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int32)
+    t = np.zeros(n + 3, np.int32)  # a shard is far below 2^31 letters
+    t[:n] = text
+    del text
     # Sampled places, those of remainder 1 before those of remainder 2; one more place at the end keeps
     # the triples of the first part apart from the second's.
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    sample = np.r_[one, two]
-    triples = _keys([t[sample], t[sample + 1], t[sample + 2]])
-    distinct, names = np.unique(triples, return_inverse=True)
-    del triples
-    if len(distinct) < len(sample):
-        order = difference_cover_order(names + 1)
+    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)])
+    distinct, names = np.unique(_keys([t[sample], t[sample + 1], t[sample + 2]]), return_inverse=True)
+    repeats = len(distinct) < len(sample)
+    del distinct
+    rank_of = (names + 1).astype(np.int32)
+    del names
+    if repeats:
+        lower = [rank_of]
+        del rank_of
+        order = _order(lower)
         rank_of = np.empty(len(sample), np.int32)
-        rank_of[order] = np.arange(1, len(sample) + 1)
-    else:
-        rank_of = names + 1
+        rank_of[order] = np.arange(1, len(sample) + 1, dtype=np.int32)
+        del order
     rank = np.zeros(n + 3, np.int32)
     rank[sample] = rank_of
-    sampled = np.empty(len(sample), np.int64)
+    sampled = np.empty(len(sample), np.int32)
     sampled[rank_of - 1] = sample
+    del rank_of, sample
     sampled = sampled[sampled < n]
     # The remaining suffixes, by first letter and the rank behind it.
-    rest = np.arange(0, n, 3)
+    rest = np.arange(0, n, 3, dtype=np.int32)
     rest = rest[np.argsort(_keys([t[rest], rank[rest + 1]]), kind="stable")]
     # Merge: how many sampled suffixes of either remainder each of them follows.
     behind = np.zeros(len(rest), np.int64)
@@ -82,7 +93,7 @@ def difference_cover_order(text: np.ndarray) -> np.ndarray:
     ):
         both = _keys([np.concatenate(pair) for pair in zip(columns(own), columns(rest))])
         behind += np.searchsorted(both[: len(own)], both[len(own) :])
-    out = np.full(n, -1, np.int64)
+    out = np.full(n, -1, np.int32)
     out[behind + np.arange(len(rest))] = rest
     out[out < 0] = sampled
     return out
@@ -91,35 +102,33 @@ def difference_cover_order(text: np.ndarray) -> np.ndarray:
 def earliest_owners(units: Spans, owner: np.ndarray, _: np.ndarray) -> np.ndarray:
     """For each window of the strings in order: the smallest owner of an equal window."""
     texts = units.texts
-    ends = texts.offsets[1:]
-    # A separator after each string, so that no window reaches into the next.
     lengths = np.diff(texts.offsets)
-    begins = np.r_[0, np.cumsum(lengths + 1)][:-1]
-    data = np.zeros(len(texts.data) + len(ends), np.int16)
-    of = np.repeat(np.arange(len(ends)), lengths)
-    places = np.arange(len(texts.data)) + of
-    data[places] = texts.data
-    data += 2
-    data[begins + lengths] = 1
+    # A separator after each string, so that no window reaches into the next.
+    begins = texts.offsets[:-1] + np.arange(len(lengths))
+    data = np.ones(len(texts.data) + len(lengths), np.int16)
+    inside = np.ones(len(data), bool)
+    inside[begins + lengths] = False
+    data[inside] = texts.data
+    data[inside] += 2
+    del inside
+    order = difference_cover_order(data)
     windows = lengths - WINDOW + 1
     total = int(windows.sum())
-    index = np.full(len(data), -1, np.int64)  # of the window that starts at a place
-    which = np.repeat(np.arange(len(ends)), windows)
-    start = np.arange(total) + np.repeat(begins - np.cumsum(windows) + windows, windows)
-    index[start] = np.arange(total)
-    order = difference_cover_order(data)
+    index = np.full(len(data), -1, np.int32)  # of the window that starts at a place
+    index[np.arange(total) + np.repeat(begins - np.cumsum(windows) + windows, windows)] = np.arange(total, dtype=np.int32)
     order = order[index[order] >= 0]
     same = np.zeros(len(order), bool)
     letters = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
     for k in range(1, len(order), COMPARED):
-        part = order[k - 1 : k + COMPARED]
-        prefixes = letters[part]
+        prefixes = letters[order[k - 1 : k + COMPARED]]
         same[k : k + COMPARED] = (prefixes[1:] == prefixes[:-1]).all(axis=1)
-    found = owner[which[index[order]]]
+    place = index[order]
+    del order, index
     heads = np.flatnonzero(~same)
+    found = np.repeat(owner, windows)[place]
     least = np.minimum.reduceat(found, heads) if len(heads) else found
     out = np.empty(total, np.int64)
-    out[index[order]] = np.repeat(least, np.diff(np.r_[heads, len(order)]))
+    out[place] = np.repeat(least, np.diff(np.r_[heads, len(place)]))
     return out
 
 
