@@ -264,7 +264,7 @@ _ISO = [
     "strftime(to_timestamp(1704067200 + (doc_id * 7919) % 2592000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')"
 ] * 9 + ["'soon'", None]
 _START, _END = text(f"\n{MARKER_START}\n"), text(f"\n{MARKER_END}\n")
-_INTRO = text("# Notes\n\nWritten by hand.\n")
+_INTRO = text("# Handbook\n\nWritten by hand.\n")
 
 TABLES: dict[str, tuple[str, list[str]]] = {
     "bodies": (f"SELECT doc_id, source, replace(joined, chr(10), glue) AS text FROM ({_dressed(BULLETS)})", []),
