@@ -58,7 +58,8 @@ def _weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
 def header_licenses(headers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``header_id``, ``license`` and ``score`` of the distinct headers (header_id, header) that match well enough."""
     spark = headers.sparkSession
-    templates = spark.createDataFrame(list(TEMPLATES.items()), "license string, notice string")
+    listed = [F.struct(F.lit(name).alias("license"), F.lit(notice).alias("notice")) for name, notice in TEMPLATES.items()]
+    templates = spark.range(1).select(F.inline(F.array(*listed)))
     own = headers.select(F.col("header_id").alias("id"), F.explode(terms(F.col("header"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     model = templates.select(F.col("license").alias("id"), F.explode(terms(F.col("notice"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     own = kept(own)
