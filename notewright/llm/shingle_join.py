@@ -3,7 +3,8 @@
 Grouped prefix join. Shingles have one global order, rare before common; two sets that link share one
 of the first ``n - ceil(0.85 n) + 1`` shingles of each. Documents with one shingle set are one kind; kinds
 with equal prefix and size are one group. Groups that share a prefix shingle and whose sizes allow a link
-are candidates; the members of candidate pairs are expanded and verified on their whole sets.
+are chained; of chained groups all members that share a shingle of their own prefixes are candidates and
+verified on their whole sets.
 
 How it is spread: documents travel in packs. How many packs hold a shingle is counted for all of them, to
 the power of two, as ``passages`` does; shingles of a level are ordered by hash, and those that occur once
@@ -48,7 +49,7 @@ COLUMNS = 4096
 CLASS_WIDTH = math.log(100 / PERCENT) * 1.000001
 
 PROFILE = "pack string, place int, doc_id long, n_shingles long, kind long, prefix long, shared array<long>"
-SETS = "pack string, place int, cluster long, unit long, kind long, prefix long, side int, n int, shingles binary"
+SETS = "pack string, place int, cluster long, unit long, kind long, side int, n int, shingles binary"
 LINKS = "a long, b long"
 
 
@@ -143,7 +144,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for other in range(blocks):
                 low, high = min(block, other), max(block, other)
                 out.append((
-                    row["pack"], want["place"], want["cluster"], low * blocks + high, want["kind"], want["prefix"],
+                    row["pack"], want["place"], want["cluster"], low * blocks + high, want["kind"],
                     int(block == high), len(shingles), data,
                 ))
             if len(out) > 500:
@@ -153,8 +154,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = ["pack", "place", "cluster", "unit", "kind", "prefix", "side", "n", "shingles"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["pack", "place", "cluster", "unit", "kind", "side", "n", "shingles"]
     columns = list(zip(*rows)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -187,28 +188,37 @@ def _heads(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [np.sort(rank[code[a:b]])[: prefix_length(int(b - a))] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def linked_pairs(prefixes: np.ndarray, sides: np.ndarray, crossing: bool, sets: list[np.ndarray]) -> np.ndarray:
-    """Index pairs of the kinds that link; only pairs of both sides where the unit is of two blocks."""
-    groups, group = np.unique(prefixes, return_inverse=True)
-    first = np.zeros(len(groups), np.int64)
-    first[group[::-1]] = np.arange(len(group))[::-1]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    # Group pairs that share a prefix shingle, by an order of the unit's own: rare here before common here.
-    heads = _heads([sets[i] for i in first])
-    owner = np.repeat(np.arange(len(groups)), [len(h) for h in heads])
+def _sharing(heads: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of the heads have a code in common."""
+    n = len(heads)
+    owner = np.repeat(np.arange(n), [len(h) for h in heads])
     code = np.concatenate(heads)
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
     cuts = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
-    candidate = np.eye(len(groups), dtype=bool)
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        if b - a > 1:
-            candidate[np.ix_(owner[a:b], owner[a:b])] = True
+    first, times = cuts[:-1], np.diff(cuts)
+    out = np.zeros((n, n), bool)
+    for k in np.flatnonzero((times > 1) & (8 * times <= n)):
+        own = owner[first[k] : first[k] + times[k]]
+        out[np.ix_(own, own)] = True
+    # Codes that many hold, by a product.
+    wide = np.flatnonzero((times > 1) & (8 * times > n))
+    for k in range(0, len(wide), COLUMNS):
+        table = np.zeros((n, min(COLUMNS, len(wide) - k)), np.float32)
+        for column, w in enumerate(wide[k : k + COLUMNS]):
+            table[owner[first[w] : first[w] + times[w]], column] = 1
+        out |= table @ table.T > 0
+    return out
+
+
+def linked_pairs(sides: np.ndarray, crossing: bool, sets: list[np.ndarray]) -> np.ndarray:
+    """Index pairs of the kinds that link; only pairs of both sides where the unit is of two blocks."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    # Pairs that share a prefix shingle, by an order of the unit's own: rare here before common here. The
+    # members of a group differ in this order's prefixes, so each has its own.
+    pairs = np.triu(_sharing(_heads(sets)), 1)
     # ... and whose sizes allow a link.
-    size = sizes[first]
-    candidate &= 100 * np.minimum(size[:, None], size) >= PERCENT * np.maximum(size[:, None], size)
-    # Expanded to members.
-    pairs = np.triu(candidate[np.ix_(group, group)], 1)
+    pairs &= 100 * np.minimum(sizes[:, None], sizes) >= PERCENT * np.maximum(sizes[:, None], sizes)
     if crossing:
         pairs &= sides[:, None] != sides
     a, b = np.nonzero(pairs)
@@ -227,7 +237,7 @@ def _verify_unit(rows: list[dict]) -> list[tuple[int, int]]:
     sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
     sides = np.array([r["side"] for r in rows])
     # A unit of a block with itself has the numbers of one block twice, and side 1 throughout.
-    pairs = linked_pairs(np.array([r["prefix"] for r in rows]), sides, bool((sides == 0).any()), sets)
+    pairs = linked_pairs(sides, bool((sides == 0).any()), sets)
     parent = list(range(len(rows)))
     forest = []
 
@@ -295,7 +305,7 @@ def shingle_components(docs: DataFrame) -> DataFrame:
         clustered.join(sizes, "cluster").withColumn("blocks", F.expr(f"cast(ceil(members / {block_size}) as int)"))
         .select(
             F.col("home.pack").alias("pack"),
-            F.struct(F.col("home.place").alias("place"), "cluster", "kind", "prefix", "blocks",
+            F.struct(F.col("home.place").alias("place"), "cluster", "kind", "blocks",
                      F.expr("cast(pmod(xxhash64(kind), blocks) as int)").alias("block")).alias("want"),
         ).groupBy("pack").agg(F.collect_list("want").alias("wanted"))
     )

@@ -8,7 +8,8 @@ import pytest
 
 from notewright.llm import passages, shingle_join
 from notewright.llm.components import components
-from notewright.llm.shingle_join import overlaps, shingle_components
+from notewright.llm.shingle_join import _digest, overlaps, prefix_length, shingle_components, shingle_sets
+from notewright.llm.texts import Texts
 
 SCHEMA = "doc_id long, text string, kind long, pack string"
 
@@ -68,6 +69,29 @@ def test_matches_all_pairs(spark, monkeypatch, seed, pack, block):
     assert any(r[0] != r[2] for r in expected)
 
 
+@pytest.mark.parametrize("first", [0, 1])
+def test_members_of_one_group_link_on_their_own(spark, monkeypatch, first):
+    """A and A' are one group and link, A' and B link, A and B don't; whichever of A and A' is the first."""
+    for seed in range(20000):
+        rng = random.Random(seed)
+        a = [f"w{rng.randrange(10**6):06d}" for _ in range(103)]
+        fresh = [f"v{rng.randrange(10**6):06d}" for _ in range(16)]
+        near = a[:-8] + fresh[:8]
+        texts = [" ".join(t) for t in (a, near, fresh[8:] + near[8:])]
+        sets = shingle_sets(Texts.of([t.encode() for t in texts]))
+        heads = [set(s[: prefix_length(len(s))].tolist()) for s in sets]
+        kinds = [_digest(s, 1) for s in sets]
+        if heads[0] == heads[1] and heads[1] & heads[2] and kinds[first] < kinds[1 - first]:
+            break
+    assert heads[0] == heads[1] and heads[1] & heads[2] and kinds[first] < kinds[1 - first]
+    # Four packs of all three texts: every shingle has one level, and the prefixes are the smallest hashes.
+    monkeypatch.setattr(passages, "PACK_BYTES", sum(map(len, texts)))
+    rows = [(3 * k + i + 1, texts[i], 1, "") for k in range(4) for i in range(3)]
+    found = shingle_components(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sorted(map(tuple, found), key=repr) == plain(rows)
+    assert {r.component_id for r in found} == {1}
+
+
 def test_empty_table(spark):
     assert shingle_components(spark.createDataFrame([], SCHEMA)).collect() == []
 
