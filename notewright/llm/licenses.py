@@ -1,13 +1,21 @@
 """License scans: the license of every file, from its own words or from the nearest directory above.
 
-The header of a file is its lines that speak of a license; of a license file without such lines it is the
-whole text. Distinct headers become sparse TF-IDF vectors, whose document frequencies are counted over all of them and the
-templates, and are compared with the templates by cosine. A license file decides for its directory; a
-file without a license of its own takes that of the nearest directory above it that has one, by joins on
-paths. Built-in functions only.
+Texts are compared with templates by the cosine of sparse TF-IDF vectors. What is compared of a file:
 
-Texts are read once and reduced to headers before anything is shuffled. Vectors are made for distinct
-headers, so that a header in a third of all files is one row. Templates are a fixed list.
+* its header, the lines that speak of a license together, with one-line notices (``TEMPLATES``); document
+  frequencies are counted over the distinct headers and the notices;
+* every such line, every paragraph and every block of comment lines that holds one, with whole licenses
+  and the usual file headers (``license_forms``), and lines with the notices too; document frequencies
+  are those of these forms, and a term's frequency in a text counts by its logarithm;
+* the whole text of a license file, likewise.
+
+An SPDX tag names its license itself. The whole text of a license file decides where it matches; otherwise
+the best match does, then the first name. A license file decides for its directory; a file without a
+license of its own takes that of the nearest directory above it that has one, by joins on paths.
+Built-in functions only.
+
+Texts are read once and reduced to these parts before anything is shuffled. Vectors are made for distinct
+headers and parts, so that a header in a third of all files is one row. Templates are a fixed list.
 
 Cases: a null or empty text or path has no header; a header that resembles no template well enough is
 none; of several licenses in a directory the best match, then the first name, decides; files outside any
@@ -16,9 +24,12 @@ licensed directory get null; repeated rows give repeated rows; further columns a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_forms import forms
 from .shared import kept
 
 #: Names and typical notices of licenses.
@@ -35,6 +46,11 @@ TEMPLATES = {
 MARKERS = "(?i)licen[sc]e|copyright|spdx|redistribution|cc by"
 LICENSE_NAMES = "(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 THRESHOLD = 0.6
+SPDX = "(?i)spdx-license-identifier:[ \\t]*([A-Za-z0-9.+() \\t-]+)"
+COMMENT = "^[ \\t]*(#|//|/?\\*|--|;|%|<!--)"
+#: Between comment blocks, and lines without letters and digits.
+CUT = "\u0001"
+BLANK = f"\n[^\\p{{L}}\\p{{N}}{CUT}]*\n"
 
 
 def header(path: Column, text: Column) -> Column:
@@ -44,6 +60,28 @@ def header(path: Column, text: Column) -> Column:
     return F.trim(F.when(names_it & ~whole.rlike(MARKERS), whole).otherwise(lines))
 
 
+def parts(path: Column, text: Column) -> Column:
+    """What is compared of a file besides its header: (part, whole), whole for a license file's text."""
+    text = F.coalesce(text, F.lit(""))
+    lines = F.split(text, "\n")
+    blocks = F.split(F.array_join(F.transform(lines, lambda x: F.when(x.rlike(COMMENT), x).otherwise(CUT)), "\n"), CUT)
+    found = F.array_distinct(F.transform(F.flatten(F.array(lines, F.split(text, BLANK), blocks)), lambda x: F.trim(x)))
+    marked = F.transform(F.filter(found, lambda x: x.rlike(MARKERS)), lambda x: F.struct(x.alias("part"), F.lit(False).alias("whole")))
+    whole = F.array(F.struct(F.trim(text).alias("part"), F.lit(True).alias("whole")))
+    none = F.filter(whole, lambda x: F.lit(False))
+    names_it = F.coalesce(path, F.lit("")).rlike(LICENSE_NAMES) & (F.trim(text) != "")
+    return F.concat(F.when(text.rlike(MARKERS), marked).otherwise(none), F.when(names_it, whole).otherwise(none))
+
+
+def tagged_license(text: Column) -> Column:
+    """The first by name of the licenses in the text's SPDX tags, without the suffixes for later versions."""
+    tags = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPDX), F.lit(1))
+    # An exception follows the license it is granted to.
+    names = F.flatten(F.transform(tags, lambda x: F.split(F.regexp_replace(x, "(?i) with +[^ ()]+", " "), "[ \\t()]+")))
+    names = F.filter(names, lambda x: x.rlike("[A-Za-z]") & ~x.rlike("^(AND|OR|WITH|and|or|with)$"))
+    return F.array_min(F.transform(names, lambda x: F.regexp_replace(x, "(-only|-or-later|[+]|-)$", "")))
+
+
 def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -78,6 +116,30 @@ def header_licenses(headers: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return best.select(F.col("id").alias("header_id"), "best.license", (-F.col("best.minus")).alias("score"))
 
 
+def part_licenses(parts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``part_id``, ``license`` and ``score`` of the distinct parts (part_id, part) that match a form well enough."""
+    listed = [*forms(), *TEMPLATES.items()]
+    rows = [F.struct(F.lit(k).alias("form"), F.lit(name).alias("license"), F.lit(text).alias("text")) for k, (name, text) in enumerate(listed)]
+    model = parts.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    count = F.log(F.count("*")) + 1.0
+    model = kept(model.select("form", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("form", "license", "term").agg(count.alias("tf")))
+    idf = kept(model.groupBy("term").agg((F.log((1.0 + len(listed)) / (1.0 + F.count("*"))) + 1.0).alias("idf")))
+    # A term of no form has a place in a part's length only.
+    unknown = F.lit(math.log(1.0 + len(listed)) + 1.0)
+    known = _weighted(model.select(F.col("form").alias("id"), "term", "tf"), idf).toDF("form", "term", "known")
+    known = kept(known.join(model.select("form", "license").distinct(), "form"))
+    own = parts.select("part_id", F.explode(terms(F.col("part"))).alias("term")).groupBy("part_id", "term").agg(count.alias("tf"))
+    own = kept(own.join(F.broadcast(idf), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", unknown)))
+    norms = own.groupBy("part_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    dots = (
+        own.where("idf is not null").join(F.broadcast(known), "term").groupBy("part_id", "form", "license")
+        .agg(F.sum(F.col("weight") * F.col("known")).alias("dot"))
+    )
+    scores = dots.join(norms, "part_id").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
+    best = scores.groupBy("part_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
+    return best.select("part_id", "best.license", (-F.col("best.minus")).alias("score"))
+
+
 def ancestors(directory: Column) -> Column:
     """The directory and all above it, nearest first; the root is the empty string."""
     parts = F.filter(F.split(directory, "/"), lambda p: p != "")
@@ -90,15 +152,29 @@ def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``licensed_by`` is the directory a license is inherited from, null for an own one.
     """
     path = F.coalesce(F.col("path"), F.lit(""))
-    slim = files.select("file_id", "path", header(F.col("path"), F.col("text")).alias("header"))
+    slim = files.select(
+        "file_id", "path", header(F.col("path"), F.col("text")).alias("header"),
+        parts(F.col("path"), F.col("text")).alias("parts"), tagged_license(F.col("text")).alias("tag"),
+    )
     slim = kept(
         slim.withColumn("directory", F.regexp_replace(path, "/?[^/]*$", ""))
         .withColumn("header_id", F.when(F.col("header") != "", F.sha2("header", 256)))
-        .withColumn("names_it", path.rlike(LICENSE_NAMES))
+        .withColumn("part_ids", F.transform("parts", lambda x: F.struct(F.sha2(x["part"], 256).alias("part_id"), x["whole"].alias("whole"))))
+        .withColumn("names_it", path.rlike(LICENSE_NAMES)).withColumn("row", F.expr("uuid()"))
     )
     headers = slim.where("header_id is not null").select("header_id", "header").distinct()
     matched = kept(header_licenses(headers, threshold))
-    owned = kept(slim.drop("header").join(matched, "header_id", "left"))
+    single = slim.select(F.explode("parts.part").alias("part")).withColumn("part_id", F.sha2("part", 256)).distinct()
+    fitting = part_licenses(single, threshold)
+    # Of each file the whole text's match first, then the best, then the first name.
+    by_part = slim.select("row", F.inline("part_ids")).join(fitting, "part_id").select(
+        "row", F.when(F.col("whole"), 0).otherwise(1).alias("rank"), (-F.col("score")).alias("minus"), "license"
+    )
+    by_header = slim.join(matched, "header_id").select("row", F.lit(1).alias("rank"), (-F.col("score")).alias("minus"), "license")
+    by_tag = slim.where("tag is not null").select("row", F.lit(1).alias("rank"), F.lit(-1.0).alias("minus"), F.col("tag").alias("license"))
+    chosen = by_part.unionByName(by_header).unionByName(by_tag).groupBy("row").agg(F.min(F.struct("rank", "minus", "license")).alias("best"))
+    chosen = chosen.select("row", "best.license", (-F.col("best.minus")).alias("score"))
+    owned = kept(slim.drop("header", "header_id", "parts", "part_ids", "tag").join(chosen, "row", "left").drop("row"))
     best = F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best")
     decided = owned.where("names_it and license is not null").groupBy("directory").agg(best).select("directory", "best.license")
     above = (

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+from notewright.llm.license_forms import forms
 from notewright.llm.licenses import TEMPLATES, scan_licenses
 
 SCHEMA = "file_id long, path string, text string, license string, score int"
@@ -83,3 +84,66 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "LICENSE", "MIT License", "x", 1)], SCHEMA)
     plan = scan_licenses(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def forms_by_length():
+    """The longest form of each license last, so that a dict keeps it."""
+    return sorted(forms(), key=lambda form: len(form[1]))
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2031 Some Person
+
+""" + dict(forms_by_length())["MIT"]
+APACHE_HEADER = """/*
+ * Copyright 2031 Some Person
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+package a.b;
+"""
+GPL_HEADER = """# thing.py - does things
+# Copyright (C) 2031  Some Person
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {v} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+
+import os
+"""
+
+
+def test_real_license_files_and_headers(spark):
+    whole = dict(forms_by_length())
+    prose = "The thing and the other thing are of the same kind as it is in the house of the man and to the end. " * 40
+    cases = [
+        ("m/LICENSE", MIT_FILE, "MIT"), ("m/x.py", "code", "MIT"), ("s/a.c", APACHE_HEADER, "Apache-2.0"),
+        ("s/b.py", GPL_HEADER.format(v=3), "GPL-3.0"), ("s/c.py", GPL_HEADER.format(v=2), "GPL-2.0"),
+        ("s/d.js", "// SPDX-License-Identifier: MIT\n// Copyright 2031 Some Person\nlet x;", "MIT"),
+        ("s/e.js", "/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */\nlet x;", "GPL-2.0"),
+        ("s/f.js", "// SPDX-License-Identifier: (MIT OR Apache-2.0)\n", "Apache-2.0"),
+        ("s/g.py", "\n".join("# " + x for x in MIT_FILE.split("\n")) + "\nimport os\n", "MIT"),
+        ("s/h.txt", "Released under the MIT License.\n" + prose + "\nThis is about a license.", "MIT"),
+        ("p/NOTICE", prose, None), ("p/y.py", "code", None), ("p/q/COPYING", "A license of our own: do as the owner says.", None),
+        *((f"w{k}/COPYING", "Copyright (c) 2031 Some Person\n\n" + text, name) for k, (name, text) in enumerate(sorted(whole.items())) if "-BY-" not in name),
+    ]
+    rows = [(i, path, text, "x", 1) for i, (path, text, _) in enumerate(cases)]
+    found = {r.file_id: r.license for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(c[0], found[i]) for i, c in enumerate(cases)] == [(c[0], c[2]) for c in cases]
