@@ -2,7 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, blanks squeezed) and hashed. A line that more than
 ``min_docs`` distinct texts of a host hold, and more than ``max_share`` of that host's distinct texts,
-is boilerplate there and is removed. A document left with fewer than ``min_words`` words, or with less
+is boilerplate there and is removed: ``without_common_lines`` gives the texts without them, ``quality_rules``
+the numbers and verdicts. A document left with fewer than ``min_words`` words, or with less
 than ``min_left`` of its words, is depleted and rejected. Exact copies count once, so a large group of
 copies does not make its own lines boilerplate.
 
@@ -19,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .shared import kept
-from .texts import BLANKS, LOWER, Texts, covered, lines, mixed, pieces, span_sums, windows, words
+from .texts import BLANKS, LOWER, Spans, Texts, covered, lines, mixed, pieces, span_sums, windows, words
 
 #: Characters counted as symbols.
 SYMBOLS = np.zeros(256, bool)
@@ -59,6 +61,18 @@ def repeated_words(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return span_sums(covered(starts[twice], REPEAT_WINDOW, len(hashes)), firsts)
 
 
+def line_hashes(texts: Texts, found: Spans, all_lines: Spans) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line a hash of its normal form, and its words."""
+    lowered = words(Texts(LOWER[texts.data], texts.offsets)).hashes()
+    # A line's hash: the sum over its words, each mixed with its place in the line.
+    line_first = np.searchsorted(found.starts, all_lines.starts)
+    line_words = np.searchsorted(found.starts, all_lines.ends) - line_first
+    place = np.arange(len(found)) - np.repeat(line_first, line_words) if len(found) else np.zeros(0, np.int64)
+    terms = mixed(lowered + mixed(place.astype(np.uint64)))
+    sums = np.r_[np.uint64(0), np.cumsum(terms, dtype=np.uint64)]
+    return mixed(sums[line_first + line_words] - sums[line_first]), line_words
+
+
 def text_statistics(texts: Texts) -> dict[str, np.ndarray]:
     """The base statistics of each text, and its distinct normalised lines with their words."""
     found = words(texts)
@@ -73,14 +87,7 @@ def text_statistics(texts: Texts) -> dict[str, np.ndarray]:
     dup = np.zeros(len(all_lines), bool)
     dup[filled] = ~_first_seen(owners[filled], codes[filled])
     by_text = np.r_[0, np.cumsum(dup)]
-    lowered = words(Texts(LOWER[texts.data], texts.offsets)).hashes()
-    # A line's hash: the sum over its words, each mixed with its place in the line.
-    line_first = np.searchsorted(found.starts, all_lines.starts)
-    line_words = np.searchsorted(found.starts, all_lines.ends) - line_first
-    place = np.arange(len(found)) - np.repeat(line_first, line_words) if len(found) else np.zeros(0, np.int64)
-    terms = mixed(lowered + mixed(place.astype(np.uint64)))
-    sums = np.r_[np.uint64(0), np.cumsum(terms, dtype=np.uint64)]
-    line_hash = mixed(sums[line_first + line_words] - sums[line_first])
+    line_hash, line_words = line_hashes(texts, found, all_lines)
     return {
         "n_words": found.counts,
         "word_chars": texts.per_text(letters),
@@ -123,17 +130,16 @@ def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def quality_rules(
-    docs: DataFrame, min_docs: int = 10, max_share: float = 0.05, min_words: int = 20, min_left: float = 0.3
-) -> DataFrame:
-    """Statistics and verdict of every row: removed_lines, removed_words, depleted, base_failed, kept.
+def _host_and_hash() -> list[Column]:
+    return [
+        F.coalesce(F.concat(F.lit("h"), F.col("source")), F.lit("")).alias("host"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"),
+    ]
 
-    ``docs`` has doc_id, text and source, which is the host.
-    """
-    rows = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("h"), F.col("source")), F.lit("")).alias("host"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), "text",
-    )
+
+def _judged(docs: DataFrame, min_docs: int, max_share: float, min_words: int, min_left: float) -> tuple[DataFrame, DataFrame]:
+    """Statistics and verdict of every row, with host and text_hash; and of each host and text its common lines."""
+    rows = docs.select(F.col("doc_id").cast("long"), *_host_and_hash(), "text")
     stats = kept(rows.mapInArrow(_statistics, STATS))
     held = (
         stats.where("size(lines) > 0").select("host", "text_hash", F.explode("lines").alias("entry"))
@@ -144,18 +150,60 @@ def quality_rules(
         held.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
         .join(hosts, "host").where(F.col("n_docs") > max_share * F.col("n_texts")).select("host", "line")
     )
-    removed = kept(
-        held.join(common, ["host", "line"]).groupBy("host", "text_hash")
-        .agg(F.sum("times").alias("removed_lines"), F.sum("words").alias("removed_words"))
-    )
+    gone = held.join(common, ["host", "line"])
+    removed = kept(gone.groupBy("host", "text_hash").agg(F.sum("times").alias("removed_lines"), F.sum("words").alias("removed_words")))
     left = F.col("n_words") - F.col("removed_words")
     none = F.lit(0).cast("long")
-    return (
+    verdicts = (
         stats.drop("lines").join(removed, ["host", "text_hash"], "left")
         .withColumn("removed_lines", F.coalesce("removed_lines", none))
         .withColumn("removed_words", F.coalesce("removed_words", none))
         .withColumn("base_failed", base_failed())
         .withColumn("depleted", (left < min_words) | (left < min_left * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-        .drop("text_hash", "host")
     )
+    return verdicts, gone.select("host", "text_hash", "line")
+
+
+def quality_rules(
+    docs: DataFrame, min_docs: int = 10, max_share: float = 0.05, min_words: int = 20, min_left: float = 0.3
+) -> DataFrame:
+    """Statistics and verdict of every row: removed_lines, removed_words, depleted, base_failed, kept.
+
+    ``docs`` has doc_id, text and source, which is the host.
+    """
+    return _judged(docs, min_docs, max_share, min_words, min_left)[0].drop("text_hash", "host")
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines whose hashes are in ``gone``; other columns as they are."""
+    for batch in batches:
+        for part, texts in pieces(batch):
+            out = part.column("text").to_pylist()
+            gone = part.column("gone").to_pylist()
+            found, all_lines = words(texts), lines(texts)
+            hashes, counts = line_hashes(texts, found, all_lines)
+            for i in np.flatnonzero([bool(g) for g in gone]).tolist():
+                own = slice(all_lines.firsts[i], all_lines.firsts[i + 1])
+                left = (counts[own] == 0) | ~np.isin(hashes[own].view(np.int64), np.array(gone[i], np.int64))
+                out[i] = "\n".join(x for x, stays in zip(out[i].split("\n"), left.tolist()) if stays)
+            names = [n for n in part.schema.names if n != "gone"]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else part.column(n) for n in names], names)
+
+
+def without_common_lines(
+    docs: DataFrame, min_docs: int = 10, max_share: float = 0.05, min_words: int = 20, min_left: float = 0.3
+) -> DataFrame:
+    """The rows of ``docs`` with all their columns, texts without the common lines, and the row's verdict ``kept``.
+
+    Line feeds of removed lines go with them; blank lines stay. The texts are read again and joined to their own
+    common lines and verdicts by host and text.
+    """
+    verdicts, gone = _judged(docs, min_docs, max_share, min_words, min_left)
+    key = ["host", "text_hash"]
+    found = kept(
+        verdicts.select(*key, "kept").distinct()
+        .join(gone.groupBy(*key).agg(F.collect_set("line").alias("gone")), key, "left")
+    )
+    schema = StructType([*docs.schema.fields, StructField("kept", BooleanType())])
+    return docs.select("*", *_host_and_hash()).join(found, key).select(*docs.columns, "kept", "gone").mapInArrow(_without, schema)

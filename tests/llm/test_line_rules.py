@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from notewright.llm.line_rules import quality_rules
+from notewright.llm.line_rules import quality_rules, without_common_lines
 
 SCHEMA = "doc_id long, text string, source string, n_words int, line string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,3 +70,27 @@ def test_matches_plain_python(spark):
 
 def test_empty_table(spark):
     assert quality_rules(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_texts_without_common_lines(spark):
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choices(["Éa", "b", "c#", "d", "e", "<f>", "g"], k=n))
+    common, rows = text(9), []
+    for i in range(60):
+        body = [text(rng.randint(15, 30)), "", text(30)]
+        if i % 3:
+            body.insert(i % 4, common.upper() if i % 2 else common.replace(" ", " \t"))
+        rows.append((i, "\n".join(body), "ab"[i % 5 == 0], i, "x"))
+    rows += [(100, None, "a", 1, None), (101, "", None, 1, ""), (102, common + "\n" + common, "a", 1, "")]
+    # The same id with another text, no id, and the line where it is not common.
+    rows += [(1, "short", "a", 7, "y"), (None, rows[1][1], "a", 8, "z"), (103, common + "\n" + text(40) + "\n", "c", 1, "")]
+    texts = defaultdict(set)
+    for _, t, host, *_ in rows:
+        texts[host].add(t or "")
+    held = Counter((host, line) for host, ts in texts.items() for t in ts for line in normal_lines(t))
+    gone = {k for k, n in held.items() if n > 5 and n > 0.1 * len(texts[k[0]])}
+    left = lambda t, host: t and "\n".join(x for x in t.split("\n") if not any((host, k) in gone for k in normal_lines(x)))
+    found = without_common_lines(spark.createDataFrame(rows, SCHEMA).repartition(3), min_docs=5, max_share=0.1).collect()
+    assert sorted(((r[0], left(r[1], r[2]), *r[2:]) for r in rows), key=repr) == sorted((tuple(r)[:5] for r in found), key=repr)
+    assert {(r.doc_id, r.n_words): r.kept for r in found}[(1, 7)] is False and sum(r.kept for r in found) > 50
+    assert sum(r[1] != left(r[1], r[2]) for r in rows) > 30 and left(rows[-1][1], "c") == rows[-1][1]
