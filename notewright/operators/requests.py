@@ -52,11 +52,11 @@ def search_limit(days: Column) -> Column:
 
 
 def window_since(now: Column, days: Column) -> Column:
-    """``now`` less whole days of 24 hours; a day-time interval ignores daylight saving.
+    """``now``, with or without time zone, less whole days of 24 hours; a day-time interval ignores daylight saving.
 
     Further back than a date can lie the result is null, and no session is inside the window.
     """
-    reach = F.floor((F.unix_millis(now) - EARLIEST_MILLIS) / 86_400_000)
+    reach = F.floor((F.unix_millis(now.cast("timestamp")) - EARLIEST_MILLIS) / 86_400_000)
     return now - F.when(days <= reach, F.make_dt_interval(days.cast("int")))
 
 

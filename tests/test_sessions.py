@@ -67,6 +67,8 @@ def test_requests(column, spark):
     assert column([14, 7, 90, 365, 10000], lambda n: R.search_limit(F.col(n)), "int") == [8, 8, 56, 100, 100]
     since = spark.range(1).select(R.window_since(F.lit("2024-03-31 12:00:00").cast("timestamp"), F.lit(2)).cast("string"))
     assert since.first()[0] == "2024-03-29 12:00:00"
+    without_zone = R.window_since(F.lit("2024-03-31 12:00:00").cast("timestamp_ntz"), F.lit(2)).cast("string")
+    assert spark.range(1).select(without_zone).first()[0] == since.first()[0]
     far = R.window_since(F.lit("2024-03-31 12:00:00").cast("timestamp"), F.lit(99999999999))
     assert spark.range(1).select(far).first()[0] is None
     terms = R.project_terms(F.lit(" My App\u00a0"), F.array(F.lit(" "), F.lit("MA")))
