@@ -15,6 +15,7 @@ from .decontaminate import benchmark_hits
 from .fm_dedup import repeated_passages
 from .licenses import scan_licenses
 from .line_rules import quality_rules
+from .merkle import PROOFS_SQL, proofs, without_line_feeds
 from .rule_ensemble import quality_scores
 from .sharding import interleaved_shards
 from .shingle_join import shingle_components
@@ -114,6 +115,11 @@ def op9_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
     return rotated_dialogues(table(spark, folder, "conversations"))
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return proofs(table(spark, folder, "documents"), without_line_feeds(F.col("doc_id"), F.col("text")))
+
+
 ORACLES |= {
     "op2_quality_rules": oracle.QUALITY_RULES,
     "op5_suffix_dedup": oracle.SUFFIX_DEDUP,
@@ -121,4 +127,5 @@ ORACLES |= {
     "op8_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op9_chat_perspectives": ROTATED_SQL,
     "op10_shingle_join": oracle.SHINGLE_JOIN,
+    "op12_merkle_manifest": PROOFS_SQL,
 }
