@@ -12,6 +12,7 @@ from . import oracle
 from .bpe import decode, encode
 from .chat import ROTATED_SQL, rotated_dialogues
 from .decontaminate import benchmark_hits
+from .extraction import ARTICLES_SQL, main_text, own_labelled_pages
 from .fm_dedup import repeated_passages
 from .licenses import scan_licenses
 from .line_rules import quality_rules
@@ -120,6 +121,11 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return proofs(table(spark, folder, "documents"), without_line_feeds(F.col("doc_id"), F.col("text")))
 
 
+@query
+def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"), own_labelled_pages(spark))
+
+
 ORACLES |= {
     "op2_quality_rules": oracle.QUALITY_RULES,
     "op5_suffix_dedup": oracle.SUFFIX_DEDUP,
@@ -128,4 +134,5 @@ ORACLES |= {
     "op9_chat_perspectives": ROTATED_SQL,
     "op10_shingle_join": oracle.SHINGLE_JOIN,
     "op12_merkle_manifest": PROOFS_SQL,
+    "op13_html_extraction": ARTICLES_SQL,
 }
