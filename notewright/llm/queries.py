@@ -14,6 +14,7 @@ from .chat import ROTATED_SQL, rotated_dialogues
 from .decontaminate import benchmark_hits
 from .extraction import ARTICLES_SQL, main_text, own_labelled_pages
 from .fm_dedup import repeated_passages
+from .hard_negatives import NEGATIVES_SQL, hard_negatives
 from .licenses import scan_licenses
 from .line_rules import quality_rules
 from .merkle import PROOFS_SQL, proofs, without_line_feeds
@@ -116,6 +117,11 @@ def op9_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
     return rotated_dialogues(table(spark, folder, "conversations"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives(table(spark, folder, "embeddings"))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return proofs(table(spark, folder, "documents"), without_line_feeds(F.col("doc_id"), F.col("text")))
@@ -133,6 +139,7 @@ ORACLES |= {
     "op8_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op9_chat_perspectives": ROTATED_SQL,
     "op10_shingle_join": oracle.SHINGLE_JOIN,
+    "op11_hard_negatives": NEGATIVES_SQL,
     "op12_merkle_manifest": PROOFS_SQL,
     "op13_html_extraction": ARTICLES_SQL,
 }
