@@ -6,31 +6,45 @@ cosine for the search by meaning, all words present and newest first for the lit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.text import tokens
 from ..functions.values import SIMILARITY_THRESHOLD
 from ..session import durable
-
-QUERIES_PER_SET = 512
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
-
-
-def _dot(left: Column, right: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x
-    )
-
-
-def _measured(df: DataFrame, vector: str, keep: list[Column | str], name: str) -> DataFrame:
-    """``keep`` plus the vector in double precision and its length; null for a zero vector."""
-    wide = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(F.col(name), F.lit(0.0), lambda total, x: total + x * x))
-    return df.select(*keep, wide.alias(name)).withColumn(f"{name}_norm", F.nullif(norm, F.lit(0.0)))
+from .vectors import asked_of, scan
+
+#: Query vectors that go past the stored ones at a time, and stored ones that pivots are chosen from.
+QUERY_BYTES = 16 * 1024 * 1024
+SAMPLE = 512
+
+
+def _scans(
+    vectors: DataFrame, queries: DataFrame, keys: list[str], limit: Column, threshold: float
+) -> Iterator[tuple[DataFrame, int]]:
+    """Per set of queries what the tasks found, with rows that count pairs, and the number of sets."""
+    stored = vectors.select("summary_id", "embedding").where("embedding is not null")
+    asked = queries.select(*keys, limit.cast("bigint").alias("_limit"), "query_vector").where("query_vector is not null")
+    size = asked.agg(F.coalesce(F.sum(F.size("query_vector")), F.lit(0))).first()[0]
+    sets = max(1, ceil(size * 8 / QUERY_BYTES))
+    if sets > 1:
+        # Hashed by the vector as well, so that no key puts more than its share into one set.
+        asked = durable(asked.withColumn("_set", F.pmod(F.xxhash64(*keys, "query_vector"), F.lit(sets))))
+        stored = durable(stored)
+    sample = stored.orderBy(F.xxhash64("summary_id", "embedding")).limit(SAMPLE).toArrow()
+    fields = [queries.schema[k] for k in keys]
+    schema = StructType([
+        *fields, StructField("_limit", LongType()), StructField("summary_id", vectors.schema["summary_id"].dataType),
+        StructField("score", DoubleType()), StructField("pairs", LongType()), StructField("compared", LongType()),
+    ])
+    for k in range(sets):
+        table = (asked.where(F.col("_set") == k) if sets > 1 else asked).toArrow()
+        shared = vectors.sparkSession.sparkContext.broadcast(asked_of(table, keys, sample, threshold))
+        yield stored.mapInArrow(scan(shared), schema), sets
 
 
 def semantic_topk(
@@ -39,56 +53,37 @@ def semantic_topk(
     keys: list[str],
     limit: Column | int,
     threshold: float = SIMILARITY_THRESHOLD,
-    tie: str = "summary_id",
 ) -> DataFrame:
-    """``(keys, summary_id, score, hit_pos)``: per query the best ``limit`` vectors by cosine.
+    """``(keys, summary_id, score, hit_pos)``: per query the best ``limit`` vectors by cosine, exactly.
 
     ``vectors`` is ``(summary_id, embedding)``; ``queries`` is keys plus ``query_vector``. A limit
-    that is a column belongs to ``queries``. Query vectors are packed into sets of 512
-    on average; each vector scores a whole set in its own row and only scores at or above the
-    threshold leave it, so pairs are never materialised. The sets are broadcast while their counted
-    size allows it; beyond that they are replicated over salts and joined by shuffle.
+    that is a column belongs to ``queries``. Vectors stay where they were read and are never shuffled: sets of queries of at most
+    ``QUERY_BYTES`` on average go past them, by one broadcast a set, and what leaves a task is its best of every query. A set's result is kept before the next one
+    starts, so one broadcast lives at a time. Pivots, and first bounds of the queries, come from at most ``SAMPLE`` vectors;
+    they save comparisons and decide nothing. Equal scores go by summary_id. A vector that is null, zero, not finite or of another length
+    than the query's is no hit.
     """
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    size = queries.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.max(F.size("query_vector")), F.lit(0)).alias("dims"),
-        F.coalesce(F.max(limit), F.lit(0)).alias("limit"),
-    ).first()
-    ceiling = size["limit"]
-    set_count = max(1, ceil(size["n"] / QUERIES_PER_SET))
-    packed = (
-        _measured(queries, "query_vector", [*keys, limit.alias("_limit")], "asked")
-        .withColumn("_set", F.pmod(F.xxhash64(*keys), F.lit(set_count)))
-        .groupBy("_set")
-        .agg(F.collect_list(F.struct(*keys, "_limit", "asked", "asked_norm")).alias("queries"))
-    )
-    candidates = _measured(vectors, "embedding", ["summary_id"], "own")
-    every_set = F.sequence(F.lit(0).cast("bigint"), F.lit(set_count - 1).cast("bigint"))
-    if size["n"] * size["dims"] * 8 <= BROADCAST_BYTES:
-        joined = candidates.withColumn("_set", F.explode(every_set)).join(F.broadcast(packed), "_set")
-    else:
-        salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-        joined = (
-            candidates.withColumn("_salt", F.pmod(F.xxhash64("summary_id"), F.lit(SALTS)))
-            .withColumn("_set", F.explode(every_set))
-            .join(packed.withColumn("_salt", F.explode(salts)), ["_set", "_salt"])
-        )
-
-    def cosine(q: Column) -> Column:
-        return _dot(F.col("own"), q["asked"]) / (F.col("own_norm") * q["asked_norm"])
-
-    scored = F.transform(
-        "queries",
-        lambda q: F.struct(
-            *[q[k].alias(k) for k in keys], q["_limit"].alias("_limit"), cosine(q).alias("score")
-        ),
-    )
-    # The outer form: from the inner one Catalyst infers a filter that would score everything twice.
-    hits = joined.select(
-        "summary_id", F.inline_outer(F.filter(scored, lambda s: s["score"] >= threshold))
-    ).where("score is not null")
-    return _best(hits, keys, [F.col("score").desc(), F.col(tie)], ["summary_id", "score"], ceiling)
+    ceiling = queries.agg(F.coalesce(F.max(limit), F.lit(0))).first()[0]
+    found: DataFrame | None = None
+    for scanned, sets in _scans(vectors, queries, keys, limit, threshold):
+        order = [F.col("score").desc(), F.col("summary_id")]
+        best = _best(scanned.where("score is not null"), keys, order, ["summary_id", "score"], ceiling)
+        best = durable(best) if sets > 1 else best
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def pruned_share(
+    vectors: DataFrame, queries: DataFrame, keys: list[str], limit: Column | int, threshold: float = SIMILARITY_THRESHOLD
+) -> float:
+    """The share of all pairs of vector and query that ``semantic_topk`` does not compare."""
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    counts = [
+        scanned.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("compared"), F.lit(0))).first()
+        for scanned, _ in _scans(vectors, queries, keys, limit, threshold)
+    ]
+    return 1 - sum(c[1] for c in counts) / max(1, sum(c[0] for c in counts))
 
 
 def keyword_topk(

@@ -5,25 +5,60 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewright.operators import search as S
+from notewright.operators import vectors as V
 
 
-@pytest.mark.parametrize("budget, per_set", [(64 << 20, 512), (0, 3)])
-def test_vectors_match_brute_force(spark, monkeypatch, budget, per_set):
-    monkeypatch.setattr(S, "BROADCAST_BYTES", budget)
-    monkeypatch.setattr(S, "QUERIES_PER_SET", per_set)
-    rng = np.random.default_rng(7)
-    vectors = rng.normal(size=(80, 6))
-    asked = rng.normal(size=(7, 6))
-    limits = [1, 2, 3, 4, 5, 100, 100]
-    have = spark.createDataFrame([(f"s{i:02}", v.tolist()) for i, v in enumerate(vectors)] + [("zero", [0.0] * 6)], "summary_id string, embedding array<double>")
-    want = spark.createDataFrame([(f"q{i}", v.tolist(), limits[i]) for i, v in enumerate(asked)], "q string, query_vector array<double>, n int")
-    out = {(r.q, r.hit_pos): (r.summary_id, round(r.score, 9)) for r in S.semantic_topk(have, want, ["q"], F.col("n")).collect()}
+def cosines(vectors, asked, limits, threshold=0.35):
     wanted = {}
     for i, query in enumerate(asked):
         scores = vectors @ query / np.linalg.norm(vectors, axis=1) / np.linalg.norm(query)
-        best = sorted((-round(s, 9), f"s{j:02}") for j, s in enumerate(scores) if s >= 0.35)[: limits[i]]
+        best = sorted((-round(s, 9), f"s{j:03}") for j, s in enumerate(scores) if s >= threshold)[: limits[i]]
         wanted |= {(f"q{i}", k + 1): (name, -score) for k, (score, name) in enumerate(best)}
-    assert out == wanted
+    return wanted
+
+
+def searched(spark, vectors, asked, limits, odd=()):
+    have = spark.createDataFrame(
+        [(f"s{i:03}", v.tolist()) for i, v in enumerate(vectors)] + list(odd), "summary_id string, embedding array<double>"
+    ).repartition(5)
+    rows = [(f"q{i}", v.tolist(), limits[i]) for i, v in enumerate(asked)] + [("none", None, 3), ("short", [1.0], 3), ("zero", [0.0] * 6, 3)]
+    return have, spark.createDataFrame(rows, "q string, query_vector array<double>, n int")
+
+
+def found(have, want):
+    return {(r.q, r.hit_pos): (r.summary_id, round(r.score, 9)) for r in S.semantic_topk(have, want, ["q"], F.col("n")).collect()}
+
+
+@pytest.mark.parametrize("budget", [1 << 24, 100])
+def test_vectors_match_brute_force(spark, monkeypatch, budget):
+    monkeypatch.setattr(S, "QUERY_BYTES", budget)
+    rng = np.random.default_rng(7)
+    vectors, asked, limits = rng.normal(size=(80, 6)), rng.normal(size=(7, 6)), [1, 2, 3, 4, 5, 100, 100]
+    odd = [("zero", [0.0] * 6), ("null", None), ("nan", [float("nan")] * 6), ("inf", [float("inf")] * 6), ("long", [1.0] * 7), ("void", [])]
+    assert found(*searched(spark, vectors, asked, limits, odd)) == cosines(vectors, asked, limits)
+
+
+@pytest.mark.parametrize("budget", [1 << 24, 200])
+def test_near_vectors_are_found_without_most_comparisons(spark, monkeypatch, budget):
+    monkeypatch.setattr(S, "QUERY_BYTES", budget)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(V, "HELD", 20)
+    monkeypatch.setattr(S, "SAMPLE", 60)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(10, 6))
+    vectors = np.repeat(centres, 60, 0) + rng.normal(size=(600, 6)) / 20
+    vectors[100:160] = vectors[100]  # ties go by id
+    asked, limits = centres + rng.normal(size=(10, 6)) / 20, [3, 70, 8, 8, 8, 8, 8, 8, 1, 0]
+    have, want = searched(spark, vectors, asked, limits)
+    assert found(have, want) == cosines(vectors, asked, limits)
+    assert S.pruned_share(have, want, ["q"], F.col("n")) > 0.5
+
+
+def test_no_vectors_or_no_queries(spark):
+    have, want = searched(spark, np.zeros((0, 6)), np.ones((1, 6)), [3])
+    assert found(have, want) == {}
+    have, _ = searched(spark, np.ones((2, 6)), np.ones((1, 6)), [3])
+    assert found(have, want.limit(0)) == {}
 
 
 def test_words_match_brute_force(spark):
