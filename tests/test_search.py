@@ -61,18 +61,35 @@ def test_no_vectors_or_no_queries(spark):
     assert found(have, want.limit(0)) == {}
 
 
-def test_words_match_brute_force(spark):
+@pytest.mark.parametrize("lists, budget", [(4, 100), (1, 100), (2, 3)])
+def test_words_match_brute_force(spark, monkeypatch, lists, budget):
+    monkeypatch.setattr(S, "LISTS", lists)
+    monkeypatch.setattr(S, "SET_WORDS", budget)
+    monkeypatch.setattr(S, "BLOCK_SESSIONS", 7)
     rng = random.Random(3)
     words = ["the"] * 6 + [f"w{i}" for i in range(12)]
-    texts = [" ".join(rng.choices(words, k=6)) for _ in range(60)]
-    asked = ["the w1", "W2, w3!", "the", "absent the", "", "w4 w4"]
-    docs = spark.createDataFrame([(f"s{i:02}", t, f"2024-01-{i % 9 + 1:02}") for i, t in enumerate(texts)], "summary_id string, text string, created_at string")
-    want = spark.createDataFrame(list(enumerate(asked)), "q int, query_text string")
-    out = {(r.q, r.hit_pos): r.summary_id for r in S.keyword_topk(docs, want, ["q"], 5).collect()}
+    texts = [" ".join(rng.choices(words, k=6)) for _ in range(60)] + ["", None, "the w1 w2 w3 w4 w5 w6 w7"]
+    asked = ["the w1", "W2, w3!", "the", "absent the", "", "w4 w4", "w1 the", None, "w1 w2 w3 w4 w5 w6 w7", "the w2 w5"]
+    dates = [f"2024-01-{i % 9 + 1:02}" if i % 10 else None for i in range(len(texts))]
+    rows = [(f"s{i:02}", t, d) for i, (t, d) in enumerate(zip(texts, dates))]
+    docs = spark.createDataFrame(rows + rows[:20], "summary_id string, text string, created_at string")
+    limits = [5, 5, 40, 5, 5, 5, 2, 5, 5, 0]
+    want = spark.createDataFrame([(q, t, limits[q]) for q, t in enumerate(asked)], "q int, query_text string, n int")
+    out = {(r.q, r.hit_pos): r.summary_id for r in S.keyword_topk(docs, want, ["q"], F.col("n")).collect()}
     wanted = {}
     for q, text in enumerate(asked):
-        needed = set(text.lower().replace(",", " ").replace("!", " ").split())
-        found = [i for i, t in enumerate(texts) if needed and needed <= set(t.split())]
-        found.sort(key=lambda i: (-(i % 9), i))
-        wanted |= {(q, n + 1): f"s{i:02}" for n, i in enumerate(found[:5])}
+        needed = set((text or "").lower().replace(",", " ").replace("!", " ").split())
+        found = [i for i, t in enumerate(texts) if needed and needed <= set((t or "").split())]
+        found.sort(key=lambda i: f"s{i:02}")
+        found.sort(key=lambda i: dates[i] or "", reverse=True)
+        wanted |= {(q, n + 1): f"s{i:02}" for n, i in enumerate(found[: limits[q]])}
     assert out == wanted
+
+
+def test_no_row_per_session_word_and_query(spark):
+    """One word of all sessions and very many queries: posting lists meet sets, sessions come last and limited."""
+    docs = spark.range(2000).selectExpr("concat('s', id) as summary_id", "concat('common w', id % 50) as text", "cast(id as string) as created_at")
+    want = spark.range(300).selectExpr("id as q", "concat('common w', id % 60) as query_text")
+    out = S.keyword_topk(docs, want, ["q"], 3)
+    assert out.count() == 50 * 5 * 3
+    assert out.groupBy("q").count().where("count > 3").isEmpty()
