@@ -22,11 +22,11 @@ from .vectors import asked_of, scan
 #: Query vectors that go past the stored ones at a time, and stored ones that pivots are chosen from.
 QUERY_BYTES = 16 * 1024 * 1024
 SAMPLE = 512
-#: Sessions of one block of the inverted index, and words of a set that are met by their posting lists.
-BLOCK_SESSIONS = 8192
+#: Blocks of the inverted index for each shuffle partition, and words of a set that are met by their posting lists.
+BLOCKS = 2
 LISTS = 4
 #: Words that are looked up in a set of the plan.
-SET_WORDS = 16_384
+SET_WORDS = 2_048
 
 
 def _scans(
@@ -99,12 +99,12 @@ def _held(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     session's words are shuffled to them.
     """
     words = [r.word for r in wanted.limit(SET_WORDS + 1).collect()]
-    told = documents.select("summary_id", "created_at", F.array_distinct(tokens(F.col("text"))).alias("words"))
+    told = documents.select("summary_id", "created_at", tokens(F.col("text")).alias("words"))
     if len(words) <= SET_WORDS:
-        # Words are ASCII letters and digits.
-        known = ", ".join(f"'{w}'" for w in words) or "''"
-        return evaluated(told, "held", F.expr(f"filter(words, w -> w in ({known}))")).drop("words").where(F.size("held") > 0)
-    spoken = told.select("summary_id", "created_at", F.explode_outer("words").alias("word"))
+        # Words are ASCII letters and digits. One literal, as plans with thousands of them are slow to build.
+        known = F.split(F.lit(" ".join(words)), " ")
+        return evaluated(told, "held", F.array_intersect("words", known)).drop("words").where(F.size("held") > 0)
+    spoken = told.select("summary_id", "created_at", F.explode_outer(F.array_distinct("words")).alias("word"))
     return spoken.join(wanted, "word", "left_semi").groupBy("summary_id", "created_at").agg(F.collect_set("word").alias("held"))
 
 
@@ -115,11 +115,10 @@ def _postings(documents: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataF
     rising list of small numbers that starts with the newest: ``(block, word, numbers)``. The sessions
     are ``(block, number, summary_id, created_at, held)`` with the wanted words they hold. One exchange by block makes both.
     """
-    held = durable(_held(documents, wanted))
-    blocks = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(held.count() / BLOCK_SESSIONS))
+    blocks = BLOCKS * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     newest = Window.partitionBy("block").orderBy(F.col("created_at").desc(), "summary_id")
     sessions = durable(
-        held.withColumn("block", F.pmod(F.xxhash64("summary_id"), F.lit(blocks)).cast("int"))
+        _held(documents, wanted).withColumn("block", F.pmod(F.xxhash64("summary_id"), F.lit(blocks)).cast("int"))
         .withColumn("number", F.dense_rank().over(newest))
         .groupBy("block", "number", "summary_id", "created_at")
         .agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))

@@ -65,7 +65,6 @@ def test_no_vectors_or_no_queries(spark):
 def test_words_match_brute_force(spark, monkeypatch, lists, budget):
     monkeypatch.setattr(S, "LISTS", lists)
     monkeypatch.setattr(S, "SET_WORDS", budget)
-    monkeypatch.setattr(S, "BLOCK_SESSIONS", 7)
     rng = random.Random(3)
     words = ["the"] * 6 + [f"w{i}" for i in range(12)]
     texts = [" ".join(rng.choices(words, k=6)) for _ in range(60)] + ["", None, "the w1 w2 w3 w4 w5 w6 w7"]
