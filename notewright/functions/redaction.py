@@ -10,8 +10,10 @@ from .values import LINK_SCHEME, PLACEHOLDERS
 
 REDACTED = "[redacted]"
 
-#: Stands for a dot before another dot while hosts are looked for; the second where a text holds the first.
-HIDDEN, HIDDEN_TOO = "\uffff", "\ufffe"
+#: Stands for a dot before another dot while hosts are looked for. What a text itself holds of it, and of the
+#: character that opens an escape, is escaped meanwhile, so every text comes back as it was.
+HIDDEN, ESCAPE = "\uffff", "\ufffe"
+ESCAPED_HIDDEN, ESCAPED_ESCAPE = ESCAPE + "\ufffd", ESCAPE + "\ufffc"
 
 
 Rule = tuple[list[str], str, str]
@@ -98,13 +100,12 @@ def _replaced(pattern: str, replacement: str) -> str:
     if HIDDEN not in pattern:
         return f"regexp_replace(x, {_raw(pattern)}, '{replacement}')"
 
-    def hiding(mark: str) -> str:
-        hidden = f"regexp_replace(x, r'\\.(?=\\.)', '{mark}')"
-        return f"replace(regexp_replace({hidden}, {_raw(pattern.replace(HIDDEN, mark))}, '{replacement}'), '{mark}', '.')"
-
-    plain = f"regexp_replace(x, {_raw(pattern)}, '{replacement}')"
-    two = f"CASE WHEN contains(x, '{HIDDEN}') THEN {hiding(HIDDEN_TOO)} ELSE {hiding(HIDDEN)} END"
-    return f"CASE WHEN contains(x, '..') THEN {two} ELSE {plain} END"
+    escaped = f"replace(replace(x, '{ESCAPE}', '{ESCAPED_ESCAPE}'), '{HIDDEN}', '{ESCAPED_HIDDEN}')"
+    hidden = f"regexp_replace({escaped}, r'\\.(?=\\.)', '{HIDDEN}')"
+    found = f"replace(regexp_replace({hidden}, {_raw(pattern)}, '{replacement}'), '{HIDDEN}', '.')"
+    back = f"replace(replace({found}, '{ESCAPED_HIDDEN}', '{HIDDEN}'), '{ESCAPED_ESCAPE}', '{ESCAPE}')"
+    plain = f"regexp_replace(x, {_raw(pattern.replace(HIDDEN, ''))}, '{replacement}')"
+    return f"CASE WHEN contains(x, '..') THEN {back} ELSE {plain} END"
 
 
 def _apply(text: str, rules: list[Rule]) -> str:

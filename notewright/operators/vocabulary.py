@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SEPARATORS, fold_text, phrase, split_words, token_runs, tokens, trimmed
+from ..functions.text import SEPARATORS, evaluated, fold_text, phrase, split_words, tokens, trimmed
 from ..functions.values import GENERIC_TERMS, LINK_SCHEME, MINIMUM_TERM_LENGTH
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Bits of the filter over first words: eight a term, within these.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 18
 
 
 def _telling(term: Column) -> Column:
@@ -67,77 +69,69 @@ def mentions_person(text: Column, scheme: str = LINK_SCHEME) -> Column:
     return F.contains(F.lower(text), F.lit(f"{scheme.lower()}://persons/"))
 
 
+def _first_words(keys: DataFrame, bits: int) -> Column:
+    """A Bloom filter over the first words of terms and their projects, one literal of ``bits`` bits."""
+    place = F.pmod(F.xxhash64("project_id", "first"), F.lit(bits))
+    words = {
+        r.word: r.bits
+        for r in keys.groupBy(F.shiftright(place, 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(project_id, first), 64) as int))")).alias("bits")).collect()
+    }
+    return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(bits // 64))), ",").cast("array<bigint>")
+
+
+def _runs_at_first_words(words: Column, known: Column, bits: int, lengths: list[int]) -> Column:
+    """The word runs, of the lengths that terms have, that start with a word some term of the project starts with."""
+
+    def may_start(word: Column) -> Column:
+        # ``bits`` is a power of two above 64, so both remainders come from one hash.
+        place = F.xxhash64("project_id", word)
+        held = F.get(known, F.shiftright(F.pmod(place, F.lit(bits)), 6).cast("int"))
+        return F.getbit(held, F.pmod(place, F.lit(64)).cast("int")) == 1
+
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1))
+    starts = F.filter(places, lambda i: may_start(F.get(words, i)))
+    runs = [
+        F.transform(F.filter(starts, lambda i: i + n <= F.size(words)), lambda i: phrase(F.slice(words, i + F.lit(1), n)))
+        for n in lengths
+    ]
+    return F.array_distinct(F.concat(*runs, F.array().cast("array<string>")))
+
+
 def anchored(
     df: DataFrame, keys: DataFrame, ids: list[str], text: str, scheme: str = LINK_SCHEME
 ) -> DataFrame:
     """Rows whose text holds a term of its project's vocabulary and names no person.
 
     ``keys`` are the vocabulary's anchor keys, best checkpointed: they are measured first. ``ids``
-    name a row within its project. While the keys are small enough to broadcast, each word of a text
-    is looked up as the first word of a term, inside the task that read it. Beyond that size the
-    words and word runs are shuffled to the keys.
+    name a row within its project.
+
+    Words are looked at in the row, where a Bloom filter over the terms' first words rules out most of them and with them
+    most rows. What is left are short runs of words; they meet the terms in an equi join, by broadcast while the counted size of the
+    keys allows it. A row's other columns ride on its first run alone, runs of one row are put together
+    before the one exchange that follows, and the input is read once.
     """
     size = keys.agg(
         F.coalesce(F.sum(F.octet_length("run") * 2 + F.octet_length("project_id")), F.lit(0)).alias("bytes"),
+        F.count("*").alias("n"),
         F.sort_array(F.collect_set("words")).alias("lengths"),
     ).first()
-    open_to_all = df.where(~mentions_person(F.col(text), scheme))
-    if size["bytes"] <= BROADCAST_BYTES:
-        return _anchored_in_place(open_to_all, keys, ids, text)
-    return _anchored_by_shuffle(open_to_all, keys, ids, text, size["lengths"])
-
-
-def _anchored_in_place(df: DataFrame, keys: DataFrame, ids: list[str], text: str) -> DataFrame:
-    spoken = df.select("*", tokens(F.col(text)).alias("_words")).select(
-        *df.columns,
-        F.concat(F.lit(" "), phrase(F.col("_words")), F.lit(" ")).alias("_padded"),
-        F.explode_outer(F.array_distinct("_words")).alias("_word"),
-    )
-    known = F.broadcast(
-        keys.select(
-            F.col("project_id").alias("_project"),
-            "first",
-            F.concat(F.lit(" "), "run", F.lit(" ")).alias("_run"),
-        )
-    )
-    holds = (
-        (F.col("project_id") == F.col("_project"))
-        & (F.col("_word") == F.col("first"))
-        & F.contains("_padded", "_run")
-    )
-    return (
-        spoken.join(known, holds, "left_semi")
-        .select(*df.columns)
-        .dropDuplicates(["project_id", *ids])
-    )
-
-
-def _anchored_by_shuffle(
-    df: DataFrame, keys: DataFrame, ids: list[str], text: str, lengths: list[int]
-) -> DataFrame:
-    """An equi join of word runs on ``(project_id, run)``, made for the lengths some term has.
-
-    A row's other columns ride on its first run alone, so the shuffle carries short rows and the
-    input is read once.
-    """
-    words = F.col("_words")
-    runs = F.array_distinct(
-        F.concat(
-            *[words if n == 1 else token_runs(words, F.lit(n)) for n in lengths],
-            F.array().cast("array<string>"),
-        )
-    )
+    bits = min(max(1 << (8 * size["n"]).bit_length(), LEAST_BITS), MOST_BITS)
     rest = [c for c in df.columns if c not in ("project_id", *ids)]
-    made = (
-        df.select("project_id", *ids, F.struct(*rest).alias("_row"), tokens(F.col(text)).alias("_words"))
-        .select("project_id", *ids, "_row", F.posexplode_outer(runs).alias("_pos", "run"))
-        .select("project_id", *ids, "run", F.when(F.col("_pos") == 0, F.col("_row")).alias("_row"))
+    spoken = evaluated(
+        df.where(~mentions_person(F.col(text), scheme)).select("project_id", *ids, F.struct(*rest).alias("_row")),
+        "_words", tokens(F.col(f"_row.{text}")),
+    )
+    runs = _runs_at_first_words(F.col("_words"), _first_words(keys, bits), bits, size["lengths"])
+    made = spoken.select("project_id", *ids, "_row", F.posexplode(runs).alias("_pos", "run")).select(
+        "project_id", *ids, "run", F.when(F.col("_pos") == 0, F.col("_row")).alias("_row")
     )
     known = keys.select("project_id", "run", F.lit(True).alias("_hit"))
+    known = F.broadcast(known) if size["bytes"] <= BROADCAST_BYTES else known
     return (
         made.join(known, ["project_id", "run"], "left")
         .groupBy("project_id", *ids)
-        .agg(F.max("_row").alias("_row"), F.max("_hit").alias("_hit"))
+        .agg(F.any_value("_row", F.lit(True)).alias("_row"), F.bool_or("_hit").alias("_hit"))
         .where("_hit")
         .select("project_id", *ids, "_row.*")
     )

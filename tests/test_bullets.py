@@ -30,6 +30,25 @@ def test_anchors_by_broadcast_and_by_shuffle(spark, keys, monkeypatch, limit):
     assert {tuple(r) for r in out} <= {("p", i, text) for i, (text, _) in enumerate(BULLETS)}
 
 
+def test_anchoring_takes_one_exchange_and_a_filter_of_any_size(spark, monkeypatch):
+    terms = [("p" if k % 2 else "q", f"w{k}" if k % 3 else f"w{k} x{k} y") for k in range(300)]
+    keys = V.anchor_keys(spark.createDataFrame(terms, "project_id string, term string"))
+    texts = [("p" if i % 2 else "q", i, f"a w{i} x{i} y b" if i % 5 else f"w{i} x{i}", [i]) for i in range(320)]
+    df = spark.createDataFrame(texts, "project_id string, i int, text string, more array<int>")
+
+    def held(p, text):
+        return any(q == p and f" {term} " in f" {text} " for q, term in terms)
+
+    wanted = sorted(i for p, i, text, _ in texts if held(p, text))
+    for least, most in ((1 << 10, 1 << 18), (128, 128)):
+        monkeypatch.setattr(V, "LEAST_BITS", least)
+        monkeypatch.setattr(V, "MOST_BITS", most)
+        out = V.anchored(df, keys, ["i"], "text")
+        assert sorted(r.i for r in out.collect()) == wanted and all(r.more == [r.i] for r in out.collect())
+    plan = V.anchored(df, spark.createDataFrame(keys.collect(), keys.schema), ["i"], "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_vocabulary_terms(spark):
     terms = spark.createDataFrame([("p", ["agents", "my app", " "])], "project_id string, terms array<string>")
     names = spark.createDataFrame([("p", "src"), ("p", "Widget-Store"), ("p", "ab"), ("p", "x-yz-caf\u00e9!")], "project_id string, name string")

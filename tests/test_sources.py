@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from notewright.functions import variants as V
@@ -121,6 +122,18 @@ def test_only_written_documents_change(spark, tmp_path):
     assert stored == {("a", "AGENTS.md"): "1", ("a", "CLAUDE.md"): "new", ("b/c d", "AGENTS.md"): "3\n"}
 
 
+@pytest.mark.parametrize("targets", [("CLAUDE.md", "2024-01-01"), ("1", "01")])
+def test_names_that_look_like_numbers_or_dates_come_back_as_written(spark, tmp_path, targets):
+    out = str(tmp_path / "out")
+    rows = [(p, t, "written", f"{p} in {t}") for p in ("007", "7", "1e3", "2024-02-30", "true") for t in targets]
+    N.write_notes(spark.createDataFrame(rows, "project_id string, target string, status string, content string"), out)
+    again = [("007", targets[1], "written", "new")]
+    N.write_notes(spark.createDataFrame(again, "project_id string, target string, status string, content string"), out)
+    wanted = {(p, t): c for p, t, _, c in rows} | {("007", targets[1]): "new"}
+    found = N.stored_notes(spark, out).collect()
+    assert {(r.project_id, r.target): r.content for r in found} == wanted and len(found) == len(wanted)
+
+
 def test_listing_of_plain_paths_and_uris(spark, tmp_path):
     root = tmp_path / "repos"
     for name in ("shop/src/a.py", "shop/repos/shop/b.py", "mill/c.py"):
