@@ -56,9 +56,9 @@ def _(t: Tables):
     return trace.session_listing(t.summaries())
 
 
-@query("project_vocabulary", Q.using(["vocabulary"], "SELECT project_id, term FROM vocabulary"))
+@query("project_vocabulary", Q.using(["vocabulary_terms"], "SELECT DISTINCT project_id, term FROM vocabulary_terms"))
 def _(t: Tables):
-    return t.vocabulary()
+    return t.whole_vocabulary()
 
 
 def _pool(t: Tables):

@@ -30,20 +30,20 @@ def _(t: Tables):
     return t.given("pages").select("page_id", T.phrase(T.tokens(F.col("html"))).alias("words"))
 
 
-_NAME = Q.choose("doc_id", ["w1 || '-' || w2", "'@' || w1 || '/' || w2 || '!'", "'  Api ' || w1", "'src'", "'to-do'", "upper(w3)"])
+_NAME = Q.choose("(doc_id + k)", ["w1 || '-' || w2", "'@' || w1 || '/' || w2 || '!'", "'  Api ' || w1", "'src'", "'to-do'", "upper(w3)"])
 
 
 @query(
     "term_parts",
     Q.using(
-        ["words"],
-        f"SELECT doc_id, forced, unnest(parts) AS part FROM (SELECT doc_id, true AS forced, {Q._parts(_NAME, True)} AS parts FROM words "
-        f"UNION ALL SELECT doc_id, false, {Q._parts(_NAME, False)} FROM words)",
+        ["phrases"],
+        f"SELECT doc_id, CAST(k AS INTEGER) AS k, forced, unnest(parts) AS part FROM (SELECT doc_id, k, true AS forced, {Q._parts(_NAME, True)} AS parts FROM phrases "
+        f"UNION ALL SELECT doc_id, k, false, {Q._parts(_NAME, False)} FROM phrases)",
     ),
 )
 def _(t: Tables):
     name = choose(
-        doc(),
+        doc() + F.col("k"),
         [
             F.concat("w1", F.lit("-"), "w2"),
             F.concat(F.lit("@"), "w1", F.lit("/"), "w2", F.lit("!")),
@@ -53,9 +53,9 @@ def _(t: Tables):
             F.upper("w3"),
         ],
     )
-    named = t.words().select("doc_id", name.alias("name"))
+    named = t.phrases().select("doc_id", "k", name.alias("name"))
     both = [
-        named.select("doc_id", F.lit(forced).alias("forced"), F.explode(term_parts(F.col("name"), forced)).alias("part"))
+        named.select("doc_id", "k", F.lit(forced).alias("forced"), F.explode(term_parts(F.col("name"), forced)).alias("part"))
         for forced in (True, False)
     ]
     return both[0].unionByName(both[1])

@@ -266,6 +266,48 @@ _ISO = [
 _START, _END = text(f"\n{MARKER_START}\n"), text(f"\n{MARKER_END}\n")
 _INTRO = text("# Handbook\n\nWritten by hand.\n")
 
+def _repository(rows: str, key: str, prefix: str = "") -> dict[str, tuple[str, list[str]]]:
+    """Listings, manifests and the terms they give, from rows of three words each."""
+    return {
+        f"{prefix}listing": (
+            "SELECT source AS project_id, "
+            + choose(
+                key,
+                [
+                    "w1 || '/' || w2 || '.ts/' || w3",
+                    "'node_modules/' || w1",
+                    "'src/' || w1 || '.' || w2 || '.TS'",
+                    "'.' || w1 || '/' || w2",
+                    "w1 || '/dist'",
+                    "w1 || '-' || w2 || '.md'",
+                ],
+            )
+            + " AS path FROM " + rows,
+            [rows],
+        ),
+        f"{prefix}repo_names": (
+            "SELECT DISTINCT project_id, regexp_replace(n, '(?i)\\.[a-z0-9]+$', '') AS name FROM ("
+            "SELECT project_id, string_split(path, '/')[1] AS n, string_split(path, '/')[1] AS root FROM " + prefix + "listing "
+            "UNION ALL SELECT project_id, string_split(path, '/')[2], string_split(path, '/')[1] FROM " + prefix + "listing) "
+            f"WHERE n IS NOT NULL AND n NOT IN {texts(IGNORED_NAMES)} AND NOT starts_with(n, '.') "
+            f"AND root NOT IN {texts(IGNORED_NAMES)} AND NOT starts_with(root, '.')",
+            [f"{prefix}listing"],
+        ),
+        f"{prefix}manifest_names": (
+            "SELECT DISTINCT source AS project_id, unnest("
+            + choose(key, ["[w1 || '-' || w2, '@' || w3 || '/' || w1]", "[w2 || '.js', 'index']", "[]", "[w3]"])
+            + ") AS name FROM " + rows,
+            [rows],
+        ),
+        f"{prefix}vocabulary_terms": (
+            f"SELECT project_id, unnest({_parts('term', True)}) AS term FROM terms UNION ALL "
+            f"SELECT project_id, unnest({_parts('name', False)}) FROM {prefix}repo_names UNION ALL "
+            f"SELECT project_id, unnest({_parts('name', False)}) FROM {prefix}manifest_names",
+            ["terms", f"{prefix}repo_names", f"{prefix}manifest_names"],
+        ),
+    }
+
+
 TABLES: dict[str, tuple[str, list[str]]] = {
     "bodies": (f"SELECT doc_id, source, replace(joined, chr(10), glue) AS text FROM ({_dressed(BULLETS)})", []),
     "bullets": (_lines(BULLETS), []),
@@ -276,6 +318,13 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         f"list_filter({tokens('text')}, lambda w: length(w) >= 5) AS w FROM documents)",
         [],
     ),
+    "phrases": (
+        "SELECT doc_id, source, k, "
+        + ", ".join(f"coalesce(w[3 * k + {i + 1}], 'none{i}') AS w{i + 1}" for i in range(3))
+        + " FROM (SELECT doc_id, source, w, unnest(range(0, greatest(1, CAST(ceil(len(w) / 3.0) AS BIGINT)))) AS k FROM "
+        f"(SELECT doc_id, source, list_filter({tokens('text')}, lambda w: length(w) >= 5) AS w FROM documents))",
+        [],
+    ),
     "projects": (
         "SELECT source AS project_id, first_doc, p_name AS project, "
         "[replace(p_name, ' ', '_'), ' ' || p_type, '  ', string_split(p_name, ' ')[1]] AS aliases, "
@@ -291,48 +340,14 @@ TABLES: dict[str, tuple[str, list[str]]] = {
         "FROM projects) WHERE term <> ''",
         ["projects"],
     ),
-    "listing": (
-        "SELECT source AS project_id, "
-        + choose(
-            "doc_id",
-            [
-                "w1 || '/' || w2 || '.ts/' || w3",
-                "'node_modules/' || w1",
-                "'src/' || w1 || '.' || w2 || '.TS'",
-                "'.' || w1 || '/' || w2",
-                "w1 || '/dist'",
-                "w1 || '-' || w2 || '.md'",
-            ],
-        )
-        + " AS path FROM words",
-        ["words"],
-    ),
-    "repo_names": (
-        "SELECT DISTINCT project_id, regexp_replace(n, '(?i)\\.[a-z0-9]+$', '') AS name FROM ("
-        "SELECT project_id, string_split(path, '/')[1] AS n, string_split(path, '/')[1] AS root FROM listing "
-        "UNION ALL SELECT project_id, string_split(path, '/')[2], string_split(path, '/')[1] FROM listing) "
-        f"WHERE n IS NOT NULL AND n NOT IN {texts(IGNORED_NAMES)} AND NOT starts_with(n, '.') "
-        f"AND root NOT IN {texts(IGNORED_NAMES)} AND NOT starts_with(root, '.')",
-        ["listing"],
-    ),
-    "manifest_names": (
-        "SELECT DISTINCT source AS project_id, unnest("
-        + choose("doc_id", ["[w1 || '-' || w2, '@' || w3 || '/' || w1]", "[w2 || '.js', 'index']", "[]", "[w3]"])
-        + ") AS name FROM words",
-        ["words"],
-    ),
-    "vocabulary_terms": (
-        f"SELECT project_id, unnest({_parts('term', True)}) AS term FROM terms UNION ALL "
-        f"SELECT project_id, unnest({_parts('name', False)}) FROM repo_names UNION ALL "
-        f"SELECT project_id, unnest({_parts('name', False)}) FROM manifest_names",
-        ["terms", "repo_names", "manifest_names"],
-    ),
+    **_repository("phrases", "(doc_id + k)"),
+    **_repository("words", "doc_id", "first_"),
     "vocabulary": (
         "SELECT DISTINCT project_id, term, CASE WHEN regexp_full_match(term, '[a-z0-9]+') "
         "OR length(list_filter(string_split_regex(term, '[^a-z0-9]+'), lambda w: w <> '')) > 1 "
         "THEN ' ' || array_to_string(list_filter(string_split_regex(term, '[^a-z0-9]+'), lambda w: w <> ''), ' ') || ' ' "
-        "END AS needle FROM vocabulary_terms",
-        ["vocabulary_terms"],
+        "END AS needle FROM first_vocabulary_terms",
+        ["first_vocabulary_terms"],
     ),
     "deny": (
         "SELECT source AS project_id, [' LICENSED ', upper(w1), ' ', w2 || ' '] AS denied "
@@ -565,18 +580,19 @@ TABLES["proposals"] = (
 )
 
 
-def using(names: list[str], select: str) -> str:
-    """``select`` with the named tables, and those they need, in front of it."""
+def using(names: list[str], select: str, instead: dict[str, tuple[str, list[str]]] | None = None) -> str:
+    """``select`` with the named tables, and those they need, in front of it; ``instead`` stands in for some."""
+    tables = TABLES | (instead or {})
     order: list[str] = []
 
     def visit(name: str) -> None:
         if name in order:
             return
-        for needed in TABLES[name][1]:
+        for needed in tables[name][1]:
             visit(needed)
         order.append(name)
 
     for name in names:
         visit(name)
-    ctes = ",\n".join(f"{name} AS MATERIALIZED ({TABLES[name][0]})" for name in order)
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({tables[name][0]})" for name in order)
     return f"WITH {ctes}\n{select}" if order else select

@@ -126,6 +126,20 @@ class Tables:
             )
         )
 
+    @shared
+    def phrases(self) -> DataFrame:
+        """``(doc_id, source, k, w1, w2, w3)``: all words of five letters or more of each text, three at a time."""
+        long = F.filter(tokens(F.col("text")), lambda w: F.length(w) >= 5)
+        last = F.greatest(F.ceil(F.size("w") / 3) - 1, F.lit(0)).cast("int")
+        three = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda k: F.struct(*[
+                F.coalesce(F.get("w", k * 3 + i), F.lit(f"none{i}")).alias(f"w{i + 1}") for i in range(3)
+            ]),
+        )
+        listed = self.documents().select("doc_id", "source", F.explode_outer(F.array(long)).alias("w"))
+        return listed.select("doc_id", "source", F.posexplode_outer(three).alias("k", "p")).select("doc_id", "source", "k", "p.*")
+
     # --- projects and what their repositories hold ------------------------------------------------
 
     @shared
@@ -156,11 +170,9 @@ class Tables:
             "project_id", project_terms(F.col("project"), F.col("aliases")).alias("terms")
         )
 
-    @shared
-    def listing(self) -> DataFrame:
-        """``(project_id, path)``: one listed file per document."""
+    def _listing(self, rows: DataFrame, key: Column) -> DataFrame:
         path = choose(
-            F.col("doc_id"),
+            key,
             [
                 F.concat("w1", F.lit("/"), "w2", F.lit(".ts/"), "w3"),
                 F.concat(F.lit("node_modules/"), "w1"),
@@ -170,13 +182,11 @@ class Tables:
                 F.concat("w1", F.lit("-"), "w2", F.lit(".md")),
             ],
         )
-        return self.words().select(F.col("source").alias("project_id"), path.alias("path"))
+        return rows.select(F.col("source").alias("project_id"), path.alias("path"))
 
-    @shared
-    def manifests(self) -> DataFrame:
-        """``(project_id, raw)``: one manifest per document; some are broken."""
+    def _manifests(self, rows: DataFrame, key: Column) -> DataFrame:
         raw = choose(
-            F.col("doc_id"),
+            key,
             [
                 F.concat(F.lit('\ufeff{"name":"'), "w1", F.lit("-"), "w2", F.lit('","dependencies":{"@'), "w3", F.lit("/"), "w1", F.lit('":"1"}}')),
                 F.concat(F.lit('{"name":5,"devDependencies":{"'), "w2", F.lit('.js":"1","index":"2"}}')),
@@ -184,13 +194,31 @@ class Tables:
                 F.concat(F.lit('{"name":"'), "w3", F.lit('","dependencies":["'), "w1", F.lit('"]}')),
             ],
         )
-        return self.words().select(F.col("source").alias("project_id"), raw.alias("raw"))
+        return rows.select(F.col("source").alias("project_id"), raw.alias("raw"))
+
+    @shared
+    def listing(self) -> DataFrame:
+        """``(project_id, path)``: a listed file for every three words of a document."""
+        return self._listing(self.phrases(), F.col("doc_id") + F.col("k"))
+
+    @shared
+    def manifests(self) -> DataFrame:
+        """``(project_id, raw)``: a manifest for every three words of a document; some are broken."""
+        return self._manifests(self.phrases(), F.col("doc_id") + F.col("k"))
 
     @shared
     def vocabulary(self) -> DataFrame:
-        return project_vocabulary(
-            self.terms(), repo_names(self.listing()), manifest_names(self.manifests())
-        )
+        """What runs anchor on: the terms that each document's first words give.
+
+        A vocabulary of all words would anchor every line, and the filter under test none.
+        """
+        names, manifests = self._listing(self.words(), doc()), self._manifests(self.words(), doc())
+        return project_vocabulary(self.terms(), repo_names(names), manifest_names(manifests))
+
+    @shared
+    def whole_vocabulary(self) -> DataFrame:
+        """The terms that all words of all documents give."""
+        return project_vocabulary(self.terms(), repo_names(self.listing()), manifest_names(self.manifests()))
 
     @shared
     def deny_rows(self) -> DataFrame:
