@@ -15,7 +15,9 @@ license of its own takes that of the nearest directory above it that has one, by
 Built-in functions only.
 
 Texts are read once and reduced to these parts before anything is shuffled. Vectors are made for distinct
-headers and parts, so that a header in a third of all files is one row. Templates are a fixed list.
+headers and parts, so that a header in a third of all files is one row; each is counted, weighted and compared in the task it was
+brought to, so texts are shuffled and terms are not. Templates are a fixed list. The weights of headers' terms are broadcast while
+their counted size allows it, and joined by shuffle beyond that.
 
 Cases: a null or empty text or path has no header; a header that resembles no template well enough is
 none; of several licenses in a directory the best match, then the first name, decides; files outside any
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license_forms import forms
@@ -46,6 +48,8 @@ TEMPLATES = {
 MARKERS = "(?i)licen[sc]e|copyright|spdx|redistribution|cc by"
 LICENSE_NAMES = "(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 THRESHOLD = 0.6
+#: Terms of headers that are broadcast with their weights; beyond it they are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 SPDX = "(?i)spdx-license-identifier:[ \\t]*([A-Za-z0-9.+() \\t-]+)"
 COMMENT = "^[ \\t]*(#|//|/?\\*|--|;|%|<!--)"
 #: Between comment blocks, and lines without letters and digits.
@@ -93,51 +97,68 @@ def _weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
     return weights.join(norms, "id").select("id", "term", (F.col("weight") / F.col("norm")).alias("weight"))
 
 
+def _model(spark: SparkSession, listed: list[tuple[str, str]], tf: Column) -> DataFrame:
+    """``id``, ``term``, ``tf`` of (license, text) pairs, the id being a pair's place."""
+    rows = [F.struct(F.lit(k).alias("id"), F.lit(text).alias("text")) for k, (_, text) in enumerate(listed)]
+    texts = spark.range(1).select(F.inline(F.array(*rows)))
+    return kept(texts.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(tf.alias("tf")))
+
+
+def _held(model: DataFrame, idf: DataFrame) -> DataFrame:
+    """``term``, ``held``: the forms that hold a term, with its weight in each."""
+    known = _weighted(model, idf).select("term", F.struct(F.col("id").alias("form"), F.col("weight").alias("known")).alias("one"))
+    return known.groupBy("term").agg(F.collect_list("one").alias("held"))
+
+
+def _matches(texts: DataFrame, tf: Column, weights: DataFrame, names: list[str], threshold: float, unknown: float = 0.0) -> DataFrame:
+    """``id``, ``license`` and ``score`` of the texts (id, text) that match a form well enough; ``weights`` is (term, idf, held).
+
+    ``texts`` is grouped by id, so that terms are counted, weighted and summed where a text lies: texts are shuffled, terms
+    are not.
+    """
+    counted = texts.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(tf.alias("tf"))
+    weighed = counted.join(weights, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    # The place -1 stands for the text itself: the square of its length.
+    length = F.array(F.struct(F.lit(-1).alias("form"), F.col("weight").alias("known")))
+    shares = F.concat(length, F.coalesce("held", F.filter(length, lambda x: F.lit(False))))
+    sums = weighed.select("id", "weight", F.inline(shares)).groupBy("id", "form").agg(F.sum(F.col("weight") * F.col("known")).alias("dot"))
+    whole = sums.groupBy("id").agg(
+        F.sqrt(F.max(F.when(F.col("form") < 0, F.col("dot")))).alias("norm"),
+        F.collect_list(F.when(F.col("form") >= 0, F.struct("form", "dot"))).alias("dots"),
+    )
+    licenses = F.array(*map(F.lit, names))
+    scored = F.transform("dots", lambda d: F.struct((-F.round(d["dot"] / F.col("norm"), 9)).alias("minus"), F.get(licenses, d["form"]).alias("license")))
+    # The best score, then the first name.
+    best = F.array_min(F.filter(scored, lambda x: x["minus"] <= -threshold))
+    found = whole.select("id", best.alias("best")).where("best is not null")
+    return found.select("id", "best.license", (-F.col("best.minus")).alias("score"))
+
+
 def header_licenses(headers: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``header_id``, ``license`` and ``score`` of the distinct headers (header_id, header) that match well enough."""
-    spark = headers.sparkSession
-    listed = [F.struct(F.lit(name).alias("license"), F.lit(notice).alias("notice")) for name, notice in TEMPLATES.items()]
-    templates = spark.range(1).select(F.inline(F.array(*listed)))
-    own = headers.select(F.col("header_id").alias("id"), F.explode(terms(F.col("header"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    model = templates.select(F.col("license").alias("id"), F.explode(terms(F.col("notice"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    own = kept(own)
-    total = headers.count() + len(TEMPLATES)
-    idf = (
-        own.select("term").unionByName(model.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """``id``, ``license`` and ``score`` of the distinct headers (id, text) that match well enough."""
+    listed = list(TEMPLATES.items())
+    model = _model(headers.sparkSession, listed, F.count("*"))
+    total = headers.count() + len(listed)
+    own = headers.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    idf = kept(
+        own.unionByName(model.select("term")).groupBy("term").agg(F.count("*").alias("df"))
         .select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     )
-    known = _weighted(model, idf).toDF("license", "term", "known")
-    scores = (
-        _weighted(own, idf).join(F.broadcast(known), "term").groupBy("id", "license")
-        .agg(F.sum(F.col("weight") * F.col("known")).alias("score")).where(F.col("score") >= threshold)
-    )
-    # The best score, then the first name.
-    best = scores.groupBy("id").agg(F.min(F.struct((-F.round("score", 9)).alias("minus"), "license")).alias("best"))
-    return best.select(F.col("id").alias("header_id"), "best.license", (-F.col("best.minus")).alias("score"))
+    weights = idf.join(F.broadcast(_held(model, idf)), "term", "left")
+    size = idf.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0))).first()[0]
+    weights = F.broadcast(weights) if size <= BROADCAST_BYTES else weights
+    return _matches(headers, F.count("*"), weights, [name for name, _ in listed], threshold)
 
 
 def part_licenses(parts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``part_id``, ``license`` and ``score`` of the distinct parts (part_id, part) that match a form well enough."""
+    """``id``, ``license`` and ``score`` of the distinct parts (id, text) that match a form well enough."""
     listed = [*forms(), *TEMPLATES.items()]
-    rows = [F.struct(F.lit(k).alias("form"), F.lit(name).alias("license"), F.lit(text).alias("text")) for k, (name, text) in enumerate(listed)]
-    model = parts.sparkSession.range(1).select(F.inline(F.array(*rows)))
     count = F.log(F.count("*")) + 1.0
-    model = kept(model.select("form", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("form", "license", "term").agg(count.alias("tf")))
+    model = _model(parts.sparkSession, listed, count)
     idf = kept(model.groupBy("term").agg((F.log((1.0 + len(listed)) / (1.0 + F.count("*"))) + 1.0).alias("idf")))
+    weights = F.broadcast(kept(idf.join(_held(model, idf), "term")))  # the forms' own terms, a fixed list
     # A term of no form has a place in a part's length only.
-    unknown = F.lit(math.log(1.0 + len(listed)) + 1.0)
-    known = _weighted(model.select(F.col("form").alias("id"), "term", "tf"), idf).toDF("form", "term", "known")
-    known = kept(known.join(model.select("form", "license").distinct(), "form"))
-    own = parts.select("part_id", F.explode(terms(F.col("part"))).alias("term")).groupBy("part_id", "term").agg(count.alias("tf"))
-    own = kept(own.join(F.broadcast(idf), "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", unknown)))
-    norms = own.groupBy("part_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = (
-        own.where("idf is not null").join(F.broadcast(known), "term").groupBy("part_id", "form", "license")
-        .agg(F.sum(F.col("weight") * F.col("known")).alias("dot"))
-    )
-    scores = dots.join(norms, "part_id").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
-    best = scores.groupBy("part_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
-    return best.select("part_id", "best.license", (-F.col("best.minus")).alias("score"))
+    return _matches(parts, count, weights, [name for name, _ in listed], threshold, math.log(1.0 + len(listed)) + 1.0)
 
 
 def ancestors(directory: Column) -> Column:
@@ -158,14 +179,14 @@ def scan_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     slim = kept(
         slim.withColumn("directory", F.regexp_replace(path, "/?[^/]*$", ""))
-        .withColumn("header_id", F.when(F.col("header") != "", F.sha2("header", 256)))
-        .withColumn("part_ids", F.transform("parts", lambda x: F.struct(F.sha2(x["part"], 256).alias("part_id"), x["whole"].alias("whole"))))
+        .withColumn("header_id", F.when(F.col("header") != "", F.unhex(F.sha2("header", 256))))
+        .withColumn("part_ids", F.transform("parts", lambda x: F.struct(F.unhex(F.sha2(x["part"], 256)).alias("part_id"), x["whole"].alias("whole"))))
         .withColumn("names_it", path.rlike(LICENSE_NAMES)).withColumn("row", F.expr("uuid()"))
     )
-    headers = slim.where("header_id is not null").select("header_id", "header").distinct()
-    matched = kept(header_licenses(headers, threshold))
-    single = slim.select(F.explode("parts.part").alias("part")).withColumn("part_id", F.sha2("part", 256)).distinct()
-    fitting = part_licenses(single, threshold)
+    headers = slim.where("header_id is not null").groupBy(F.col("header_id").alias("id")).agg(F.max("header").alias("text"))
+    matched = kept(header_licenses(headers, threshold)).withColumnRenamed("id", "header_id")
+    single = slim.select(F.explode("parts.part").alias("part")).groupBy(F.unhex(F.sha2("part", 256)).alias("id")).agg(F.max("part").alias("text"))
+    fitting = part_licenses(single, threshold).withColumnRenamed("id", "part_id")
     # Of each file the whole text's match first, then the best, then the first name.
     by_part = slim.select("row", F.inline("part_ids")).join(fitting, "part_id").select(
         "row", F.when(F.col("whole"), 0).otherwise(1).alias("rank"), (-F.col("score")).alias("minus"), "license"

@@ -4,6 +4,9 @@ import math
 import re
 from collections import Counter
 
+import pytest
+
+from notewright.llm import licenses
 from notewright.llm.license_forms import forms
 from notewright.llm.licenses import TEMPLATES, scan_licenses
 
@@ -58,7 +61,9 @@ def plain(rows, threshold=0.6):
     return sorted(out, key=repr)
 
 
-def test_matches_plain_python(spark):
+@pytest.mark.parametrize("limit", [licenses.BROADCAST_BYTES, 0])
+def test_matches_plain_python(spark, monkeypatch, limit):
+    monkeypatch.setattr(licenses, "BROADCAST_BYTES", limit)
     notices = list(TEMPLATES.values())
     rows = [
         (1, "a/LICENSE", notices[6], "x", 1), (2, "a/b/x.py", "code\nmore", "x", 1), (3, "a/b/c/y.py", "z\n" + notices[5] + "\nz", "x", 1),
