@@ -32,17 +32,43 @@ COMPARED = 1 << 16
 RESULT = "doc_id long, n_bytes long, spans array<struct<first: int, past: int>>, kept_sha256 string"
 
 
+def _width(largest: int) -> int:
+    return max(1, int(largest).bit_length())
+
+
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys, and the keys in it.
+
+    A key and its place share one number, as plain numbers are sorted many times faster than places by their keys.
+    """
+    low = np.uint64(_width(len(key)))
+    packed = (key << low) | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    return (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int32), packed >> low
+
+
+def _names(key: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rank of every key among the distinct ones, from 0, and how many there are."""
+    order, rising = _sorted(key)
+    rank = np.zeros(len(key), np.int32)
+    np.cumsum(rising[1:] != rising[:-1], dtype=np.int32, out=rank[1:])
+    out = np.empty(len(key), np.int32)
+    out[order] = rank
+    return out, int(rank[-1]) + 1
+
+
 def _keys(columns: list[np.ndarray]) -> np.ndarray:
-    """One number per row that orders rows as their columns do, first column first."""
+    """One number per row that orders rows as their columns do, first column first, with room for a place beside it."""
+    room = 64 - _width(len(columns[0]))
     key, bits = None, 0
     for column in columns:
-        own = max(1, int(column.max(initial=0)).bit_length())
+        own = _width(column.max(initial=0))
         if key is None:
             key, bits = column.astype(np.uint64), own
             continue
-        if bits + own > 64:
-            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-            bits = max(1, int(key.max(initial=0)).bit_length())
+        if bits + own > room:
+            names, distinct = _names(key)
+            key, bits = names.astype(np.uint64), _width(distinct)
         key, bits = (key << np.uint64(own)) | column.astype(np.uint64), bits + own
     return key
 
@@ -64,12 +90,9 @@ def _order(held: list[np.ndarray]) -> np.ndarray:
     # Sampled places, those of remainder 1 before those of remainder 2; one more place at the end keeps
     # the triples of the first part apart from the second's.
     sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)])
-    distinct, names = np.unique(_keys([t[sample], t[sample + 1], t[sample + 2]]), return_inverse=True)
-    repeats = len(distinct) < len(sample)
-    del distinct
-    rank_of = (names + 1).astype(np.int32)
-    del names
-    if repeats:
+    rank_of, distinct = _names(_keys([t[sample], t[sample + 1], t[sample + 2]]))
+    rank_of += 1
+    if distinct < len(sample):
         lower = [rank_of]
         del rank_of
         order = _order(lower)
@@ -84,7 +107,7 @@ def _order(held: list[np.ndarray]) -> np.ndarray:
     sampled = sampled[sampled < n]
     # The remaining suffixes, by first letter and the rank behind it.
     rest = np.arange(0, n, 3, dtype=np.int32)
-    rest = rest[np.argsort(_keys([t[rest], rank[rest + 1]]), kind="stable")]
+    rest = rest[_sorted(_keys([t[rest], rank[rest + 1]]))[0]]
     # Merge: how many sampled suffixes of either remainder each of them follows.
     behind = np.zeros(len(rest), np.int64)
     for own, columns in (
