@@ -100,7 +100,9 @@ def asked_of(table: pa.Table, keys: list[str], sample: pa.Table, threshold: floa
         at, queries = vectors[size]
         for first in range(0, len(at), QUERIES_AT_ONCE):
             part = at[first : first + QUERIES_AT_ONCE]
-            scores = -np.sort(-(unit(queries[first : first + QUERIES_AT_ONCE]) @ unit(rows).T), axis=1)
+            scores = unit(queries[first : first + QUERIES_AT_ONCE]) @ unit(rows).T
+            most = min(max(int(limits[part].max(initial=1)), 1), scores.shape[1])
+            scores = -np.sort(np.partition(-scores, most - 1, axis=1)[:, :most], axis=1)
             known = (limits[part] > 0) & (limits[part] <= scores.shape[1])
             last = scores[np.arange(len(part)), np.clip(limits[part] - 1, 0, scores.shape[1] - 1)] - SLACK
             bounds[part] = np.where(known, np.maximum(bounds[part], last), bounds[part])
@@ -109,36 +111,51 @@ def asked_of(table: pa.Table, keys: list[str], sample: pa.Table, threshold: floa
 
 @dataclass
 class Best:
-    """The best of every query so far, cut to its limit now and then."""
+    """The best of every query so far, cut to its limit now and then.
+
+    A cut takes as long as what is held, and what it leaves may be more than ``HELD`` by itself: the next one waits until as much
+    has come again, so that all cuts together cost no more than a few passes over the candidates.
+    """
 
     asked: Asked
     bounds: np.ndarray
     queries: list[np.ndarray] = field(default_factory=list)
     scores: list[np.ndarray] = field(default_factory=list)
-    ids: list[list] = field(default_factory=list)
+    places: list[np.ndarray] = field(default_factory=list)
+    names: list = field(default_factory=list)
+    fresh: int = 0
+    left: int = 0
+
+    def named(self, ids: list) -> int:
+        """Take in the ids of vectors; the place of the first one."""
+        self.names.extend(ids)
+        return len(self.names) - len(ids)
 
-    def add(self, queries: np.ndarray, scores: np.ndarray, ids: list) -> None:
+    def add(self, queries: np.ndarray, scores: np.ndarray, places: np.ndarray) -> None:
         self.queries.append(queries)
         self.scores.append(scores)
-        self.ids.append(ids)
-        if sum(map(len, self.queries)) > HELD:
-            self.cut()
+        self.places.append(places)
+        self.fresh += len(queries)
+
+    def full(self) -> bool:
+        return self.fresh > max(HELD, self.left)
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, list]:
         queries = np.concatenate([np.zeros(0, np.int64), *self.queries])
         scores = np.concatenate([np.zeros(0), *self.scores])
-        ids = [i for part in self.ids for i in part]
+        known, at = np.unique(np.concatenate([np.zeros(0, np.int64), *self.places]), return_inverse=True)
+        ids = [self.names[k] for k in known.tolist()]
         place = {i: k for k, i in enumerate(sorted(set(ids), key=lambda i: (i is not None, i)))}
-        order = np.lexsort((np.array([place[i] for i in ids], np.int64), -scores, queries))
+        order = np.lexsort((np.array([place[i] for i in ids], np.int64)[at], -scores, queries))
         first = np.searchsorted(queries[order], queries[order])
         rank = np.arange(len(order)) - first
         limit = self.asked.limits[queries[order]]
         kept = order[rank < limit]
         last = order[rank == limit - 1]
         self.bounds[queries[last]] = np.maximum(self.bounds[queries[last]], scores[last] - SLACK)
-        out = queries[kept], scores[kept], [ids[k] for k in kept.tolist()]
-        self.queries, self.scores, self.ids = [out[0]], [out[1]], [out[2]]
-        return out
+        self.queries, self.scores, self.places, self.names = [queries[kept]], [scores[kept]], [at[kept]], ids
+        self.fresh, self.left = 0, len(kept)
+        return queries[kept], scores[kept], [ids[k] for k in at[kept].tolist()]
 
 
 def compare(best: Best, ids: list, rows: np.ndarray) -> tuple[int, int]:
@@ -149,7 +166,9 @@ def compare(best: Best, ids: list, rows: np.ndarray) -> tuple[int, int]:
     at, queries = asked.vectors[size]
     norms, query_norms = lengths(rows), lengths(queries)
     units, query_units = rows / norms[:, None], queries / query_norms[:, None]
-    order, gaps = np.arange(len(rows)), None
+    # Single precision is enough to pick candidates: the slack is above all that rounding can lose in a product of unit vectors.
+    light, query_light, slack = units.astype(np.float32), query_units.astype(np.float32), SLACK + (size + 4) * 2.0**-23
+    order, gaps, named = np.arange(len(rows)), None, None
     if size in asked.pivots:
         away, query_away = angles(units, asked.pivots[size]), angles(query_units, asked.pivots[size])
         near = away.argmin(1)
@@ -165,7 +184,8 @@ def compare(best: Best, ids: list, rows: np.ndarray) -> tuple[int, int]:
             open_ = np.cos(np.minimum(gap, np.pi)) + 1e-6 >= best.bounds[at]
         for some in np.array_split(np.flatnonzero(open_), max(1, -(-int(open_.sum()) // QUERIES_AT_ONCE))):
             compared += len(some) * len(block)
-            x, q = np.nonzero(units[block] @ query_units[some].T >= best.bounds[at[some]] - SLACK)
+            reached = light[block] @ query_light[some].T >= (best.bounds[at[some]] - slack).astype(np.float32)
+            x, q = np.divmod(np.flatnonzero(reached), max(1, len(some)))
             if not len(x):
                 continue
             x, q = block[x], some[q]
@@ -174,7 +194,12 @@ def compare(best: Best, ids: list, rows: np.ndarray) -> tuple[int, int]:
                 for k in range(0, len(x), HELD)
             ])
             enough = scores >= asked.threshold
-            best.add(at[q[enough]], scores[enough], [ids[k] for k in x[enough].tolist()])
+            named = best.named(ids) if named is None else named
+            best.add(at[q[enough]], scores[enough], named + x[enough])
+            if best.full():
+                # Only ids of what is kept stay with it.
+                best.cut()
+                named = None
     return len(rows) * len(at), compared
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,28 @@ def test_near_vectors_are_found_without_most_comparisons(spark, monkeypatch, bud
     assert S.pruned_share(have, want, ["q"], F.col("n")) > 0.5
 
 
+@pytest.mark.parametrize("names", [int, lambda k: f"s{k:03}"])
+def test_candidates_are_cut_only_when_as_many_have_come_again(monkeypatch, names):
+    """What all queries keep is more than is held before a cut; each cut must still wait for new candidates."""
+    monkeypatch.setattr(V, "HELD", 50)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 8)
+    cuts, cut = [], V.Best.cut
+    monkeypatch.setattr(V.Best, "cut", lambda self: cuts.append(sum(map(len, self.queries))) or cut(self))
+    rng = np.random.default_rng(9)
+    rows, asked = rng.normal(size=(800, 6)), rng.normal(size=(40, 6))
+    rows[200:260] = rows[200]
+    table = pa.table({"q": range(40), "_limit": [8] * 40, "query_vector": asked.tolist()})
+    stored = pa.table({"summary_id": [names(k) for k in range(800)], "embedding": rows.tolist()})
+    own = V.asked_of(table, ["q"], stored.slice(0, 10), 0.1)
+    run = V.scan(type("Shared", (), {"value": own}))
+    out = pa.Table.from_batches(run(iter(stored.to_batches(max_chunksize=100)))).to_pylist()
+    assert len(cuts) < 20 and max(cuts) < 3 * 40 * 8
+    scores = rows @ asked.T / np.linalg.norm(rows, axis=1)[:, None] / np.linalg.norm(asked, axis=1)
+    for q in range(40):
+        best = sorted((-round(s, 9), names(k)) for k, s in enumerate(scores[:, q]) if s >= 0.1)[:8]
+        assert sorted((-round(r["score"], 9), r["summary_id"]) for r in out if r["q"] == q and r["score"] is not None) == best
+
+
 def test_no_vectors_or_no_queries(spark):
     have, want = searched(spark, np.zeros((0, 6)), np.ones((1, 6)), [3])
     assert found(have, want) == {}
