@@ -49,6 +49,33 @@ def test_anchoring_takes_one_exchange_and_a_filter_of_any_size(spark, monkeypatc
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_words_without_a_hit_do_not_reach_the_sort(spark, monkeypatch, limit):
+    """Of a line whose every word passes the filter one row and its hits are sorted, however long it is."""
+    monkeypatch.setattr(V, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(V, "LEAST_BITS", 128)
+    monkeypatch.setattr(V, "MOST_BITS", 128)
+    terms = [("p", f"t{k}") for k in range(1000)] + [("p", "u1 u2"), ("p", "u2 u3 u4")]
+    keys = V.anchor_keys(spark.createDataFrame(terms, "project_id string, term string"))
+    filler = " ".join(f"u{j}x" for j in range(100))
+    texts = [("p", i, f"{filler} t{i} u2 u3 u4" if i % 2 else f"{filler} u1 u3") for i in range(20)]
+    # The same id again, and one without any word.
+    df = spark.createDataFrame(texts + texts[:4] + [("p", 90, "--"), ("p", 91, None), (None, 92, "t1")], "project_id string, i int, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = V.anchored(df, keys, ["i"], "text")
+        assert sorted((r.i, r.text) for r in out.collect()) == [(i, text) for _, i, text in texts if i % 2]
+        node = out._jdf.queryExecution().executedPlan()
+        while node.nodeName() != "SortAggregate" or "partial" not in node.toString().split("\n")[0]:
+            node = node.children().apply(0)
+        node = node.children().apply(0)
+        while node.metrics().get("numOutputRows").isEmpty():
+            node = node.children().apply(0)
+        assert node.metrics().apply("numOutputRows").value() <= 25 + 2 * 12
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_vocabulary_terms(spark):
     terms = spark.createDataFrame([("p", ["agents", "my app", " "])], "project_id string, terms array<string>")
     names = spark.createDataFrame([("p", "src"), ("p", "Widget-Store"), ("p", "ab"), ("p", "x-yz-caf\u00e9!")], "project_id string, name string")
