@@ -1,5 +1,7 @@
 import unicodedata
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from notewright.functions import text as T
@@ -43,3 +45,15 @@ def test_small_rules(column):
     assert column(["a.test.TS", ".git", "x.", "a.b c"], col(T.strip_extension)) == ["a.test", "", "x.", "a.b c"]
     assert column(["\ufeffa\ufeff", "\ufeff\ufeffb"], col(T.strip_bom)) == ["a\ufeff", "\ufeffb"]
     assert column(["bug debug BUG"], lambda n: T.occurrences(F.lower(n), "bug")) == [3]
+
+
+@pytest.mark.parametrize("start", [1, 3, 5, 9, 400])
+def test_words_that_end_within_the_start_of_a_text(column, start):
+    texts = ["", "ab", "abc def ghi", "café cafés İzmir", "́x", "  ", "abcd́́ e", "a\U0001f600bé c", "ΣΣ abΣ", None]
+    whole, early = column(texts, T.tokens, "string"), column(texts, lambda c: T.tokens(c, start))
+    for text, words, some in zip(texts, whole, early):
+        if text is None:
+            assert some is None
+        else:
+            assert some == words[: len(some)] and (len(text) > start or some == words)
+            assert len(text) <= start or not some or len("".join(some)) < start
