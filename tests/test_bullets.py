@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from notewright.operators import bullets as B
 from notewright.operators import vocabulary as V
+from notewright.plans import compose
 
 VOCABULARY = ["harbour", "basalt", "by-law", "turbine", "yew!", "long tidal gate"]
 
@@ -120,6 +121,43 @@ def test_filters_come_before_the_cap(spark, keys):
     assert [r.bullet for r in kept.orderBy("line_pos").collect()] == [f"Swept harbour {i}" for i in range(6)]
 
 
+def test_only_lines_that_may_be_kept_are_redacted(spark, keys, monkeypatch):
+    """Late lines are redacted where the early ones give too few, and nowhere else."""
+    hidden = "- Swept harbour with Odile"
+    texts = {
+        "enough": [f"- Swept harbour {i}" for i in range(14)] + ["- Swept harbour never"],
+        "late": [hidden] * 8 + [f"- Swept harbour {i}" for i in range(9)],
+        "few": [hidden] * 14 + ["- Swept harbour 1"],
+    }
+    rows = [("p", name, "\n".join(lines), ["odile"]) for name, lines in texts.items()]
+    entries = spark.createDataFrame(rows, "project_id string, summary_id string, text string, denied array<string>")
+    entries = entries.withColumn("text", F.regexp_replace("text", "Odile", "O"))
+
+    def redact(text, terms, scheme):
+        seen = F.when(F.col(text).endswith("with O"), "[redacted]").otherwise(F.col(text))
+        return F.when(F.col(text).endswith("never"), F.raise_error(F.lit("redacted too much")).cast("string")).otherwise(seen)
+
+    monkeypatch.setattr(B, "redact", redact)
+    kept = B.first_accepted_bullets(entries, keys, ["summary_id"], [])
+    got = {name: [r.bullet for r in kept.where(F.col("summary_id") == name).orderBy("line_pos").collect()] for name in texts}
+    six = [f"Swept harbour {i}" for i in range(6)]
+    assert got == {"enough": six, "late": six, "few": ["Swept harbour 1"]}
+
+
+def test_deny_lists_join_without_a_shuffle_of_texts(spark):
+    entries = spark.createDataFrame([("p", "a"), ("q", "b")], "project_id string, text string")
+    deny = spark.createDataFrame([("p", ["x"])], "project_id string, denied array<string>")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = compose.with_denied(entries, deny)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted(map(tuple, joined.collect())) == [("p", "a", ["x"]), ("q", "b", None)]
+
+
 @pytest.mark.parametrize(
     "title, wanted",
     [
