@@ -10,6 +10,24 @@ from notewright.sources import payloads as P
 from notewright.sources import repositories as R
 
 
+def test_unclosed_json_is_known_without_the_parser(spark, monkeypatch):
+    """What can't be a JSON value for its last character never reaches the parser; what can be one does, white space or not."""
+    seen = []
+    parse = F.try_parse_json
+    monkeypatch.setattr(V.F, "try_parse_json", lambda text: seen.append(1) or F.coalesce(parse(text), F.raise_error(F.lit("parsed")).cast("variant")))
+    broken = spark.createDataFrame([('{"name":"a"} trailing',), ('[1, 2',), (' {"a":1]',)], "raw string")
+    assert [r.m for r in broken.select(V.strict_json(F.col("raw")).isNull().alias("m")).collect()] == [True] * 3
+    whole = spark.createDataFrame([(' {"a":1}\n',), ("[1]\t",), ('"x"',), ("5 ",)], "raw string")
+    assert [r.m for r in whole.select(F.to_json(V.strict_json(F.col("raw"))).alias("m")).collect()] == ['{"a":1}', "[1]", '"x"', "5"]
+    assert seen
+
+
+def test_a_manifest_is_parsed_once(spark):
+    manifests = spark.createDataFrame([("p", "{}")], "project_id string, raw string").repartition(2)
+    plan = R.manifest_names(manifests)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") == 1
+
+
 def test_strict_json_refuses_trailing_text(column):
     texts = ["44 boats", "12", '{"a":1}', '{"a":1} x', "1] x", "1,2", "", "  ", "null", '"t"', "[1,2]"]
     out = column(texts, lambda n: F.to_json(V.strict_json(F.col(n))))
