@@ -28,6 +28,8 @@ WINDOW = 35
 SCHEME = Scheme(window=WINDOW, seed=20, by_word=True)
 #: Ends searched side by side.
 SEARCHED = 1 << 18
+#: Searches from one string's ends that go on beyond a window.
+LONG_SEARCHES = 4
 
 RESULT = "doc_id long, n_words long, spans array<struct<first: int, past: int>>, kept_sha256 string"
 
@@ -86,18 +88,20 @@ class FmIndex:
         self.weight = np.zeros(n + 2, np.int64)
         np.cumsum(np.r_[weights, 0][order], out=self.weight[1:])
 
-    def matching(self, text: np.ndarray, ends: np.ndarray, limit: int, least: int) -> np.ndarray:
+    def matching(self, text: np.ndarray, ends: np.ndarray, limit: int | np.ndarray, least: int) -> np.ndarray:
         """How many letters up to and with each end, ``limit`` at most, match places of weight ``least`` or more."""
         length = np.zeros(len(ends), np.int64)
+        most = np.broadcast_to(limit, ends.shape)
         live = np.arange(len(ends))
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.weight) - 1)
-        for step in range(limit):
+        for step in range(most.max(initial=0)):
             letter = text[ends[live] - step]
             low = self.begins[letter] + self.tree.rank(letter, low)
             high = self.begins[letter] + self.tree.rank(letter, high)
             go = self.weight[high] - self.weight[low] >= least
+            length[live[go]] = step + 1
+            go &= most[live] > step + 1
             live, low, high = live[go], low[go], high[go]
-            length[live] = step + 1
             if not len(live):
                 break
         return length
@@ -116,9 +120,31 @@ def repeated_windows(units: Spans, _: np.ndarray, count: np.ndarray) -> np.ndarr
     index = FmIndex(text, weights)
     windows = sizes - WINDOW + 1
     begins = firsts[:-1] + np.arange(len(sizes))
-    ends = np.arange(windows.sum()) + np.repeat(begins - np.cumsum(windows) + windows, windows) + WINDOW - 1
-    out = [index.matching(text, ends[k : k + SEARCHED], WINDOW, 2) >= WINDOW for k in range(0, len(ends), SEARCHED)]
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+
+    def matched(ends: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        parts = [index.matching(text, ends[k : k + SEARCHED], limit[k : k + SEARCHED], 2) for k in range(0, len(ends), SEARCHED)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    # A match of any length holds all windows inside it, so a search from a string's end goes on to its start, and the next one
+    # from the end of the first window to the left that the match does not hold.
+    heads = np.cumsum(windows) - windows
+    out = np.zeros(windows.sum() + 1, np.int64)  # steps: 1 where windows that occur twice begin, -1 behind them
+    left = windows.copy()  # windows of each string that are not known yet, its first ones
+    live = np.flatnonzero(left)
+    for _round in range(LONG_SEARCHES):
+        length = matched(begins[live] + left[live] + WINDOW - 2, left[live] + WINDOW - 1)
+        held = np.maximum(length - WINDOW + 1, 0)
+        np.add.at(out, heads[live] + left[live] - held, 1)
+        np.add.at(out, heads[live] + left[live], -1)
+        left[live] -= np.maximum(held, 1)
+        live = live[left[live] > 0]
+    found = np.cumsum(out[:-1])
+    # What is still left has few matches: every window by itself.
+    own = left[live]
+    step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+    ends = np.repeat(begins[live], own) + step + WINDOW - 1
+    found[np.repeat(heads[live], own) + step] = matched(ends, np.full(len(ends), WINDOW)) >= WINDOW
+    return found
 
 
 def _removed(texts: Texts, units: Spans, ids: list, start: np.ndarray, doc: np.ndarray, answer: np.ndarray, _: dict) -> pa.RecordBatch:
