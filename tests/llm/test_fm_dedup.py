@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 from notewright.llm import passages
-from notewright.llm.fm_dedup import FmIndex, repeated_passages
+from notewright.llm.fm_dedup import FmIndex, repeated_passages, repeated_windows
+from notewright.llm.texts import Spans, Texts, words
 
 SCHEMA = "doc_id long, text string, pack int, spans string"
 
@@ -68,3 +69,25 @@ def test_matching_statistics():
                     break
                 best = size
             assert best == length
+
+
+def test_word_hashes_tell_contents_and_build_no_table(monkeypatch):
+    texts = ["one two one", "", "éé two", "a" * 5000 + " one ab ba"]
+    data = "".join(texts).encode()
+    found = words(Texts(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])))
+    contents = [w for t in texts for w in t.split()]
+    monkeypatch.setattr(Spans, "encoded", lambda self: pytest.fail("a table of words"))
+    hashes = passages.Scheme(window=35, seed=20, by_word=True).values(found).tolist()
+    assert len(hashes) == len(contents)
+    assert len(set(zip(contents, hashes))) == len(set(contents)) == len(set(hashes))
+
+
+def test_a_string_that_repeats_whole_takes_one_search(monkeypatch):
+    searched = []
+    whole = FmIndex.matching
+    monkeypatch.setattr(FmIndex, "matching", lambda self, text, ends, *rest: searched.append(len(ends)) or whole(self, text, ends, *rest))
+    data = " ".join(f"w{i}" for i in range(90)).encode() + b" "
+    found = words(Texts(np.frombuffer(data, np.uint8), np.array([0, len(data)])))
+    assert repeated_windows(found, np.array([1]), np.array([2])).tolist() == [1] * 56
+    assert sum(searched) == 1
+    assert repeated_windows(found, np.array([1]), np.array([1])).tolist() == [0] * 56
