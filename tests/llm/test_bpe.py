@@ -6,7 +6,7 @@ import unicodedata
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from notewright.llm.bpe import SCAN_PARTS, WordBpe, decode, encode
+from notewright.llm.bpe import KNOWN_CHARS, SCAN_PARTS, WordBpe, decode, encode
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 CASES = [
@@ -41,6 +41,32 @@ def test_both_ways_of_merging_agree():
         assert bpe._scanned(parts) == bpe._queued(parts)
 
 
+def test_words_are_cut_and_merged_once_a_table():
+    bpe = WordBpe(open(PATH, "rb").read())
+    found = []
+    bpe.words = type("Counted", (), {"findall": lambda self, text, own=bpe.words: found.append(text) or own.findall(text)})()
+    long = "ab1" * KNOWN_CHARS
+    texts = ["It's done, done\x1c!\n" + long, None, "done, it's <|endoftext|> done,", "<|ENDOFTEXT|> " + "q" * (KNOWN_CHARS + 1)]
+    ids, ends = bpe.encoded(texts)
+    library = Tokenizer.from_file(PATH)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and ends.tolist() == [0, *(sum(map(len, want[: k + 1])) for k in range(4))]
+    assert len(found) == 1 and found[0].split("\n").count("done,") == 1
+    assert not any(isinstance(w, str) and len(w) > KNOWN_CHARS for w in bpe.known)
+    assert bpe.encoded(["done, it's done,"] * 50)[0].tolist() == library.encode("done, it's done,").ids * 50
+    assert len(found) == 1
+
+
+def test_words_merged_in_tables_are_as_those_merged_alone():
+    bpe = WordBpe(open(PATH, "rb").read())
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdethein'ö力!", k=rng.randint(1, 8))) for _ in range(500)] + ["a", "the"]
+    ids, counts = bpe._tabled([w.encode() for w in words])
+    assert ids.tolist() == [i for w in words for i in bpe.word_ids(w)]
+    assert counts.tolist() == [len(bpe.word_ids(w)) for w in words]
+    assert [a.tolist() for a in bpe._tabled([])] == [[], []]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert decode(encode(df, PATH), PATH).collect() == []
