@@ -40,6 +40,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import released
+
 TABLE_PARTS = 24
 SCAN_PARTS = 48
 KNOWN_WORDS = 300_000
@@ -342,7 +344,7 @@ def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
                 ids, ends = bpe.encoded(part.column(column).to_pylist())
                 yield _with(part, "ids", pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
 
-    return docs.mapInArrow(run, _schema(docs, "ids", T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(released(run), _schema(docs, "ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -357,4 +359,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             for part in _cut(batch, sizes, PIECE_CHARS):
                 yield _with(part, "decoded", decoded_texts(tokens, part.column("ids")))
 
-    return encoded.mapInArrow(run, _schema(encoded, "decoded", T.StringType()))
+    return encoded.mapInArrow(released(run), _schema(encoded, "decoded", T.StringType()))

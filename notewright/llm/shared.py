@@ -1,9 +1,12 @@
-"""Where intermediate results are kept."""
+"""Where intermediate results are kept, and memory that tasks give back."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +32,26 @@ def kept(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; later stages read it back when executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, which allocators otherwise keep for the process."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def released(run: Run) -> Run:
+    """``run`` for a worker that stays: idle workers of earlier steps count against an executor's memory too."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped

@@ -33,7 +33,7 @@ from .components import components
 from .passages import (
     SEEDS, Scheme, Tags, bucket_counts, judged, pack_texts, packed, rolled, rows_of, states_of, tag_rows, tagged,
 )
-from .shared import kept
+from .shared import kept, released
 from .texts import Texts, mixed, words
 
 SHINGLE = 4
@@ -279,8 +279,8 @@ def shingle_components(docs: DataFrame) -> DataFrame:
     """Per row doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     packs = packed(docs, SCHEME)
     buckets, _ = bucket_counts(packs, SCHEME)
-    states = judged(packs.mapInArrow(_send_shingles(buckets), SEEDS), buckets)
-    profile = kept(packs.join(states, "pack", "left").mapInArrow(_profiles(buckets), PROFILE))
+    states = judged(packs.mapInArrow(released(_send_shingles(buckets)), SEEDS), buckets)
+    profile = kept(packs.join(states, "pack", "left").mapInArrow(released(_profiles(buckets)), PROFILE))
     kinds = kept(
         profile.where("kind is not null").groupBy("kind")
         .agg(F.min("doc_id").alias("least"), F.min(F.struct("pack", "place")).alias("home"), F.min("prefix").alias("prefix"))
@@ -309,8 +309,8 @@ def shingle_components(docs: DataFrame) -> DataFrame:
                      F.expr("cast(pmod(xxhash64(kind), blocks) as int)").alias("block")).alias("want"),
         ).groupBy("pack").agg(F.collect_list("want").alias("wanted"))
     )
-    sets = packs.join(wanted, "pack").mapInArrow(_sets, SETS)
-    links = sets.repartition(buckets, "cluster", "unit").sortWithinPartitions("cluster", "unit", "kind").mapInArrow(_verify, LINKS)
+    sets = packs.join(wanted, "pack").mapInArrow(released(_sets), SETS)
+    links = sets.repartition(buckets, "cluster", "unit").sortWithinPartitions("cluster", "unit", "kind").mapInArrow(released(_verify), LINKS)
     roots = components(links).toDF("kind", "root")
 
     reached = kinds.join(roots, "kind", "left").select("kind", F.coalesce("root", "kind").alias("root"), "least")
