@@ -6,7 +6,7 @@ runs of consecutive windows with one smallest seed, and only runs whose seed occ
 hold a window that does. Those runs, with all their units, are dealt to shards by seed; a shard's index
 answers for each window; the answers go back and are laid over the texts.
 
-Documents travel as packs of about ``PACK_BYTES``, compressed. What a pack sends is unique within the
+Documents travel as packs of about ``PACK_BYTES``, compressed, as every pack sends a row to every shard. What a pack sends is unique within the
 pack, so a seed, run or copy that a third of all documents hold costs one entry a pack. A seed of a level
 above ``HOT_LEVEL`` may have any number of different surroundings; its windows are sent one by one and
 dealt by their own content instead, so that one seed never fills one shard.
@@ -31,8 +31,12 @@ PACK_BYTES = 2 << 20
 #: Text for the seeds of one bucket, and for the strings of one shard, on average.
 BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
-#: Windows of bytes are many times more than those of words, so packs and shards of bytes are smaller.
+#: Windows of bytes are many times more than those of words, so shards of bytes are smaller.
 FEWER = 4
+#: A shard's strings are indexed in this many parts, each of which stays near the processor.
+PARTS = 4
+#: Units that are hashed at once, for the same reason.
+BLOCK = 1 << 15
 #: A hash that occurs once is of level 0, one that n packs hold of as many as n has binary digits.
 HOT_LEVEL = 14
 
@@ -83,7 +87,11 @@ class Scheme:
         return Spans(texts, at[:-1], at[1:], texts.offsets)
 
     def values(self, found: Spans) -> np.ndarray:
-        return _word_hashes(found) if self.by_word else mixed(np.arange(1, 257))[found.texts.data]
+        return _word_hashes(found) if self.by_word else BYTES[found.texts.data]
+
+
+#: A random number for each byte.
+BYTES = mixed(np.arange(1, 257))
 
 
 def _word_hashes(found: Spans) -> np.ndarray:
@@ -123,6 +131,37 @@ def rolled(values: np.ndarray, *sizes: int) -> list[np.ndarray]:
     return [o[: max(0, len(values) - size + 1)] for o, size in zip(out, sizes)]
 
 
+_FACTOR = 0xD1B54A32D192ED03
+
+
+def _powers(factor: int) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(2 * BLOCK, factor, np.uint64)])
+
+
+_RISING, _FALLING = _powers(_FACTOR), _powers(pow(_FACTOR, -1, 1 << 64))
+
+
+def anchors(values: np.ndarray, seed: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window the place of its smallest seed and a hash of its units, and for each place a hash of the seed there.
+
+    A hash is a difference of running sums of the units' numbers times powers of an odd factor, brought back to power 0. The sum
+    starts anew in each block of ``BLOCK`` windows, which changes no hash. ``window`` is ``BLOCK`` at most; bytes are looked up here.
+    """
+    held = len(values) - window + 1
+    least, hashes, seeds = np.empty(held, np.int32), np.empty(held, np.uint64), np.empty(len(values) - seed + 1, np.uint64)
+    for first in range(0, held, BLOCK):
+        own = values[first : first + BLOCK + window - 1]
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum((BYTES[own] if own.dtype == np.uint8 else own) * _RISING[: len(own)], out=total[1:])
+        here = (total[seed:] - total[:-seed]) * _FALLING[: len(own) - seed + 1]
+        seeds[first : first + len(here)] = here
+        whole = len(own) - window + 1
+        hashes[first : first + whole] = (total[window:] - total[:-window]) * _FALLING[:whole]
+        keys = (here & np.uint64(0xFFFFFFFF00000000)) | np.arange(first, first + len(here), dtype=np.uint64)
+        least[first : first + whole] = sliding_least(keys, window - seed + 1) & np.uint64(0xFFFFFFFF)
+    return least, hashes, seeds
+
+
 def sliding_least(keys: np.ndarray, size: int) -> np.ndarray:
     width = 1
     while 2 * width <= size:
@@ -166,26 +205,18 @@ class Runs:
         self.first, self.count, self.seed, self.hashes = empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
         if n < scheme.window:
             return
-        values = scheme.values(self.units)
-        seeds, hashes = rolled(values, scheme.seed, scheme.window)
-        seeds = mixed(seeds)
-        keys = (seeds & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(seeds), dtype=np.uint64)
-        least = sliding_least(keys, scheme.window - scheme.seed + 1) & np.uint64(0xFFFFFFFF)
-        whole = np.ones(len(least), bool)
-        lost = np.minimum(firsts[1:-1], len(least))
-        change = np.zeros(len(least) + 1, np.int64)
-        np.add.at(change, np.maximum(0, np.minimum(firsts[1:-1] - scheme.window + 1, len(least))), 1)
-        np.add.at(change, lost, -1)
-        whole = np.cumsum(change[:-1]) == 0
-        starts = np.flatnonzero(whole)
-        if not len(starts):
-            return
-        anchor = least[starts]
-        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1)]
-        head = np.flatnonzero(new)
-        self.first = starts[head]
-        self.count = np.diff(np.r_[head, len(starts)])
-        self.seed = mixed(seeds[anchor[head].astype(np.int64)])
+        least, hashes, seeds = anchors(scheme.values(self.units) if scheme.by_word else texts.data, scheme.seed, scheme.window)
+        # A run also ends where its text's windows do; windows that reach into the next text are left out.
+        new = np.empty(len(least) + 1, bool)
+        new[0] = True
+        np.not_equal(least[1:], least[:-1], out=new[1:-1])
+        new[np.minimum(firsts, len(least))] = True
+        new[np.clip(firsts[1:] - scheme.window + 1, firsts[:-1], len(least))] = True
+        head = np.flatnonzero(new[:-1])
+        count = np.diff(np.r_[head, len(least)])
+        whole = head + scheme.window <= firsts[np.searchsorted(firsts, head, "right")]
+        self.first, self.count = head[whole], count[whole]
+        self.seed = mixed(seeds[least[self.first]])
         self.hashes = hashes
 
     def tags(self, buckets: int) -> Tags:
@@ -201,27 +232,36 @@ class Runs:
         # The first and the last window of a string cover all of it.
         head, tail = self.hashes[first], self.hashes[first + count - 1]
         dealt = np.concatenate([mixed(self.seed[runs] + np.uint64(1)), mixed(self.hashes[single])])
-        shard = (dealt % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((count, tail, head, shard))
+        part = (dealt % np.uint64(shards * PARTS)).astype(np.int64)
+        order = np.lexsort((count, tail, head, part))
         same = np.zeros(len(order), bool)
         if len(order) > 1:
             a, b = order[1:], order[:-1]
-            same[1:] = (head[a] == head[b]) & (tail[a] == tail[b]) & (count[a] == count[b]) & (shard[a] == shard[b])
+            same[1:] = (head[a] == head[b]) & (tail[a] == tail[b]) & (count[a] == count[b]) & (part[a] == part[b])
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(~same) - 1
-        return Strings(self, first, count, shard, place, order[~same])
+        return Strings(self, first, count, part, place, order[~same])
 
 
 class Strings:
-    """Occurrences ``first``, ``count`` with their ``place`` among the distinct strings ``kinds``."""
+    """Occurrences ``first``, ``count`` with their ``place`` among the distinct strings ``kinds``.
+
+    Part ``PARTS * shard + k`` is the shard's part ``k``; distinct strings come by part.
+    """
 
-    def __init__(self, runs: Runs, first, count, shard, place, kinds):
-        self.runs, self.first, self.count, self.shard, self.place, self.kinds = runs, first, count, shard, place, kinds
+    def __init__(self, runs: Runs, first, count, part, place, kinds):
+        self.runs, self.first, self.count, self.part, self.place, self.kinds = runs, first, count, part, place, kinds
 
-    def by_shard(self) -> Iterator[tuple[int, np.ndarray]]:
-        shards = self.shard[self.kinds]
-        for shard in np.unique(shards).tolist():
-            yield shard, np.arange(np.searchsorted(shards, shard), np.searchsorted(shards, shard, "right"))
+    def by_shard(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The shard, its distinct strings, and how many are in each of its parts."""
+        parts = self.part[self.kinds]
+        for shard in np.unique(parts // PARTS).tolist():
+            edges = np.searchsorted(parts, np.arange(shard * PARTS, (shard + 1) * PARTS + 1))
+            yield shard, np.arange(edges[0], edges[-1]), np.diff(edges)
+
+    def texts(self) -> np.ndarray:
+        """The text that each occurrence is in."""
+        return np.searchsorted(self.runs.units.firsts, self.first, "right") - 1
 
     def contents(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths in bytes, and the bytes, of some distinct strings."""
@@ -241,7 +281,7 @@ def packed(docs: DataFrame, scheme: Scheme, carried: tuple[str, ...] = ()) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch, limit=PACK_BYTES // (1 if scheme.by_word else FEWER)):
+            for part, texts in pieces(batch, limit=PACK_BYTES):
                 texts = scheme.canonical(texts)
                 ids = part.column("doc_id")
                 row = (
@@ -363,14 +403,14 @@ def _send_strings(scheme: Scheme, buckets: int, shards: int):
             strings = runs.strings(states_of(runs.tags(buckets), row["states"], buckets), shards)
             ids = np.frombuffer(row["doc_ids"], np.int64).copy()
             ids[np.frombuffer(row["known"], np.uint8) == 0] = np.iinfo(np.int64).max
-            doc = np.searchsorted(runs.units.firsts, strings.first, "right") - 1
+            doc = strings.texts()
             owner = np.full(len(strings.kinds), np.iinfo(np.int64).max)
             np.minimum.at(owner, strings.place, ids[doc])
             times = np.bincount(strings.place, minlength=len(strings.kinds))
             out = []
-            for shard, of in strings.by_shard():
+            for shard, of, parts in strings.by_shard():
                 lengths, data = strings.contents(of)
-                numbers = np.concatenate([owner[of], times[of], lengths]).astype(np.int64)
+                numbers = np.concatenate([owner[of], times[of], lengths, parts]).astype(np.int64)
                 out.append((shard, row["pack"], len(of), squeezed(numbers), len(data), squeezed(data)))
             yield batch_of(out, STRINGS)
 
@@ -382,36 +422,61 @@ def _send_strings(scheme: Scheme, buckets: int, shards: int):
 Answer = Callable[[Spans, np.ndarray, np.ndarray], np.ndarray]
 
 
+def _answered(scheme: Scheme, answer: Answer, numbers: list[np.ndarray], contents: list[np.ndarray]) -> list[np.ndarray]:
+    """The answers to what each pack sent to one part: the strings' owners, counts and lengths, and their bytes."""
+    owners, times, lengths = np.concatenate(numbers, axis=1)
+    # What several packs hold is one string of the index.
+    data = np.concatenate(contents)
+    ends = np.r_[0, np.cumsum(lengths)]
+    arrays = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    code = arrays.indices.to_numpy().astype(np.int64)
+    distinct = arrays.dictionary
+    owner = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(owner, code, owners)
+    count = np.bincount(code, weights=times, minlength=len(distinct)).astype(np.int64)
+    offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+    units = scheme.units(Texts(np.frombuffer(distinct.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]))
+    found = answer(units, owner, count)
+    windows = np.r_[0, np.cumsum(units.counts - scheme.window + 1)]
+    out, first = [], 0
+    for own in numbers:
+        codes = code[first : first + own.shape[1]]
+        first += own.shape[1]
+        sizes = windows[codes + 1] - windows[codes]
+        at = np.arange(sizes.sum()) + np.repeat(windows[codes] - np.cumsum(sizes) + sizes, sizes)
+        out.append(found[at].astype(np.int64))
+    return out
+
+
 def _answer(scheme: Scheme, answer: Answer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(rows_of(batches))
         if not rows:
             return
-
-        numbers = [opened(r.pop("numbers"), 24 * r["kinds"]).view(np.int64).reshape(3, -1) for r in rows]
-        owners, times = (np.concatenate([n[k] for n in numbers]) for k in (0, 1))
-        lengths = [n[2] for n in numbers]
-        # What several packs hold is one string of the index.
-        data = np.concatenate([opened(r.pop("data"), r["size"]) for r in rows])
-        ends = np.r_[0, np.cumsum(np.concatenate(lengths))]
-        arrays = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
-        code = arrays.indices.to_numpy().astype(np.int64)
-        distinct = arrays.dictionary
-        owner = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(owner, code, owners)
-        count = np.bincount(code, weights=times, minlength=len(distinct)).astype(np.int64)
-        offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
-        units = scheme.units(Texts(np.frombuffer(distinct.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]))
-        found = answer(units, owner, count)
-        windows = np.r_[0, np.cumsum(units.counts - scheme.window + 1)]
-        first = 0
+        numbers, contents, edges = [], [], []
+        for r in rows:
+            own = opened(r.pop("numbers"), 8 * (3 * r["kinds"] + PARTS)).view(np.int64)
+            numbers.append(own[:-PARTS].reshape(3, -1))
+            contents.append(opened(r.pop("data"), r["size"]))
+            strings = np.r_[0, np.cumsum(own[-PARTS:])]
+            edges.append((strings, np.r_[0, np.cumsum(numbers[-1][2])][strings]))
+        answers = [[] for _ in rows]
+        for k in range(PARTS):
+            asking = [i for i, (strings, _) in enumerate(edges) if strings[k + 1] > strings[k]]
+            if not asking:
+                continue
+            got = _answered(
+                scheme, answer, [numbers[i][:, edges[i][0][k] : edges[i][0][k + 1]] for i in asking],
+                [contents[i][edges[i][1][k] : edges[i][1][k + 1]] for i in asking],
+            )
+            for i, own in zip(asking, got):
+                answers[i].append(own)
+        del numbers, contents
         out = []
-        for r, own in zip(rows, lengths):
-            codes = code[first : first + len(own)]
-            first += len(own)
-            sizes = windows[codes + 1] - windows[codes]
-            at = np.arange(sizes.sum()) + np.repeat(windows[codes] - np.cumsum(sizes) + sizes, sizes)
-            out.append((r["pack"], r["shard"], len(at) * 8, squeezed(found[at].astype(np.int64))))
+        for r, parts in zip(rows, answers):
+            found = np.concatenate(parts)
+            parts.clear()
+            out.append((r["pack"], r["shard"], len(found) * 8, squeezed(found)))
             if len(out) == 200:
                 yield batch_of(out, ANSWERS)
                 out = []
@@ -435,14 +500,14 @@ def _finish(scheme: Scheme, buckets: int, shards: int, finish: Finish):
             sizes = strings.count[strings.kinds]
             begins = np.r_[0, np.cumsum(sizes)]
             answer = np.zeros(begins[-1], np.int64)
-            for shard, of in strings.by_shard():
+            for shard, of, _ in strings.by_shard():
                 a = answers[shard]
                 answer[begins[of[0]] : begins[of[-1] + 1]] = opened(a["answers"], a["size"]).view(np.int64)
             own = sizes[strings.place]
             step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
             start = np.repeat(strings.first, own) + step
             got = answer[np.repeat(begins[strings.place], own) + step]
-            doc = np.searchsorted(runs.units.firsts, start, "right") - 1
+            doc = np.repeat(strings.texts(), own)
             ids, known = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["known"], np.uint8)
             yield finish(texts, runs.units, [i if k else None for i, k in zip(ids.tolist(), known)], start, doc, got, carried_columns(row["rest"]))
 

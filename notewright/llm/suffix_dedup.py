@@ -47,19 +47,18 @@ def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (packed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int32), packed >> low
 
 
-def _names(key: np.ndarray) -> tuple[np.ndarray, int]:
-    """The rank of every key among the distinct ones, from 0, and how many there are."""
+def _names(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The stable order of keys, the rank of every key among the distinct ones, from 0, and how many there are."""
     order, rising = _sorted(key)
     rank = np.zeros(len(key), np.int32)
     np.cumsum(rising[1:] != rising[:-1], dtype=np.int32, out=rank[1:])
     out = np.empty(len(key), np.int32)
     out[order] = rank
-    return out, int(rank[-1]) + 1
+    return order, out, int(rank[-1]) + 1
 
 
-def _keys(columns: list[np.ndarray]) -> np.ndarray:
-    """One number per row that orders rows as their columns do, first column first, with room for a place beside it."""
-    room = 64 - _width(len(columns[0]))
+def _keys(columns: list[np.ndarray], room: int) -> np.ndarray:
+    """One number of at most ``room`` bits per row that orders rows as their columns do, first column first."""
     key, bits = None, 0
     for column in columns:
         own = _width(column.max(initial=0))
@@ -67,58 +66,68 @@ def _keys(columns: list[np.ndarray]) -> np.ndarray:
             key, bits = column.astype(np.uint64), own
             continue
         if bits + own > room:
-            names, distinct = _names(key)
+            _, names, distinct = _names(key)
             key, bits = names.astype(np.uint64), _width(distinct)
         key, bits = (key << np.uint64(own)) | column.astype(np.uint64), bits + own
     return key
 
 
-def difference_cover_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array of numbers of 1 and more; a suffix that ends sorts before what it is a prefix of."""
-    return _order([text])
+def difference_cover_order(text: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The suffix array of numbers of 1 and more, or of ``wanted`` places alone; a suffix that ends sorts before what it is a prefix of."""
+    order = _order([text], wanted)
+    return order if wanted is None or len(text) >= 3 else order[wanted[order]]
 
 
-def _order(held: list[np.ndarray]) -> np.ndarray:
+def _order(held: list[np.ndarray], wanted: np.ndarray | None = None) -> np.ndarray:
     """``held`` has the text alone and gives it up, so that no level of the recursion keeps another's."""
     text = held.pop()
     n = len(text)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int32)
-    t = np.zeros(n + 3, np.int32)  # a shard is far below 2^31 letters
+    t = np.zeros(n + 4, np.int32)  # a shard is far below 2^31 letters
     t[:n] = text
     del text
     # Sampled places, those of remainder 1 before those of remainder 2; one more place at the end keeps
     # the triples of the first part apart from the second's.
-    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32), np.arange(2, n, 3, dtype=np.int32)])
-    rank_of, distinct = _names(_keys([t[sample], t[sample + 1], t[sample + 2]]))
-    rank_of += 1
-    if distinct < len(sample):
-        lower = [rank_of]
-        del rank_of
+    ones, twos, rests = len(range(1, n + (n % 3 == 1), 3)), len(range(2, n, 3)), len(range(0, n, 3))
+
+    def thirds(of: np.ndarray, *places: tuple[int, int]) -> np.ndarray:
+        return np.concatenate([of[first::3][:count] for first, count in places])
+
+    order, rank_of, distinct = _names(_keys([thirds(t, (1 + k, ones), (2 + k, twos)) for k in range(3)], 64 - _width(ones + twos)))
+    if distinct < ones + twos:
+        lower = [rank_of + 1]
+        del rank_of, order
         order = _order(lower)
-        rank_of = np.empty(len(sample), np.int32)
-        rank_of[order] = np.arange(1, len(sample) + 1, dtype=np.int32)
-        del order
-    rank = np.zeros(n + 3, np.int32)
-    rank[sample] = rank_of
-    sampled = np.empty(len(sample), np.int32)
-    sampled[rank_of - 1] = sample
-    del rank_of, sample
-    sampled = sampled[sampled < n]
+        rank_of = np.empty(ones + twos, np.int32)
+        rank_of[order] = np.arange(ones + twos, dtype=np.int32)
+    rank = np.zeros(n + 4, np.int32)
+    rank[1::3][:ones] = rank_of[:ones] + 1
+    rank[2::3][:twos] = rank_of[ones:] + 1
+    del rank_of
     # The remaining suffixes, by first letter and the rank behind it.
-    rest = np.arange(0, n, 3, dtype=np.int32)
-    rest = rest[_sorted(_keys([t[rest], rank[rest + 1]]))[0]]
+    rest = _sorted(_keys([t[::3][:rests], rank[1::3][:rests]], 64 - _width(rests)))[0]
+    if wanted is not None:
+        rest = rest[wanted[::3][rest]]
+        order = order[thirds(np.r_[wanted, False, False], (1, ones), (2, twos))[order]]
+    elif n % 3 == 1:
+        order = order[order != ones - 1]
+    own = order < ones
+    first, second = order[own], order[~own] - ones
+    place = 3 * order + np.where(own, 1, 2 - 3 * ones)
+    del order, own
     # Merge: how many sampled suffixes of either remainder each of them follows.
-    behind = np.zeros(len(rest), np.int64)
-    for own, columns in (
-        (sampled[sampled % 3 == 1], lambda i: [t[i], rank[i + 1]]),
-        (sampled[sampled % 3 == 2], lambda i: [t[i], t[i + 1], rank[i + 2]]),
-    ):
-        both = _keys([np.concatenate(pair) for pair in zip(columns(own), columns(rest))])
-        behind += np.searchsorted(both[: len(own)], both[len(own) :])
-    out = np.full(n, -1, np.int32)
-    out[behind + np.arange(len(rest))] = rest
-    out[out < 0] = sampled
+    both = _keys([thirds(t, (1, ones), (0, rests)), thirds(rank, (2, ones), (1, rests))], 64)
+    behind = np.searchsorted(both[:ones][first], both[ones:][rest])
+    both = _keys([thirds(t, (2, twos), (0, rests)), thirds(t, (3, twos), (1, rests)), thirds(rank, (4, twos), (2, rests))], 64)
+    behind += np.searchsorted(both[:twos][second], both[twos:][rest])
+    del both
+    behind += np.arange(len(rest))
+    out = np.empty(len(place) + len(rest), np.int32)
+    left = np.ones(len(out), bool)
+    left[behind] = False
+    out[behind] = 3 * rest
+    out[left] = place
     return out
 
 
@@ -134,12 +143,11 @@ def earliest_owners(units: Spans, owner: np.ndarray, _: np.ndarray) -> np.ndarra
     data[inside] = texts.data
     data[inside] += 2
     del inside
-    order = difference_cover_order(data)
     windows = lengths - WINDOW + 1
     total = int(windows.sum())
     index = np.full(len(data), -1, np.int32)  # of the window that starts at a place
     index[np.arange(total) + np.repeat(begins - np.cumsum(windows) + windows, windows)] = np.arange(total, dtype=np.int32)
-    order = order[index[order] >= 0]
+    order = difference_cover_order(data, index >= 0)
     same = np.zeros(len(order), bool)
     letters = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
     for k in range(1, len(order), COMPARED):
@@ -162,15 +170,23 @@ def _gone(texts: Texts, ids: list, start: np.ndarray, doc: np.ndarray, owner: np
 
 def _removed(texts: Texts, units: Spans, ids: list, start: np.ndarray, doc: np.ndarray, owner: np.ndarray, _: dict) -> pa.RecordBatch:
     gone = _gone(texts, ids, start, doc, owner)
-    spans, digests = [], []
-    for i in range(len(texts)):
-        a, b = texts.offsets[i], texts.offsets[i + 1]
-        edge = np.flatnonzero(np.diff(np.r_[False, gone[a:b], False]))
-        spans.append([{"first": f, "past": p} for f, p in edge.reshape(-1, 2).tolist()])
-        digests.append(hashlib.sha256(texts.data[a:b][~gone[a:b]].tobytes()).hexdigest())
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
+    # A span opens after a byte that stays or at a text's first byte, and ends likewise.
+    edge = np.ones(len(gone) + 1, bool)
+    np.not_equal(gone[1:], gone[:-1], out=edge[1:-1])
+    edge[texts.offsets] = True
+    opens = np.flatnonzero(edge[:-1] & gone)
+    ends = np.flatnonzero(edge[1:] & gone) + 1
+    edges = np.searchsorted(opens, texts.offsets)
+    begins = np.repeat(texts.offsets[:-1], np.diff(edges))
+    kept = texts.data[~gone]
+    stays = texts.offsets - np.r_[0, np.cumsum(gone)][texts.offsets]
+    digests = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(stays[:-1].tolist(), stays[1:].tolist())]
+    spans = pa.ListArray.from_arrays(
+        pa.array(edges, pa.int32()),
+        pa.StructArray.from_arrays([pa.array(opens - begins, pa.int32()), pa.array(ends - begins, pa.int32())], ["first", "past"]),
+    )
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(np.diff(texts.offsets)), pa.array(spans, kind), pa.array(digests)],
+        [pa.array(ids, pa.int64()), pa.array(np.diff(texts.offsets)), spans, pa.array(digests, pa.string())],
         ["doc_id", "n_bytes", "spans", "kept_sha256"],
     )
 

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from notewright.llm import passages
-from notewright.llm.suffix_dedup import difference_cover_order, repeated_bytes
+from notewright.llm.suffix_dedup import SCHEME, difference_cover_order, repeated_bytes
+from notewright.llm.texts import Texts
 
 SCHEMA = "doc_id long, text string, pack int, spans string"
 
@@ -74,3 +75,43 @@ def test_suffix_arrays():
         for letters in (1, 2, 30):
             t = rng.integers(1, letters + 1, n)
             assert difference_cover_order(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+
+
+def test_suffix_arrays_of_wanted_places():
+    rng = np.random.default_rng(2)
+    for n in [0, 1, 2, 3, 4, 5, 6, 7, 8, 50, 333]:
+        for letters in (1, 2, 30):
+            t, wanted = rng.integers(1, letters + 1, n), rng.random(n) < 0.3
+            whole = sorted(range(n), key=lambda i: t[i:].tolist())
+            assert difference_cover_order(t, wanted).tolist() == [i for i in whole if wanted[i]]
+
+
+def test_a_pack_of_bytes_is_as_large_as_one_of_words(spark):
+    """Every pack sends a row to every shard, so smaller ones cost rows that grow with the square of the input."""
+    rows = [(i, chr(97 + i % 26) * 50_000, 1, "") for i in range(36)]
+    assert passages.packed(spark.createDataFrame(rows, SCHEMA).coalesce(1), SCHEME).count() == 1
+
+
+def test_blocks_change_no_anchor(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 3000).astype(np.uint8)
+    data[1000:1080] = data[2500:2580]
+    whole = passages.anchors(data, 24, 50)
+    monkeypatch.setattr(passages, "BLOCK", 100)
+    least, hashes, seeds = passages.anchors(data, 24, 50)
+    assert all((a == b).all() for a, b in zip(whole, (least, hashes, seeds)))
+    order = seeds >> np.uint64(32)
+    assert all(least[i] == i + np.argmin(order[i : i + 27]) for i in range(len(least)))
+    assert (hashes[1000:1031] == hashes[2500:2531]).all() and len(np.unique(hashes)) == len(hashes) - 31
+
+
+def test_runs_are_those_of_each_window():
+    """Texts shorter than a window, empty ones and ends of texts included."""
+    rng = np.random.default_rng(4)
+    contents = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (0, 49, 50, 0, 0, 3, 51, 400, 49, 1, 120, 0)]
+    runs = passages.Runs(SCHEME, Texts.of(contents))
+    starts = np.repeat(runs.first, runs.count) + np.concatenate([np.arange(c) for c in runs.count])
+    offsets = np.cumsum([0] + [len(c) for c in contents])
+    assert starts.tolist() == [offsets[i] + k for i, c in enumerate(contents) for k in range(len(c) - 49)]
+    assert passages.Runs(SCHEME, Texts.of([b"", b"a" * 49])).first.tolist() == []
+    assert passages.Runs(SCHEME, Texts.of([b"a" * 49, b"b" * 49])).first.tolist() == []
