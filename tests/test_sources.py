@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewright.functions import variants as V
+from notewright.plans import payloads
 from notewright.sources import messages as M
 from notewright.sources import notes as N
 from notewright.sources import payloads as P
@@ -171,3 +172,16 @@ def test_last_of_repeated_keys_counts(spark):
         rows = [("a", '{"name":"first","name":"last","dependencies":{"x":1,"x":2}}')]
         out = R.manifest_names(spark.createDataFrame(rows, "project_id string, raw string")).collect()
         assert sorted(map(tuple, out)) == [("a", "last"), ("a", "x")]
+
+
+def test_failed_answers_give_nothing_and_no_filter_parses_bodies(spark):
+    said = '{"result":{"content":[{"text":"{\\"items\\":[{\\"id\\":\\"a\\",\\"type\\":\\"t\\",\\"text\\":\\"x\\"},7]}"}]}}'
+    bodies = [said, '{"error":{"code":1},"result":{"content":[{"text":"{\\"items\\":[{\\"id\\":\\"b\\"}]}"}]}}', "nonsense", "", None, '{"result":{"content":[{"text":"plain"}]}}']
+    out = payloads.answered_annotations(spark.createDataFrame(list(enumerate(bodies)), "batch_pos long, body string"))
+    assert [tuple(r) for r in out.collect()] == [("a", "t", "x", 0)]
+    node, filters = out._jdf.queryExecution().optimizedPlan(), []
+    while node.children().size():
+        if node.nodeName() == "Filter":
+            filters.append(node.toString().split("\n")[0])
+        node = node.children().head()
+    assert filters and not any("parseJson" in f or "body" in f for f in filters)
